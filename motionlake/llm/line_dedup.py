@@ -23,6 +23,11 @@ LEAST_CHARS = 40
 _STEPS = [1 << k for k in range(24, -1, -1)]
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _piece(edits: int, i: int, n: Column) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i (from 0) of a line of n code points; the last segments are the longer ones."""
     parts = edits + 1
@@ -50,6 +55,11 @@ def segment_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
     return F.array(*own, *probes)
 
 
+def letter_counts(line: Column) -> Column:
+    """How often each letter occurs. An edit moves these counts by two at most."""
+    return F.array(*[(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("int") for c in "abcdefghijklmnopqrstuvwxyz"])
+
+
 def _common(a: Column, b: Column, length: Column) -> Column:
     """Code points that two strings begin with alike, up to ``length``, by bisection."""
     step = lambda at, s: F.when((at + s <= length) & (F.substring(a, at + 1, s) == F.substring(b, at + 1, s)), at + s).otherwise(at)
@@ -57,46 +67,56 @@ def _common(a: Column, b: Column, length: Column) -> Column:
 
 
 def _automaton(a: Column, b: Column, edits: int) -> Column:
-    """Whether arrays of characters are within ``edits`` edits.
+    """Whether arrays of characters are within ``edits`` edits; ``edits`` empty strings stand before a, and twice as many after it.
 
     Bit k of register d says: the first j - edits + k characters of a and the
     first j of b are within d edits.  j goes through b; the registers hold
     only the 2 * edits + 1 bits around the diagonal.
     """
     width = 2 * edits + 1
-    pad = F.array_repeat(F.lit(""), edits)
-    padded = F.concat(pad, a, pad, pad)
     start = F.struct(*[F.lit(sum(1 << k for k in range(width) if 0 <= k - edits <= d)).alias(f"r{d}") for d in range(edits + 1)])
 
     def step(state: Column, j: Column) -> Column:
+        def moved(match: Column) -> Column:
+            now: list[Column] = [state.r0.bitwiseAND(match)]
+            for d in range(1, edits + 1):
+                before = state[f"r{d - 1}"]
+                bits = state[f"r{d}"].bitwiseAND(match).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(now[-1], 1))
+                now.append(bits.bitwiseAND(F.lit((1 << width) - 1)))
+            return F.struct(*[r.alias(f"r{d}") for d, r in enumerate(now)])
+
         c = F.get(b, j - 1)
         match = F.lit(0)
         for k in range(width):
-            match = match + F.when(F.get(padded, j + (k - 1)) == c, F.lit(1 << k)).otherwise(F.lit(0))
-        now: list[Column] = [state.r0.bitwiseAND(match)]
-        for d in range(1, edits + 1):
-            before = state[f"r{d - 1}"]
-            bits = state[f"r{d}"].bitwiseAND(match).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(now[-1], 1))
-            now.append(bits.bitwiseAND(F.lit((1 << width) - 1)))
-        return F.struct(*[r.alias(f"r{d}") for d, r in enumerate(now)])
+            match = match + F.when(F.get(a, j + (k - 1)) == c, F.lit(1 << k)).otherwise(F.lit(0))
+        return _let(match, moved)
 
     n = F.size(b)
-    # the states of one character feed the next, so they pass through a fold
-    final = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), start, step)[f"r{edits}"]
-    at = F.size(a) - n + edits
-    return (at >= 0) & (at < width) & (F.shiftright(final, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(width)]), F.least(F.greatest(at, F.lit(0)), F.lit(width - 1)) + 1)) != 0)
+    order = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    at = F.size(a) - 3 * edits - n + edits
+    bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(width)]), F.least(F.greatest(at, F.lit(0)), F.lit(width - 1)) + 1)
+    final = F.aggregate(order, start, step)[f"r{edits}"]
+    return (at >= 0) & (at < width) & (final.bitwiseAND(bit) != 0)
 
 
 def within(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
     """Pairs of strings that are within ``edits`` edits: common beginnings and ends are set aside, the rest is verified."""
-    few = F.least(F.length(a), F.length(b))
-    trimmed = pairs.where(F.abs(F.length(a) - F.length(b)) <= edits).withColumn("_head", _common(F.col(a), F.col(b), few))
-    trimmed = trimmed.withColumn("_a", F.expr(f"substring({a}, _head + 1)")).withColumn("_b", F.expr(f"substring({b}, _head + 1)"))
-    trimmed = trimmed.withColumn("_ra", F.reverse("_a")).withColumn("_rb", F.reverse("_b"))
-    trimmed = trimmed.withColumn("_tail", _common(F.col("_ra"), F.col("_rb"), F.least(F.length("_a"), F.length("_b"))))
-    chars = lambda c: F.when(F.length(c) - F.col("_tail") > 0, F.split(F.expr(f"substring({c}, 1, length({c}) - _tail)"), "")).otherwise(F.array().cast("array<string>"))
-    trimmed = trimmed.withColumn("_x", chars("_a")).withColumn("_y", chars("_b"))
-    return trimmed.where(_automaton(F.col("_x"), F.col("_y"), edits)).select(*pairs.columns)
+    def rest(text: Column, head: Column, tail: Column) -> Column:
+        size = F.length(text) - head - tail
+        return F.when(size > 0, F.split(F.substring(text, head + 1, size), "")).otherwise(F.array().cast("array<string>"))
+
+    pad = F.array_repeat(F.lit(""), edits)
+
+    def verified(p: Column) -> Column:
+        few = F.least(F.length(p.x), F.length(p.y))
+        ends = lambda head: _common(F.reverse(p.x), F.reverse(p.y), few - head)
+        return _let(
+            _common(p.x, p.y, few),
+            lambda head: _let(ends(head), lambda tail: _let(F.struct(F.concat(pad, rest(p.x, head, tail), pad, pad).alias("x"), rest(p.y, head, tail).alias("y")), lambda q: _automaton(q.x, q.y, edits))),
+        )
+
+    close = F.abs(F.length(a) - F.length(b)) <= edits
+    return pairs.where(close).where(_let(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), verified)).select(*pairs.columns)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -115,12 +135,19 @@ def linked_lines(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
         keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max(found_by).alias("own")).where("low != high and own").select(F.col("key").alias("k"))
     )
     rows = materialize(keyed.join(small(shared), F.col("key") == F.col("k"), "left_semi").groupBy("key", "h").agg(F.max(found_by).alias("own")))
-    x, y = rows.where("own").select("key", F.col("h").alias("x")), rows.select("key", F.col("h").alias("y"), F.col("own").alias("both"))
-    # where both are found by the key, the pair comes once
-    pairs = materialize(x.join(y, "key").where("x < y or (x > y and not both)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    needed = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    texts = materialize(long_.select("h", "line").join(small(needed), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
+    needed = rows.select("h").distinct()
+    texts = materialize(
+        long_.select("h", "line").join(small(needed), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")).withColumn("counts", letter_counts(F.col("line")))
+    )
+    rows = rows.join(texts.select("h", "counts"), "h")
+    x = rows.where("own").select("key", F.col("h").alias("x"), F.col("counts").alias("cx"))
+    y = rows.select("key", F.col("h").alias("y"), F.col("own").alias("both"), F.col("counts").alias("cy"))
+    # where both are found by the key, the pair comes once; the letters' counts rule most pairs out within the join
+    alike = F.aggregate(F.zip_with("cx", "cy", lambda m, n: F.abs(m - n)), F.lit(0), lambda t, d: t + d) <= 2 * edits
+    met = x.join(y, (x["key"] == y["key"]) & ((F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & ~F.col("both"))) & alike)
+    pairs = materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     spelt = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
+    spelt = spelt.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
     return within(spelt, "line_a", "line_b", edits).select("a", "b")
 
 
