@@ -1,4 +1,271 @@
-"""Queries and their SQL equivalents."""
+"""Queries over the driver's tables and the SQL that they are held against."""
 
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import grid as G
+from ..operators import rules as R
+from ..operators import series as S
+from ..sources import grid, micros, series, table
+
+N, FPS = 128, 16.0
+LOW, HIGH = 1.0, 4.0
+ZONES = [
+    {"shape": "rectangle", "mode": "include", "x": 5.0, "y": 900.0, "width": 30.0, "height": 500.0},
+    {"shape": "circle", "mode": "include", "x": 40.0, "y": 1500.0, "radius": 120.0},
+    {"shape": "circle", "mode": "exclude", "x": 20.0, "y": 1100.0, "radius": 60.0},
+]
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+_OFF = {4: 1e-7, 6: 1e-9}
+
+
+def _r(column, places: int = 6):
+    """Rounded a hair off, so that sums in another order don't part at exact halves."""
+    return F.round(column + _OFF[places], places) + F.lit(0.0)
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: _r(F.col(c)) for c in columns})
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql.replace(", 4) + 0.0", " + 1e-7::DOUBLE, 4) + 0.0").replace(", 6) + 0.0", " + 1e-9::DOUBLE, 6) + 0.0")
+        return f
+
+    return add
+
+
+_BOUNDS = "b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)"
+
+
+def _series_sql(key: str) -> str:
+    return f"""{_BOUNDS}, m AS (
+      SELECT CAST({key} AS VARCHAR) AS series_key, CAST((epoch_us(ts) - lo) * {N} // (hi - lo + 1) AS INTEGER) AS n, avg(value) AS x FROM events, b GROUP BY 1, 2
+    ), s AS (
+      SELECT k.series_key, CAST(g.n AS INTEGER) AS n, coalesce(m.x, 0.0) AS x FROM (SELECT DISTINCT series_key FROM m) k CROSS JOIN range({N}) g(n)
+      LEFT JOIN m ON m.series_key = k.series_key AND m.n = g.n
+    ), c AS (SELECT series_key, n, x - avg(x) OVER (PARTITION BY series_key) AS x FROM s)"""
+
+
+def _spectra_sql(key: str) -> str:
+    return f"""{_series_sql(key)}, f AS (
+      SELECT series_key, CAST(k AS INTEGER) AS k, k * ({FPS} / {N})::DOUBLE AS freq_hz,
+        sqrt(pow(sum(x * cos((k * n % {N}) * {2 * math.pi / N}::DOUBLE)), 2) + pow(sum(x * sin((k * n % {N}) * {2 * math.pi / N}::DOUBLE)), 2)) / {N} AS amp
+      FROM c CROSS JOIN range({N // 2 + 1}) g(k) GROUP BY series_key, k
+    )"""
+
+
+def _events(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFrame:
+    return series(table(spark, sf_dir, "events"), key, N)
+
+
+def _spectra(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFrame:
+    return S.spectrum(_events(spark, sf_dir, key), N, FPS)
+
+
+@query(f"WITH {_series_sql('event_type')} SELECT series_key, n, round(x, 6) + 0.0 AS x FROM s")
+def series_bucketize(spark, sf_dir):
+    return _rounded(_events(spark, sf_dir), "x")
+
+
+@query(f"WITH {_series_sql('user_id')} SELECT series_key, round(sqrt(avg(x * x)), 6) + 0.0 AS rms FROM c GROUP BY 1")
+def series_center_rms(spark, sf_dir):
+    return _rounded(S.rms(S.centred(_events(spark, sf_dir, "user_id"))), "rms")
+
+
+@query(f"WITH {_spectra_sql('event_type')} SELECT series_key, k, round(freq_hz, 6) + 0.0 AS freq_hz, round(amp, 6) + 0.0 AS amp FROM f")
+def series_dft_amplitude(spark, sf_dir):
+    return _rounded(_spectra(spark, sf_dir), "freq_hz", "amp")
+
+
+@query(f"""WITH {_spectra_sql('user_id')} SELECT series_key, round(sum(CASE WHEN freq_hz BETWEEN {LOW} AND {HIGH} THEN amp * amp ELSE 0 END), 6) + 0.0 AS band, round(sum(amp * amp), 6) + 0.0 AS total FROM f GROUP BY 1""")
+def heatmap_energy(spark, sf_dir):
+    return _rounded(S.band_energy(_spectra(spark, sf_dir, "user_id"), LOW, HIGH), "band", "total")
+
+
+@query(f"""WITH {_series_sql('event_type')}, t AS (
+  SELECT series_key, n, (coalesce(lag(x, 2) OVER w, 0) + 2 * coalesce(lag(x) OVER w, 0) + 3 * x + 2 * coalesce(lead(x) OVER w, 0) + coalesce(lead(x, 2) OVER w, 0)) / 9 AS x
+  FROM s WINDOW w AS (PARTITION BY series_key ORDER BY n)
+) SELECT series_key, n, round(x - avg(x) OVER (PARTITION BY series_key), 6) + 0.0 AS x FROM t""")
+def series_smooth5(spark, sf_dir):
+    return _rounded(S.smooth5(_events(spark, sf_dir)), "x")
+
+
+@query(f"WITH {_series_sql('event_type')} SELECT series_key, n, round(x - coalesce(lag(x) OVER (PARTITION BY series_key ORDER BY n), x), 6) + 0.0 AS x FROM s")
+def series_diff(spark, sf_dir):
+    return _rounded(S.difference(_events(spark, sf_dir)), "x")
+
+
+@query(f"WITH {_series_sql('event_type')} SELECT series_key, n, round(sqrt(sum(x * x) OVER (PARTITION BY series_key ORDER BY n ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7), 6) + 0.0 AS x FROM c")
+def series_rms_envelope(spark, sf_dir):
+    return _rounded(S.rms_envelope(S.centred(_events(spark, sf_dir)), 7), "x")
+
+
+@query(f"""WITH RECURSIVE {_series_sql('event_type')}, y AS (
+  SELECT series_key, n, {S.low_pass_gain(FPS, HIGH)}::DOUBLE * x AS h, {S.low_pass_gain(FPS, LOW)}::DOUBLE * x AS l FROM s WHERE n = 0
+  UNION ALL
+  SELECT s.series_key, s.n, y.h + {S.low_pass_gain(FPS, HIGH)}::DOUBLE * (s.x - y.h), y.l + {S.low_pass_gain(FPS, LOW)}::DOUBLE * (s.x - y.l) FROM y JOIN s ON s.series_key = y.series_key AND s.n = y.n + 1
+) SELECT series_key, n, round(h - l, 6) + 0.0 AS x FROM y""")
+def series_iir_bandpass(spark, sf_dir):
+    return _rounded(S.iir_band_pass(_events(spark, sf_dir), FPS, LOW, HIGH), "x")
+
+
+_PEAKS = """, w AS (SELECT *, lag(amp) OVER v AS p, lead(amp) OVER v AS q FROM f WINDOW v AS (PARTITION BY series_key ORDER BY k)),
+  l AS (SELECT * FROM w WHERE p IS NOT NULL AND q IS NOT NULL AND amp >= p AND amp >= q AND freq_hz > 0),
+  z AS (SELECT *, quantile_cont(amp, 0.5) OVER (PARTITION BY series_key) + 0.5 * stddev_pop(amp) OVER (PARTITION BY series_key) AS least FROM l),
+  a AS (SELECT *, bool_or(amp >= least) OVER (PARTITION BY series_key) AS any_ FROM z),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY series_key ORDER BY amp DESC, k) AS INTEGER) AS rank FROM a WHERE NOT any_ OR amp >= least)"""
+
+
+@query(f"WITH {_spectra_sql('event_type')} {_PEAKS} SELECT series_key, rank, k, round(freq_hz, 6) + 0.0 AS freq_hz, round(amp, 6) + 0.0 AS amp FROM r WHERE rank <= 3")
+def peaks_qa_top3(spark, sf_dir):
+    return _rounded(S.peaks(_spectra(spark, sf_dir), 3), "freq_hz", "amp")
+
+
+@query(f"WITH {_spectra_sql('user_id')} {_PEAKS} SELECT series_key, rank, k, round(freq_hz, 6) + 0.0 AS freq_hz, round(amp, 6) + 0.0 AS amp FROM r WHERE rank <= 10")
+def peaks_qa_top10(spark, sf_dir):
+    return _rounded(S.peaks(_spectra(spark, sf_dir, "user_id"), 10), "freq_hz", "amp")
+
+
+@query(f"""WITH {_spectra_sql('event_type')}, w AS (SELECT *, avg(amp) OVER v AS m, count(amp) OVER v AS c FROM f WINDOW v AS (PARTITION BY series_key ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+SELECT series_key, k, round(least(greatest(1 - m / amp, 0.0), 1.0), 6) + 0.0 AS sharpness FROM w WHERE c = 5 AND amp > 1e-9""")
+def peak_sharpness(spark, sf_dir):
+    return _rounded(S.sharpness(_spectra(spark, sf_dir)), "sharpness")
+
+
+@query(f"WITH {_spectra_sql('user_id')} SELECT k, round(freq_hz, 6) + 0.0 AS freq_hz, round(quantile_cont(amp, 0.5), 6) + 0.0 AS amp FROM f GROUP BY k, freq_hz")
+def median_spectrum(spark, sf_dir):
+    return _rounded(S.median_spectrum(_spectra(spark, sf_dir, "user_id")), "freq_hz", "amp")
+
+
+@query(f"""WITH {_spectra_sql('user_id')} {_PEAKS}, h AS (SELECT series_key, k, CASE WHEN amp > 0 AND amp >= max(amp) OVER (PARTITION BY series_key ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) THEN 1.0 ELSE 0.0 END::DOUBLE AS hit FROM f)
+SELECT k, round(avg(hit), 6) + 0.0 AS support FROM h WHERE k IN (SELECT k FROM r WHERE rank <= 10) GROUP BY k""")
+def peak_support_fraction(spark, sf_dir):
+    spectra = _spectra(spark, sf_dir, "user_id")
+    return _rounded(S.support(spectra, S.peaks(spectra, 10)), "support")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  y AS (SELECT user_id, i, value AS v FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, 0.85::DOUBLE * y.v + 0.15::DOUBLE * e.value FROM y JOIN e ON e.user_id = y.user_id AND e.i = y.i + 1)
+SELECT user_id, round(arg_max(v, i), 6) + 0.0 AS ewma FROM y GROUP BY user_id""")
+def ewma_rate(spark, sf_dir):
+    return _rounded(S.ewma(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 0.85), "ewma")
+
+
+_GRID = "g AS (SELECT l_returnflag AS grid_id, CAST(l_quantity AS INTEGER) AS row, CAST(round_even(l_discount * 100, 0) AS INTEGER) AS col, avg(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2, 3)"
+
+
+def _confidence_sql(q: float, floor: float, weight: str) -> str:
+    return f"""WITH {_GRID}, e AS (SELECT grid_id, quantile_cont(value, {q}) AS edge, max(value) AS most FROM g WHERE value > 0 GROUP BY 1),
+    r AS (SELECT g.*, least(greatest((least(value / CASE WHEN edge > 1e-6 THEN edge ELSE most END, 1.0) - {floor}::DOUBLE) / {1 - floor}::DOUBLE, 0.0), 1.0) AS s FROM g JOIN e USING (grid_id))
+    SELECT grid_id, row, col, round({weight}, 6) + 0.0 AS weight FROM r"""
+
+
+@query(_confidence_sql(0.97, 0.03, "0.5::DOUBLE * sqrt(s) + 0.5::DOUBLE * s * s * (3 - 2 * s)"))
+def confidence_render(spark, sf_dir):
+    return _rounded(G.confidence(grid(table(spark, sf_dir, "lineitem")), 0.97, 0.03, "render"), "weight")
+
+
+@query(_confidence_sql(0.98, 0.01, "sqrt(s)"))
+def confidence_analysis(spark, sf_dir):
+    return _rounded(G.confidence(grid(table(spark, sf_dir, "lineitem")), 0.98, 0.01, "analysis"), "weight")
+
+
+@query(f"WITH {_GRID} SELECT a.grid_id, a.row, a.col, round(avg(b.value), 4) + 0.0 AS support FROM g a JOIN g b ON a.grid_id = b.grid_id AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2, 3")
+def grid_local_support(spark, sf_dir):
+    return G.local_mean(grid(table(spark, sf_dir, "lineitem"))).withColumn("support", _r(F.col("support"), 4))
+
+
+@query(f"WITH {_GRID} SELECT grid_id, CAST(floor(row / 4) AS INTEGER) AS row, CAST(floor(col / 4) AS INTEGER) AS col, round(avg(value), 4) + 0.0 AS value FROM g GROUP BY 1, 2, 3")
+def grid_meanpool(spark, sf_dir):
+    return G.mean_pool(grid(table(spark, sf_dir, "lineitem")), 4).withColumn("value", _r(F.col("value"), 4))
+
+
+@query(f"""WITH {_GRID} SELECT c.grid_id, c.row, c.col, round(sqrt(pow(d.value - u.value, 2) + pow(r.value - l.value, 2)) / 2, 4) + 0.0 AS magnitude FROM g c
+JOIN g u ON u.grid_id = c.grid_id AND u.row = c.row - 1 AND u.col = c.col JOIN g d ON d.grid_id = c.grid_id AND d.row = c.row + 1 AND d.col = c.col
+JOIN g l ON l.grid_id = c.grid_id AND l.row = c.row AND l.col = c.col - 1 JOIN g r ON r.grid_id = c.grid_id AND r.row = c.row AND r.col = c.col + 1""")
+def grid_gradient(spark, sf_dir):
+    return G.gradient(grid(table(spark, sf_dir, "lineitem"))).withColumn("magnitude", _r(F.col("magnitude"), 4))
+
+
+@query(f"""WITH {_GRID}, t AS (SELECT grid_id, count(*) AS n, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.7) AS p70 FROM g GROUP BY 1)
+SELECT grid_id, round(CASE WHEN n < 4 THEN 0 ELSE greatest(p75 * 0.05, 1e-8) END, 4) + 0.0 AS floor, round(CASE WHEN n < 4 THEN 60000 ELSE least(60000, greatest(0.08, p70 * 0.85)) END, 4) + 0.0 AS threshold FROM t""")
+def adaptive_threshold(spark, sf_dir):
+    return G.adaptive_threshold(grid(table(spark, sf_dir, "lineitem")), 60000.0).withColumns({c: _r(F.col(c), 4) for c in ("floor", "threshold")})
+
+
+@query("SELECT l_suppkey, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) + 0.0 AS mean FROM lineitem GROUP BY 1")
+def weighted_mean_price(spark, sf_dir):
+    return G.weighted_mean(table(spark, sf_dir, "lineitem"), ["l_suppkey"], F.col("l_extendedprice"), F.col("l_quantity")).withColumn("mean", _r(F.col("mean"), 4))
+
+
+@query("""SELECT p_partkey, ((p_size BETWEEN 5 AND 35 AND p_retailprice BETWEEN 900 AND 1400) OR sqrt(pow(p_size - 40, 2) + pow(p_retailprice - 1500, 2)) <= 120)
+ AND NOT sqrt(pow(p_size - 20, 2) + pow(p_retailprice - 1100, 2)) <= 60 AS inside FROM part""")
+def zone_membership(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", G.effective(ZONES, F.col("p_size").cast("double"), F.col("p_retailprice")).alias("inside"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(0.2126::DOUBLE * l_quantity + 0.7152::DOUBLE * l_discount + 0.0722::DOUBLE * l_tax, 6) + 0.0 AS luma, CAST(round_even(least(greatest(l_discount * 10, 0), 1) * 255, 0) AS INTEGER) AS level FROM lineitem")
+def luma_projection(spark, sf_dir):
+    luma = 0.2126 * F.col("l_quantity") + 0.7152 * F.col("l_discount") + 0.0722 * F.col("l_tax")
+    level = F.rint(F.least(F.greatest(F.col("l_discount") * 10, F.lit(0.0)), F.lit(1.0)) * 255).cast("int")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _r(luma).alias("luma"), level.alias("level"))
+
+
+@query("SELECT date_trunc('month', l_shipdate)::DATE AS month, round(avg(l_quantity), 6) + 0.0 AS mean FROM lineitem GROUP BY 1")
+def reference_mean(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month")).agg(_r(F.avg("l_quantity")).alias("mean"))
+
+
+@query("""SELECT o_orderkey, 'blocker' AS severity, 'over_budget' AS code FROM orders WHERE o_totalprice > 300000 UNION ALL
+SELECT o_orderkey, 'blocker', 'unknown_status' FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL
+SELECT o_orderkey, 'warning', 'near_budget' FROM orders WHERE o_totalprice > 270000 AND o_totalprice <= 300000 UNION ALL
+SELECT o_orderkey, 'warning', 'urgent' FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def admission_rules(spark, sf_dir):
+    price = F.col("o_totalprice")
+    rules = [
+        ("blocker", "over_budget", price > 300000), ("blocker", "unknown_status", ~F.col("o_orderstatus").isin("F", "O")),
+        ("warning", "near_budget", (price > 270000) & (price <= 300000)), ("warning", "urgent", F.col("o_orderpriority") == "1-URGENT"),
+    ]
+    return R.issues(table(spark, sf_dir, "orders"), rules).select("o_orderkey", "severity", "code")
+
+
+@query("""SELECT o_custkey, o_orderkey FROM (SELECT *, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS k FROM orders) WHERE k > 500000""")
+def retention_purge(spark, sf_dir):
+    return R.purge(table(spark, sf_dir, "orders"), "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")], "o_totalprice", 500000.0).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT event_id FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE event_id <= p")
+def seq_violation(spark, sf_dir):
+    return R.sequence_faults(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_id").select("event_id")
+
+
+@query("SELECT user_id, event_type, CAST(sum(t) AS BIGINT) AS took FROM (SELECT user_id, event_type, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) - epoch_us(ts) AS t FROM events) WHERE t IS NOT NULL GROUP BY 1, 2")
+def stage_timing(spark, sf_dir):
+    return R.stage_time(table(spark, sf_dir, "events").withColumn("us", micros(F.col("ts"))), "user_id", "us", "event_type", "event_id")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50, false) AS high FROM events")
+def json_props_rules(spark, sf_dir):
+    k = F.expr("try_cast(get_json_object(props, '$.k') as int)")
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.coalesce(k >= 50, F.lit(False)).alias("high"))
+
+
+@query("""SELECT vec_id, CAST(k AS INTEGER) AS k, round(sqrt(pow(sum(x * cos((k * n % 64) * (2 * pi() / 64))), 2) + pow(sum(x * sin((k * n % 64) * (2 * pi() / 64))), 2)) / 64, 6) + 0.0 AS amp
+FROM (SELECT vec_id, i - 1 AS n, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) t(i)) CROSS JOIN range(33) g(k) GROUP BY vec_id, k""")
+def array_spectrum(spark, sf_dir):
+    turn = 2 * math.pi / 64
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.struct(x.alias("x"), i.alias("n"))).alias("ps"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(32))))
+    re, im = (F.aggregate("ps", F.lit(0.0), lambda acc, p: acc + p.x * fn(F.pmod(F.col("k") * p.n, F.lit(64)) * turn)) for fn in (F.cos, F.sin))
+    return rows.select("vec_id", "k", _r(F.sqrt(re * re + im * im) / 64).alias("amp"))

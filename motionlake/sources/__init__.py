@@ -1 +1,36 @@
+"""Sources: tables, and the uniform series and grids derived from them."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
+
+
+def series(events: DataFrame, key: str, buckets: int) -> DataFrame:
+    """series_key, n, x: mean value in equal-width time buckets of each key, 0 where a bucket is empty.
+
+    Two scalars, the first and last instant, come to the driver.  Every key
+    has all its buckets, so no later operator relies on the order of rows.
+    """
+    rows = events.select(F.col(key).cast("string").alias("series_key"), micros(F.col("ts")).alias("us"), "value").where("us is not null")
+    first, last = rows.agg(F.min("us"), F.max("us")).first()
+    n = F.expr(f"cast((us - {first or 0}L) * {buckets}L div ({(last or 0) - (first or 0) + 1}L) as int)")
+    means = rows.withColumn("n", n).groupBy("series_key", "n").agg(F.avg("value").alias("x"))
+    # a key's means, at most one a bucket, are laid into an array
+    packed = means.groupBy("series_key").agg(F.map_from_entries(F.collect_list(F.struct("n", "x"))).alias("m"))
+    return packed.select("series_key", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("n"), "m").select("series_key", "n", F.coalesce(F.element_at("m", F.col("n")), F.lit(0.0)).alias("x"))
+
+
+def grid(lineitem: DataFrame) -> DataFrame:
+    """grid_id, row, col, value: mean price by quantity and discount, a grid for each return flag."""
+    return lineitem.groupBy(
+        F.col("l_returnflag").alias("grid_id"), F.col("l_quantity").cast("int").alias("row"), F.rint(F.col("l_discount") * 100).cast("int").alias("col")
+    ).agg(F.avg("l_extendedprice").alias("value"))
