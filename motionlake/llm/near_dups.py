@@ -66,7 +66,7 @@ def shingles(text: bytes | None, hashes: dict, words: int = WORDS) -> np.ndarray
 
 def registers(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
     """A row of m registers for each non-empty set."""
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     items = np.concatenate(sets) if sets else np.empty(0, np.uint64)
     start, step = _mix(items + _U(1)), _mix(items + _U(2)) | _U(1)
