@@ -38,7 +38,7 @@ def _piece(edits: int, i: int, n: Column) -> tuple[Column, Column]:
 
 def segment_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
     """Keys of a line: first those of its own edits + 1 segments, which it is found by, then those that it only looks for."""
-    own, probes = [], []
+    own, probes, plain = [], [], F.octet_length(line) == n
     for less in range(edits + 1):
         shorter = n - less
         for i in range(edits + 1):
@@ -47,7 +47,9 @@ def segment_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
             for shift in range(low, high + 1):
                 at = start + shift
                 inside = (at >= 1) & (at + size - 1 <= n)
-                key = F.xxhash64(shorter, F.lit(i), F.substring(line, at, size))
+                # bytes are reached at once; code points of other lines are counted from the start
+                piece = F.when(plain, F.substring(line.cast("binary"), at, size)).otherwise(F.substring(line, at, size).cast("binary"))
+                key = F.xxhash64(shorter, F.lit(i), piece)
                 if less == 0 and shift == 0:
                     own.append(key)
                 else:
