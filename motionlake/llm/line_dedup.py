@@ -132,11 +132,12 @@ def linked_lines(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     """a, b: hashes of different lines (line, others) that are within ``edits`` edits, both of ``least`` code points or more."""
     long_ = lines.where(F.length("line") >= least).select(F.xxhash64("line").alias("h"), "line", F.length("line").alias("n"))
     keyed = long_.select("h", F.posexplode(segment_keys(F.col("line"), F.col("n"), edits)).alias("pos", "key")).where("key is not null")
-    found_by = F.col("pos") <= edits
+    # written once: making the keys costs more than reading them twice
+    keyed = materialize(keyed.select("key", "h", (F.col("pos") <= edits).alias("own")))
     shared = materialize(
-        keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max(found_by).alias("own")).where("low != high and own").select(F.col("key").alias("k"))
+        keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("own")).where("low != high and own").select(F.col("key").alias("k"))
     )
-    rows = materialize(keyed.join(small(shared), F.col("key") == F.col("k"), "left_semi").groupBy("key", "h").agg(F.max(found_by).alias("own")))
+    rows = materialize(keyed.join(small(shared), F.col("key") == F.col("k"), "left_semi").groupBy("key", "h").agg(F.max("own").alias("own")))
     needed = rows.select("h").distinct()
     texts = materialize(
         long_.select("h", "line").join(small(needed), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")).withColumn("counts", letter_counts(F.col("line")))
