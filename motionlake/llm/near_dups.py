@@ -8,9 +8,10 @@ A register stores the logarithm of its point to a base slightly over 1.
 
 Bands of registers propose pairs, a joint maximum-likelihood estimate drops the
 hopeless ones, and the rest are compared on their full sets.  Buckets are never
-expanded into all pairs: members meet their bucket's smallest document first.
-Jaccard distance is a metric, so of the members that this leaves in different
-components only those meet whose distances to that document allow a link.
+expanded into rows of pairs: members meet their bucket's smallest document
+first.  Members that this leaves in different components meet block by block
+inside a task, first as sketches, then, where a link is likely, as full sets; a
+task returns only the links that join components, fewer than it has members.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ WORDS, SIMILARITY = 5, 0.75
 SLACK = 6.0
 #: Members of a star that one task compares with its centre.
 STAR = 256
+#: Members, and shingles, of one block of a bucket; a task holds two blocks at a time.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 _CACHE_WORDS = 500_000
 _SHARE = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
@@ -214,7 +217,119 @@ def _compare(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFram
     return materialize(exact.union(guess.where(F.col("low") > 1 - SIMILARITY)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def likely(registers: np.ndarray, sizes: np.ndarray, row: int) -> np.ndarray:
+    """Of all sketches, those that the one at ``row`` may be linked with: the same joint likelihood, in the closed form that it has for a base near 1."""
+    mine, m = registers[row], registers.shape[1]
+    more, less = (registers < mine).sum(axis=1), (registers > mine).sum(axis=1)
+    u = sizes[row] / (sizes[row] + sizes)
+    v = 1 - u
+    mid = u * u * (m - more) + v * v * (m - less)
+    j = (mid - np.sqrt(np.maximum(mid * mid - 4 * m * (u * v) ** 2 * (m - more - less), 0))) / (2 * m * u * v)
+    j = np.clip(j, 0, np.minimum(u / v, v / u))
+    off = SLACK * np.sqrt(np.maximum(j * (1 - j), 1 / m) / m)
+    return (j + off >= SIMILARITY) & (100 * np.minimum(sizes[row], sizes) >= 75 * np.maximum(sizes[row], sizes))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of sorted batches by their first ``keys`` columns, one group at a time; columns after these as tuples."""
+    at, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:keys] != at:
+                if held:
+                    yield at, held
+                at, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield at, held
+
+
+def _others(component: np.ndarray) -> np.ndarray:
+    """Rows outside the largest component: each pair of rows in different components has one of them."""
+    _, of, n = np.unique(component, return_inverse=True, return_counts=True)
+    return np.flatnonzero(of != n.argmax())
+
+
+def _sketch_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members with a likely link into another component; a pair counts in the first band that it shares."""
+    for (band, p, q), rows in _grouped(batches, 3):
+        node, own, component = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
+        bands = np.array([r[4] for r in rows], np.int64)
+        sizes = np.array([int.from_bytes(r[3][:8], "little") for r in rows], np.float64)
+        regs = np.stack([np.frombuffer(r[3], "<u2", offset=8) for r in rows])
+        place = int(np.flatnonzero((bands == band).any(axis=0))[0])
+        wanted = np.zeros(len(rows), bool)
+        for x in _others(component):
+            with_x = component != component[x]
+            if p != q:
+                with_x &= own != own[x]
+            at = np.flatnonzero(with_x)
+            at = at[~(bands[at, :place] == bands[x, :place]).any(axis=1)]
+            if len(at):
+                near = at[likely(np.vstack([regs[x : x + 1], regs[at]]), np.append(sizes[x], sizes[at]), 0)[1:]]
+                if len(near):
+                    wanted[near] = wanted[x] = True
+        found = np.flatnonzero(wanted)
+        n = len(found)
+        columns = [np.full(n, band), np.full(n, p), np.full(n, q), node[found], own[found], component[found]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["band", "p", "q", "node", "own", "component"])
+
+
+def _set_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links, by exact counts of common shingles, that join components of a pair of blocks: a spanning forest of them."""
+    hashes = _Hashes()
+    for (_, p, q), rows in _grouped(batches, 3):
+        node, own, component = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
+        sets = [shingles(r[3], hashes) for r in rows]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        ends = np.cumsum(sizes)
+        _, of = np.unique(np.concatenate(sets), return_inverse=True)
+        holders = np.repeat(np.arange(len(rows)), sizes)[np.argsort(of, kind="stable")]
+        counts = np.bincount(of)
+        starts = np.cumsum(counts) - counts
+        left, right = [], []
+        for x in _others(component):
+            mine = of[ends[x] - sizes[x] : ends[x]]
+            n = counts[mine]
+            spans = np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(holders[spans], minlength=len(rows))
+            linked = (both > 0) & (100 * both >= 75 * (sizes[x] + sizes - both)) & (component != component[x])
+            if p != q:
+                linked &= own != own[x]
+            for y in np.flatnonzero(linked):
+                if component[y] != component[x]:
+                    left.append(node[x])
+                    right.append(node[y])
+                    component[component == component[y]] = component[x]
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
+def _within(buckets: DataFrame, found: DataFrame, kinds: DataFrame, docs: DataFrame, block: int) -> DataFrame:
+    """Links between members of a bucket (band, node) that ``found`` leaves in different components.
+
+    A bucket is cut into blocks by members and by shingles; each pair of its
+    blocks meets in one task, so a bucket of n members is sent n / block times.
+    """
+    named = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(kinds.select("node", "n_shingles"), "node")
+    cuts = named.groupBy("band").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"),
+        F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("k"),
+    ).where("least < most").select("band", "k")
+    dealt = named.join(cuts, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    dealt = dealt.select("band", F.least("own", "j").alias("p"), F.greatest("own", "j").alias("q"), "node", "own", "component")
+    keys = ["band", "p", "q"]
+    sketched = dealt.join(kinds.select("node", "registers", "bands"), "node").select(*keys, "node", "own", "component", "registers", "bands")
+    wanted = materialize(
+        sketched.repartition(*keys).sortWithinPartitions(*keys)
+        .mapInArrow(_sketch_blocks, "band long, p long, q long, node long, own long, component long")
+    )
+    needed = wanted.select(F.col("node").alias("id")).distinct()
+    texts = docs.join(small(needed), docs.doc_id == needed.id).select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("body"))
+    full = wanted.join(texts, "node").select(*keys, "node", "own", "component", "body")
+    return materialize(full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_set_blocks, "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs`` (doc_id, text, any other columns).
 
     Links have 100 * intersection >= 75 * union of shingle sets.  Null or blank
@@ -238,23 +353,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stars.where(F.col("high") <= limit).select(F.col("center").alias("a"), F.col("member").alias("b"))
 
     found = materialize(components(links))
-    in_buckets = (
-        buckets.join(found, "node", "left")
-        .join(stars.select("center", F.col("member").alias("node"), "low", "high"), ["center", "node"], "left")
-        .select("band", "center", "node", F.coalesce("component", "node").alias("component"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"))
-    )
-    mixed = in_buckets.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band")
-    rest = in_buckets.join(mixed, "band").where("node != center")
-    spread = rest.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / limit - 1e-9), F.floor(F.col("high") / limit + 1e-9))))
-    near = rest.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / limit - 1e-9) - 1, F.floor(F.col("high") / limit + 1e-9) + 1)))
-    x, y = spread.alias("x"), near.alias("y")
-    others = (
-        x.join(y, ["band", "cell"])
-        .where("x.node < y.node and x.component != y.component")
-        .where(F.greatest(F.col("x.low") - F.col("y.high"), F.col("y.low") - F.col("x.high")) <= limit + 1e-9)
-        .select(F.col("x.node").alias("center"), F.col("y.node").alias("member")).distinct()
-    )
-    more = _compare(materialize(others), sketches, docs).where(F.col("high") <= limit).select(F.col("center").alias("a"), F.col("member").alias("b"))
+    more = _within(buckets.where("node != center").select("band", "node"), found, kinds, docs, block)
 
     # rows that share a doc_id tie their texts' sets together
     tied = full.select("doc_id", "f1", "f2", "n_shingles").distinct().join(kinds.select("f1", "f2", "n_shingles", "node"), ["f1", "f2", "n_shingles"])

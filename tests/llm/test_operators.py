@@ -67,6 +67,24 @@ def test_near_duplicates_match_brute_force(docs):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+@pytest.mark.parametrize("block", [40, near_dups.BLOCK])
+def test_near_duplicates_of_a_loose_family(spark, block):
+    """Variants of one text, many pairs just under and just over the similarity, some linked with nothing."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(300):
+        mine = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 3, 4, 5, 6, 8])):
+            mine[at] = f"x{rng.randrange(10**6)}"
+        texts.append((1000 - i, " ".join(mine)))
+    sets = {i: shingle_set(t) for i, t in texts}
+    want = smallest_reachable(sets)
+    assert 20 < len(set(want.values())) < 280
+    got = near_dups.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), block).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_near_duplicates_of_odd_rows(odd):
     got = sorted(near_dups.near_duplicates(odd).collect(), key=str)
     assert len(got) == len(ODD_DOCS)
