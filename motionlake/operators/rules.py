@@ -28,3 +28,16 @@ def stage_time(rows: DataFrame, key: str, at: str, stage: str, tie: str) -> Data
     """Time in each stage: from a row to the next of its key."""
     after = F.lead(at).over(Window.partitionBy(key).orderBy(at, tie))
     return rows.withColumn("took", after - F.col(at)).where("took is not null").groupBy(key, stage).agg(F.sum("took").alias("took"))
+
+
+def snapshot(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """The last row of each key (key, order columns, value): a maximum, so it combines before the shuffle."""
+    return rows.groupBy(key).agg(F.max(F.struct(*order, value)).alias("s")).select(key, "s.*")
+
+
+def liveness(rows: DataFrame, key: str, at: str, warn: int, fail: int, stall: int) -> DataFrame:
+    """key, state: by the time from a key's last row to the last of all."""
+    last = rows.groupBy(key).agg(F.max(at).alias("at"))
+    silence = F.lit(rows.agg(F.max(at)).first()[0]) - F.col("at")
+    state = F.when(silence > stall, "stalled").when(silence > fail, "unresponsive").when(silence > warn, "warning").otherwise("alive")
+    return last.select(key, state.alias("state"))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import streaming as T
+from ..operators import bands as B
 from ..operators import grid as G
 from ..operators import rules as R
 from ..operators import series as S
@@ -269,3 +271,62 @@ def array_spectrum(spark, sf_dir):
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(32))))
     re, im = (F.aggregate("ps", F.lit(0.0), lambda acc, p: acc + p.x * fn(F.pmod(F.col("k") * p.n, F.lit(64)) * turn)) for fn in (F.cos, F.sin))
     return rows.select("vec_id", "k", _r(F.sqrt(re * re + im * im) / 64).alias("amp"))
+
+
+def _edges_sql(share: float) -> str:
+    return f"""WITH {_spectra_sql('event_type')} {_PEAKS}, e AS (SELECT r.series_key, r.rank, r.k, max(f.k) AS last,
+      max(f.k) FILTER (WHERE f.k < r.k AND f.amp < {share}::DOUBLE * r.amp) AS under, min(f.k) FILTER (WHERE f.k > r.k AND f.amp < {share}::DOUBLE * r.amp) AS over_
+      FROM r JOIN f ON f.series_key = r.series_key WHERE r.rank <= 3 GROUP BY 1, 2, 3)
+    SELECT series_key, rank, k, greatest(coalesce(under + 1, 1), 1)::INTEGER AS k_low, least(coalesce(over_ - 1, last - 1), last - 1)::INTEGER AS k_high FROM e"""
+
+
+def _edges(spark: SparkSession, sf_dir: str, share: float) -> DataFrame:
+    spectra = _spectra(spark, sf_dir)
+    return B.edges(spectra, S.peaks(spectra, 3), share)
+
+
+@query(_edges_sql(0.5))
+def band_edges_half(spark, sf_dir):
+    return _edges(spark, sf_dir, 0.5)
+
+
+@query(_edges_sql(0.45))
+def band_edges_45(spark, sf_dir):
+    return _edges(spark, sf_dir, 0.45)
+
+
+@query(f"""WITH {_spectra_sql('user_id')} {_PEAKS}, held AS (SELECT series_key, rank, greatest(freq_hz - 0.5::DOUBLE, {LOW}::DOUBLE) AS low, least(freq_hz + 0.5::DOUBLE, {HIGH}::DOUBLE) AS high FROM r WHERE rank <= 10)
+SELECT series_key, rank, CASE WHEN low < high THEN low END AS low, CASE WHEN low < high THEN high END AS high FROM held""")
+def band_clamp(spark, sf_dir):
+    low, high = B.clamp(F.col("freq_hz") - 0.5, F.col("freq_hz") + 0.5, LOW, HIGH)
+    return S.peaks(_spectra(spark, sf_dir, "user_id"), 10).select("series_key", "rank", low.alias("low"), high.alias("high"))
+
+
+@query(f"""WITH {_series_sql('event_type')}, q AS (
+  SELECT series_key, k, sum(x * cos((k * n % {N}) * {2 * math.pi / N}::DOUBLE)) AS re, sum(x * sin((k * n % {N}) * {2 * math.pi / N}::DOUBLE)) AS im, CASE WHEN k IN (0, {N // 2}) THEN 1 ELSE 2 END AS w
+  FROM s CROSS JOIN range({N // 2 + 1}) g(k) WHERE k * {FPS}::DOUBLE / {N} BETWEEN {LOW} AND {HIGH} GROUP BY series_key, k
+) SELECT series_key, CAST(n AS INTEGER) AS n, round(sum(w * (re * cos((k * n % {N}) * {2 * math.pi / N}::DOUBLE) + im * sin((k * n % {N}) * {2 * math.pi / N}::DOUBLE))) / {N}, 6) + 0.0 AS x FROM q CROSS JOIN range({N}) h(n) GROUP BY series_key, n""")
+def series_fft_bandpass(spark, sf_dir):
+    return _rounded(B.fft_band_pass(S.arrays(_events(spark, sf_dir)), N, FPS, LOW, HIGH), "x")
+
+
+@query(f"WITH {_series_sql('event_type')} SELECT a.series_key AS a, b.series_key AS b, round(abs(corr(a.x, b.x)), 6) + 0.0 AS corr FROM s a JOIN s b ON a.n = b.n AND a.series_key < b.series_key GROUP BY 1, 2")
+def pairwise_abs_corr(spark, sf_dir):
+    return _rounded(B.correlations(_events(spark, sf_dir)), "corr")
+
+
+@query("SELECT user_id, arg_max(event_type, (epoch_us(ts), event_id)) AS event_type, max(epoch_us(ts))::BIGINT AS at FROM events GROUP BY user_id")
+def snapshot_fold(spark, sf_dir):
+    return R.snapshot(table(spark, sf_dir, "events").withColumn("us", micros(F.col("ts"))), "user_id", ["us", "event_id"], "event_type").select("user_id", "event_type", F.col("us").alias("at"))
+
+
+@query("""WITH l AS (SELECT user_id, max(epoch_us(ts)) AS seen FROM events GROUP BY 1), e AS (SELECT max(seen) AS last FROM l)
+SELECT user_id, CASE WHEN last - seen > 30 * 3600000000 THEN 'stalled' WHEN last - seen > 12 * 3600000000 THEN 'unresponsive' WHEN last - seen > 4 * 3600000000 THEN 'warning' ELSE 'alive' END AS state FROM l, e""")
+def liveness(spark, sf_dir):
+    hour = 3_600_000_000
+    return R.liveness(table(spark, sf_dir, "events").withColumn("us", micros(F.col("ts"))), "user_id", "us", 4 * hour, 12 * hour, 30 * hour)
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1, 2")
+def stream_window_stats(spark, sf_dir):
+    return T.run_to_end(T.window_stats(T.events(spark, sf_dir))).withColumn("total", _r(F.col("total"), 4))
