@@ -8,12 +8,13 @@ import zlib
 from collections import Counter
 from urllib.parse import quote
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from motionlake.llm import ann, chat, line_dedup, mixing, near_dups, packing, secrets, topk_search, toxicity, url_reputation
-from motionlake.llm.queries import ODD_CONVERSATION, tokenizer_path
+from motionlake.llm.queries import ODD_CONVERSATION, ORACLE, QUERIES, tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, component_id long, line string"
@@ -172,6 +173,13 @@ def test_exact_top_k(spark):
             assert got[q] == [(v, -s) for s, v in sorted((-int(x @ y), v) for v, y in rows if v != q)[:10]]
 
 
+def test_top_k_matches_its_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
+    want = con.execute(f"SELECT query_id, rank, vec_id, score FROM ({ORACLE['op2_topk']})").fetchall()
+    assert want and sorted(map(tuple, QUERIES["op2_topk"](spark, DATA).collect())) == sorted(want)
+
+
 def test_vector_searches_skip_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (100, [float("nan"), 1.0]), (1, None), (2, [1.0, None]), (3, [0.0, 0.0]), (4, [1.0, 2.0]), (5, [1.0, 2.0]), (6, [3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
