@@ -7,6 +7,11 @@ that such an edit script allows.  Only keys that two different lines share go
 on.  Their pairs are verified with a banded automaton whose states are bits,
 and what is linked, directly or through others, is one class: its first line
 in the corpus stays.
+
+Longer lines may differ in more: in a tenth of their words.  So few edits of
+words leave a run of words untouched; each line is found by the smallest
+hashes of the word windows within any such run, and pairs are verified by the
+edit distance of their words.
 """
 
 from __future__ import annotations
@@ -19,6 +24,14 @@ from .common import SPACE, components, materialize, small
 EDITS = 2
 #: Code points from which a line may differ in EDITS places; shorter lines must be equal.
 LEAST_CHARS = 40
+#: Code points from which a line under LEAST_CHARS may differ in one place: an edit of a shorter one would be over a tenth of it.
+SHORT_CHARS = 10
+#: A line may differ in one word for so many words that it has, and is found by the hashes of so many words in a row.
+WORDS_AN_EDIT, GRAM = 10, 5
+#: Classes of the shorter line's words: from so many words, WORDS_AN_EDIT leaves at least so many untouched in a row.
+_RUNS = [(10, 5), (20, 6), (30, 7), (40, 8), (90, 9)]
+#: Buckets of word counts by which pairs are told apart. An edit of a word moves them by two at most.
+_BAG = 32
 #: Powers of two, down, for the search of common beginnings and ends of lines.
 _STEPS = [1 << k for k in range(24, -1, -1)]
 
@@ -128,9 +141,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def linked_lines(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """a, b: hashes of different lines (line, others) that are within ``edits`` edits, both of ``least`` code points or more."""
-    long_ = lines.where(F.length("line") >= least).select(F.xxhash64("line").alias("h"), "line", F.length("line").alias("n"))
+def linked_lines(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, most: int | None = None) -> DataFrame:
+    """a, b: hashes of different lines (line, others) that are within ``edits`` edits, both of ``least`` code points or more, and of ``most`` or fewer."""
+    fits = F.length("line") >= least
+    long_ = lines.where(fits if most is None else fits & (F.length("line") <= most)).select(F.xxhash64("line").alias("h"), "line", F.length("line").alias("n"))
     keyed = long_.select("h", F.posexplode(segment_keys(F.col("line"), F.col("n"), edits)).alias("pos", "key")).where("key is not null")
     # written once: making the keys costs more than reading them twice
     keyed = materialize(keyed.select("key", "h", (F.col("pos") <= edits).alias("own")))
@@ -154,17 +168,72 @@ def linked_lines(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     return within(spelt, "line_a", "line_b", edits).select("a", "b")
 
 
+def word_keys(words: Column) -> Column:
+    """Hashes of GRAM words in a row, of which any run that a partner of WORDS_AN_EDIT keeps untouched holds one: the smallest of each of its windows."""
+    # the shortest partner decides, and smaller windows choose all that larger ones do
+    shortest = F.ceil(F.size(words) * WORDS_AN_EDIT / (WORDS_AN_EDIT + 1))
+    window = F.lit(_RUNS[0][1] - GRAM + 1)
+    for start, run in _RUNS[1:]:
+        window = F.when(shortest >= start, F.lit(run - GRAM + 1)).otherwise(window)
+    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (GRAM - 1)), lambda i: F.xxhash64(F.slice(words, i, GRAM)))
+    smallest = lambda g: F.transform(F.sequence(F.lit(1), F.size(g) - window + 1), lambda i: F.array_min(F.slice(g, i, window)))
+    return F.array_distinct(_let(grams, smallest))
+
+
+def word_counts(words: Column) -> Column:
+    """How many words fall in each of _BAG buckets."""
+    buckets = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(_BAG)).cast("int"))
+    return _let(buckets, lambda b: F.transform(F.sequence(F.lit(0), F.lit(_BAG - 1)), lambda i: F.size(b) - F.size(F.array_remove(b, i))))
+
+
+def words_within(a: Column, b: Column) -> Column:
+    """Whether arrays of words are within an edit of a word for each WORDS_AN_EDIT words of the shorter: words become code points, alike where the words are."""
+    known = F.array_distinct(F.concat(a, b))
+    # planes above the surrogates: 0x10000 and on
+    spelt = lambda words, k: F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(F.array_position(k, w) + 65535), 8, "0")), "")), "UTF-32")
+    edits = F.floor(F.least(F.size(a), F.size(b)) / WORDS_AN_EDIT).cast("int")
+    return _let(known, lambda k: F.call_function("levenshtein", spelt(a, k), spelt(b, k), edits)) >= 0
+
+
+def linked_by_words(lines: DataFrame) -> DataFrame:
+    """a, b: hashes of different lines (line, others) that differ in at most one word for each WORDS_AN_EDIT words of the shorter."""
+    words = F.split("line", " ")
+    long_ = lines.select(F.xxhash64("line").alias("h"), "line").where(F.size(words) >= WORDS_AN_EDIT)
+    keyed = materialize(long_.select("h", F.explode(word_keys(words)).alias("key")).distinct())
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
+    rows = materialize(keyed.join(small(materialize(shared)), F.col("key") == F.col("k"), "left_semi"))
+    texts = long_.join(small(rows.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    texts = materialize(texts.select("h", words.alias("words"), F.size(words).alias("n"), word_counts(words).alias("counts")))
+    rows = rows.join(texts.select("h", "n", "counts"), "h")
+    x = rows.select("key", F.col("h").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
+    y = rows.select("key", F.col("h").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
+    edits = F.floor(F.least("na", "nb") / WORDS_AN_EDIT)
+    alike = F.aggregate(F.zip_with("ca", "cb", lambda m, n: F.abs(m - n)), F.lit(0), lambda t, d: t + d) <= 2 * edits
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= edits) & alike)
+    pairs = materialize(met.select("a", "b").distinct())
+    spelt = pairs.join(texts.select(F.col("h").alias("a"), F.col("words").alias("words_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("words").alias("words_b")), "b")
+    spelt = spelt.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    return spelt.where(words_within(F.col("words_a"), F.col("words_b"))).select("a", "b")
+
+
+def near_lines(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+    """a, b: links of every length: one edit from SHORT_CHARS code points, ``edits`` from ``least``, and a tenth of the words."""
+    found = linked_lines(lines, edits, least).union(linked_by_words(lines))
+    return found.union(linked_lines(lines, 1, SHORT_CHARS, least)) if SHORT_CHARS < least else found
+
+
 def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """uid, doc_id, line_no, class_id, kept for every line of every row of ``docs`` (doc_id, text, others).
 
-    Equal lines are of one class, and so are lines of ``least`` code points or
-    more that chains of at most ``edits`` edits connect.  The class's line of
+    Equal lines are of one class, and so are lines that chains of links
+    connect: at most ``edits`` edits from ``least`` code points, one edit from
+    SHORT_CHARS, or one word for each WORDS_AN_EDIT words of the shorter line.  The class's line of
     the smallest doc_id (null is smallest) and line number is kept; blank
     lines always are.  Rows alike in doc_id and text count as one.
     """
     lines = lines_of(docs)
     slim = materialize(lines.select("uid", "doc_id", "line_no", F.xxhash64("line").alias("h"), F.col("line").rlike(f"^[{SPACE}]*$").alias("blank")))
-    found = materialize(components(linked_lines(lines, edits, least)))
+    found = materialize(components(near_lines(lines, edits, least)))
     place = F.struct("doc_id", "uid", "line_no")
     firsts = slim.where("not blank").groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = firsts.join(found.select(F.col("node").alias("h"), "component"), "h", "left")

@@ -136,6 +136,34 @@ def test_edit_join_matches_brute_force(spark):
     assert got == want and want
 
 
+def test_near_lines_grow_with_length(spark):
+    """A tenth of a long line's words, one edit of a short one, and links as brute force finds them."""
+    rng = random.Random(11)
+    pool = [f"word{i}" for i in range(400)]
+    lines = ["Is it, or not?", "Is it or not?", "abc", "abd"]
+    for n in (9, 10, 14, 20, 25, 31, 44, 90, 105, 111, 130, 260):
+        base = rng.choices(pool, k=n)
+        lines.append(" ".join(base))
+        for edits in (1, n // 20, n // 10, n // 10 + 1):
+            cut = list(base)
+            for at in sorted(rng.sample(range(n), edits), reverse=True):
+                cut[at : at + 1] = rng.choice([[], [f"new{rng.random()}"], [cut[at], f"more{rng.random()}"]])
+            lines.append(" ".join(cut))
+    distinct = sorted(set(lines))
+
+    def near(a, b):
+        x, y = a.split(" "), b.split(" ")
+        if min(len(x), len(y)) >= 10 and abs(len(x) - len(y)) <= min(len(x), len(y)) // 10 and levenshtein(x, y) <= min(len(x), len(y)) // 10:
+            return True
+        return min(len(a), len(b)) >= 10 and abs(len(a) - len(b)) < 3 and levenshtein(a, b) <= (2 if min(len(a), len(b)) >= 40 else 1)
+
+    want = sorted((a, b) for n, a in enumerate(distinct) for b in distinct[n + 1 :] if near(a, b))
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    name = {r.h: r.line for r in df.select("line", F.xxhash64("line").alias("h")).collect()}
+    got = sorted({tuple(sorted((name[r.a], name[r.b]))) for r in line_dedup.near_lines(df).collect()})
+    assert got == want and len(want) > 30
+
+
 def test_lines_are_dropped_once(spark, odd):
     long_ = "This sentence is long enough to be compared with others by edits."
     rows = [(1, f"{long_}\nshort\n\nend"), (2, f"{long_[:-1]}!\nshort\n\nown"), (3, None)]
