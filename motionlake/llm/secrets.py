@@ -2,7 +2,8 @@
 
 Every whole text is scanned, then each layer found in it: URL escapes, Unicode
 escapes, base64 and compressed bytes are unwrapped until nothing new appears.
-A layer already seen in the same document is not opened again, so cycles end.
+A layer already seen at the same place is not opened again, nor is one within
+itself, so cycles end.  Compressed bytes are inflated and scanned in pieces.
 Each character of a layer knows the span of the original text that it came
 from; a find in a layer is reported at that span.
 """
@@ -12,11 +13,11 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
-import gzip
 import hashlib
 import lzma
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
@@ -34,10 +35,18 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _URL = re.compile(r"(?:[A-Za-z0-9._~+/=&:@!$*,;-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9._~+/=&:@!$*,;%-]*")
 _UNICODE = re.compile(r"(?:[!-\[\]-~]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}))+[!-\[\]-~]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The same over line breaks, as in MIME and PEM.
+_BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\t ]*[A-Za-z0-9+/_-]++)++={0,2}")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-#: Characters that one document's layers may hold together: a guard against decompression bombs. What it leaves out is told in layers_left.
-LAYER_CHARS = 64_000_000
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00", re.DOTALL)
+#: No find and no layer that holds one is shorter, and all are ASCII.
+_RUN = re.compile(rb"[\t\n\r\x20-\x7e]{14,}")
+#: Bytes that are inflated at once, that make a piece, that pieces share at least, and that a piece without a space may have.
+CHUNK, PIECE, TAIL, MOST_PIECE = 1 << 20, 1 << 24, 1 << 16, 1 << 26
+#: Bytes that one document's compressed layers may unfold to together: a guard against decompression bombs.
+#: Each stream that it leaves unread input of, or that is cut within a run of MOST_PIECE, counts in layers_left.
+MOST_UNPACKED = 1 << 30
 
 
 def finds(text: str) -> Iterator[tuple[str, int, int]]:
@@ -51,32 +60,62 @@ def finds(text: str) -> Iterator[tuple[str, int, int]]:
             yield kind, m.start(), m.end()
 
 
-def _unpack(data: bytes, most: int) -> bytes | None:
-    """What compressed bytes hold, or None; at most ``most`` bytes."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, most)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, most)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, most)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, most)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, gzip.BadGzipFile):
-        return None
-    return None
+def _unpack(data: bytes | memoryview, room: list[int]) -> Iterator[bytes]:
+    """What compressed bytes hold, chunk by chunk, member after member, then what follows them; ``room``: bytes left, streams left unread."""
+    while data:
+        if not _MAGIC.match(data):
+            yield data
+            return
+        inflate = {0x1F: lambda: zlib.decompressobj(31), 0x78: zlib.decompressobj, 0x42: bz2.BZ2Decompressor, 0xFD: lzma.LZMADecompressor}[data[0]]()
+        rest = data
+        while not inflate.eof:
+            if room[0] <= 0:
+                room[1] += 1
+                return
+            try:
+                chunk = inflate.decompress(rest, min(CHUNK, room[0]))
+            except (zlib.error, OSError, EOFError, lzma.LZMAError):
+                return
+            rest = getattr(inflate, "unconsumed_tail", b"")
+            if not chunk and not rest and not inflate.eof:
+                return
+            room[0] -= len(chunk)
+            yield chunk
+        return
+
+
+def _pieces(chunks: Iterator[bytes], room: list[int]) -> Iterator[str]:
+    """Texts of a stream; whatever a piece's end may cut is whole in the next, as neither finds nor layers hold many spaces."""
+    held = bytearray()
+    for chunk in chunks:
+        held += chunk
+        if len(held) >= PIECE:
+            at = held.rfind(b" ", 0, len(held) - TAIL)
+            if at < len(held) // 2:
+                if len(held) < MOST_PIECE:
+                    continue
+                room[1] += 1
+                at = len(held) - TAIL
+            text = _text(bytes(held))
+            if text:
+                yield text
+            del held[:at]
+    text = _text(bytes(held))
+    if text:
+        yield text
 
 
 def _text(data: bytes) -> str | None:
-    """Bytes as text if they look like text."""
+    """Bytes as text, as Latin-1 if they aren't UTF-8; None if nothing in them can be found."""
+    if not _RUN.search(data):
+        return None
     try:
-        found = data.decode("utf-8")
+        return data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return found if found and sum(c.isprintable() or c in "\t\r\n" for c in found) >= 0.9 * len(found) else None
+        return data.decode("latin-1")
 
 
-def _layers(text: str, most: int) -> Iterator[tuple[str, list[int] | None, int, int]]:
+def _layers(text: str, room: list[int]) -> Iterator[tuple[str, list[int] | None, int, int]]:
     """Decoded layer, start in ``text`` of each of its characters plus the end (None: all stand for the whole region), region."""
     if "%" in text:
         for m in _URL.finditer(text):
@@ -110,61 +149,79 @@ def _layers(text: str, most: int) -> Iterator[tuple[str, list[int] | None, int,
             if any("\ud800" <= c <= "\udfff" for c in decoded):
                 decoded = "".join("\ufffd" if "\ud800" <= c <= "\udfff" else c for c in decoded)
             yield decoded, at, m.start(), m.end()
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=")
-        plain = body.replace("-", "+").replace("_", "/")
-        for cut in range(4):  # a run may begin with letters that aren't part of it
-            piece = plain[cut:]
-            piece = piece[: len(piece) - (len(piece) % 4 == 1)]
-            try:
-                data = base64.b64decode(piece + "=" * (-len(piece) % 4))
-            except (binascii.Error, ValueError):
-                continue
-            unpacked = _unpack(data, most)
-            if unpacked is not None:
-                decoded = _text(unpacked)
-                if decoded:
-                    yield decoded, None, m.start(), m.end()
-                    break
-            decoded = _text(data)
-            if decoded:
-                at, width = [], 0
-                for c in decoded:
-                    at.append(m.start() + cut + width * 4 // 3)
-                    width += len(c.encode())
-                yield decoded, [*at, m.end()], m.start(), m.end()
-                break
+    for pattern in (_BASE64,):
+        for m in pattern.finditer(text):
+            start, end = m.span()
+            # positions of the characters that count
+            body = range(start, end) if pattern is _BASE64 else array("q", (i for i in range(start, end) if text[i] not in "\r\n\t "))
+            plain = (m[0] if pattern is _BASE64 else "".join(m[0].split())).rstrip("=").replace("-", "+").replace("_", "/")
+            for cut in range(4):  # a run may begin with letters that aren't part of it
+                piece = plain[cut:]
+                piece = piece[: len(piece) - (len(piece) % 4 == 1)]
+                try:
+                    data = base64.b64decode(piece + "=" * (-len(piece) % 4))
+                except (binascii.Error, ValueError):
+                    continue
+                for magic in filter(None, [_MAGIC.match(data)]):
+                    for decoded in _pieces(_unpack(memoryview(data)[magic.start() :], room), room):
+                        yield decoded, None, start, end
+                decoded = _text(data)
+                if not decoded:
+                    continue
+                if decoded.isascii() or len(decoded) < len(data):
+                    at, width = array("q"), 0
+                    for c in decoded:
+                        at.append(body[cut + width * 4 // 3])
+                        width += len(c.encode())
+                    at.append(end)
+                    yield decoded, at, start, end
+                    continue
+                for run in _RUN.finditer(data):  # bytes that aren't text: what may hold a find
+                    at = array("q", (body[cut + i * 4 // 3] for i in range(run.start(), run.end())))
+                    stop = body[cut + (run.end() * 8 - 1) // 6] + 1
+                    at.append(stop)
+                    yield run[0].decode("ascii"), at, at[0], stop
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """Base spans and all spans, each (start, number of the kind, end) in order, and how many layers the guard left out."""
+    """Base spans and all spans, each (start, number of the kind, end) in order, and how many streams the guard left unread."""
     base = sorted((s, KINDS.index(k), e) for k, s, e in finds(text or ""))
-    spans, left = set(base), 0
+    spans = set(base)
     seen: set[bytes] = set()
-    room = LAYER_CHARS
-    work: list[tuple[str, list[int] | None, int, int]] = [(text or "", list(()), -1, -1)]
+    room = [MOST_UNPACKED, 0]
+
+    def digest(layer: str) -> bytes:
+        return hashlib.blake2b(layer.encode("utf-8", "replace"), digest_size=16).digest()
+
+    # depth first, so that one piece of a stream is held at a time
+    work = [(_layers(text or "", room), None, -1, -1, (digest(text or ""),))]
     while work:
-        layer, at, first, last = work.pop()
-        for inner, own, start, end in _layers(layer, room):
-            key = hashlib.blake2b(f"{start if first < 0 else first}:".encode() + inner.encode("utf-8", "replace"), digest_size=16).digest()
-            if key in seen or inner == layer:
-                continue
-            seen.add(key)
-            if len(inner) > room:
-                left += 1
-                continue
-            room -= len(inner)
-            # positions in the original text
-            if first < 0:
-                place, low, high = own, start, end
-            elif at is None:
-                place, low, high = None, first, last
-            else:
-                place, low, high = (None if own is None else [at[i] for i in own]), at[start], at[end]
-            for kind, s, e in finds(inner):
-                spans.add((low, KINDS.index(kind), high) if place is None else (place[s], KINDS.index(kind), max(place[e], place[s] + 1)))
-            work.append((inner, place, low, high))
-    return base, sorted(spans), left
+        layers, at, first, last, above = work[-1]
+        found = next(layers, None)
+        if found is None:
+            work.pop()
+            continue
+        inner, own, start, end = found
+        # positions in the original text
+        if first < 0:
+            low, high = start, end
+        elif at is None:
+            low, high = first, last
+        else:
+            low, high = at[start], at[end]
+        mine = digest(inner)
+        key = f"{start if first < 0 else first}:".encode() + mine
+        if key in seen or mine in above:
+            continue
+        seen.add(key)
+        if first < 0:
+            place = own
+        else:
+            place = None if own is None or at is None else array("q", (at[i] for i in own))
+        for kind, s, e in finds(inner):
+            spans.add((low, KINDS.index(kind), high) if place is None else (place[s], KINDS.index(kind), max(place[e], place[s] + 1)))
+        work.append((_layers(inner, room), place, low, high, (*above, mine)))
+    return base, sorted(spans), room[1]
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
