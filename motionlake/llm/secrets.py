@@ -210,7 +210,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         else:
             low, high = at[start], at[end]
         mine = digest(inner)
-        key = f"{start if first < 0 else first}:".encode() + mine
+        key = f"{low}:{high}:".encode() + mine
         if key in seen or mine in above:
             continue
         seen.add(key)
