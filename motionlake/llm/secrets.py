@@ -81,7 +81,7 @@ def _unpack(data: bytes | memoryview, room: list[int]) -> Iterator[bytes]:
                 return
             room[0] -= len(chunk)
             yield chunk
-        return
+        data = inflate.unused_data.lstrip(b"\0")
 
 
 def _pieces(chunks: Iterator[bytes], room: list[int]) -> Iterator[str]:
@@ -149,7 +149,7 @@ def _layers(text: str, room: list[int]) -> Iterator[tuple[str, list[int] | None,
             if any("\ud800" <= c <= "\udfff" for c in decoded):
                 decoded = "".join("\ufffd" if "\ud800" <= c <= "\udfff" else c for c in decoded)
             yield decoded, at, m.start(), m.end()
-    for pattern in (_BASE64,):
+    for pattern in (_BASE64, _BLOCK):
         for m in pattern.finditer(text):
             start, end = m.span()
             # positions of the characters that count
@@ -162,7 +162,7 @@ def _layers(text: str, room: list[int]) -> Iterator[tuple[str, list[int] | None,
                     data = base64.b64decode(piece + "=" * (-len(piece) % 4))
                 except (binascii.Error, ValueError):
                     continue
-                for magic in filter(None, [_MAGIC.match(data)]):
+                for magic in _MAGIC.finditer(data):
                     for decoded in _pieces(_unpack(memoryview(data)[magic.start() :], room), room):
                         yield decoded, None, start, end
                 decoded = _text(data)
