@@ -6,6 +6,9 @@ ranks come from partition counts, and a query meets the blocks of ranks around
 its own key on every curve.  The candidates of all curves merge and are ranked
 by their exact inner products.
 
+Copies of a vector are laid once, with the smallest of their ids, and take
+part in the ranking by these.
+
 A curve's window is a share of the table: vectors without structure, like
 independent directions in 64 dimensions, have neighbours that are hardly nearer
 than the rest, and no short window holds them.
@@ -89,8 +92,15 @@ def search(vectors: DataFrame, is_query, k: int = K, curves: int = CURVES, share
     """
     rows = clean(vectors).where(F.exists("vec", lambda x: x != 0)).dropDuplicates(["id", "vec"])
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = Window.partitionBy("dim", "vec")
+    # a row for each distinct vector, numbered in the order of its smallest id
+    kinds = rows.groupBy("dim", "vec").agg(F.min("id").alias("least"), F.max(is_query).alias("asks"))
+    kinds = materialize(kinds.orderBy("least", "vec").withColumn("id", F.monotonically_increasing_id()))
+    # k + 1 ids are enough without the query itself; limited before they are dealt
+    smallest = rows.withColumn("nth", F.row_number().over(copies.orderBy("id"))).where(F.col("nth") <= k + 1)
+    smallest = materialize(smallest.select("dim", "vec", F.col("id").alias("copy")).join(kinds.select("dim", "vec", "id"), ["dim", "vec"]).select("id", "copy"))
     order = ["dim", "curve", "key", "id"]
-    laid = _keyed(rows, curves, seed).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    laid = _keyed(kinds, curves, seed).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     laid = materialize(laid.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()))
     counts = laid.groupBy("dim", "curve", "part").agg(F.count("*").alias("n"))
     whole = Window.partitionBy("dim", "curve")
@@ -105,15 +115,14 @@ def search(vectors: DataFrame, is_query, k: int = K, curves: int = CURVES, share
     placed = materialize(placed.select("curve", "block", "blocks", "subs", "dim", "id", "vec"))
     held = placed.withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")))
     around = F.sequence(F.greatest(F.lit(0).cast("long"), F.col("block") - 1), F.least(F.col("blocks") - 1, F.col("block") + 1))
-    asked = placed.where(is_query).withColumn("block", F.explode(around)).withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
+    asked = placed.join(kinds.where("asks").select("id"), "id", "left_semi").withColumn("block", F.explode(around)).withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
 
     def block(ids: np.ndarray, m: np.ndarray):
         def top(query_ids: np.ndarray, queries: np.ndarray):
             scores = queries @ m.T
             out: tuple[list, list, list] = ([], [], [])
             for i, query in enumerate(query_ids):
-                mine = np.flatnonzero(ids != query)
-                mine = mine[best(ids[mine], scores[i][mine], k)]
+                mine = best(ids, scores[i], k + 1)
                 out[0].extend([query] * len(mine))
                 out[1].extend(ids[mine])
                 out[2].extend((m[mine] * queries[i]).sum(axis=1))
@@ -122,4 +131,10 @@ def search(vectors: DataFrame, is_query, k: int = K, curves: int = CURVES, share
         return top
 
     found = past_blocks(held, asked, ["curve", "block", "sub"], block, "double")
-    return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
+    near = ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k + 1)
+    spelt = near.select("query_id", F.col("vec_id").alias("id"), "score").join(smallest, "id")
+    spelt = spelt.groupBy("query_id", F.col("copy").alias("vec_id")).agg(F.max("score").alias("score"))
+    answers = materialize(ranked(spelt, k + 1).select(F.col("query_id").alias("kind"), "vec_id", "score"))
+    asking = rows.where(is_query).select("dim", "vec", F.col("id").alias("query_id")).join(kinds.where("asks").select("dim", "vec", F.col("id").alias("kind")), ["dim", "vec"])
+    mine = asking.join(answers, "kind").where("query_id != vec_id")
+    return ranked(mine.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)

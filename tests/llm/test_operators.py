@@ -235,6 +235,19 @@ def test_curve_search_recall(spark):
     assert len(share) == 30 and np.mean(share) >= 0.9
 
 
+def test_copies_of_a_hot_vector_are_ranked_by_id(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_BLOCK", 64)
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(2400, 16))
+    m[::3] = m[0]
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("id") % 150 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i in range(0, 66, 3) if i != q][:20] for q in range(0, 2400, 150)}
+
+
 def test_hilbert_keys_are_a_walk():
     n = 5
     cells = np.array([(x, y) for x in range(2**n) for y in range(2**n)])
