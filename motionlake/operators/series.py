@@ -120,7 +120,26 @@ def support(spectra: DataFrame, peaks_: DataFrame) -> DataFrame:
 
 
 def ewma(rows: DataFrame, key: str, order: list[str], value: str, keep: float) -> DataFrame:
-    """Last exponentially weighted mean of each key, started by its first value."""
-    packed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, value))).alias("s"))
-    fold = F.aggregate(F.col(f"s.{value}"), F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(keep * a + (1 - keep) * x))
-    return packed.select(key, fold.alias("ewma"))
+    """Last exponentially weighted mean of each key, started by its first value, and anew after a null.
+
+    Rows are dealt by ranges of key and order, so a key may span several
+    parts.  A part's rows are a weighted sum, and parts fold in order.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = [*order, value]
+    dealt = rows.select(key, *cols).repartitionByRange(parts, key, *cols).withColumn("_part", F.spark_partition_id())
+    back = Window.partitionBy(key, "_part").orderBy(*[F.desc(c) for c in cols]).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.withColumn("_age", F.count(F.lit(1)).over(back) - 1).withColumn("_nulls", F.count(F.when(F.col(value).isNull(), 1)).over(back))
+    live = F.col("_nulls") == 0
+    sums = ranked.groupBy(key, "_part").agg(
+        F.sum(F.when(live, 1).otherwise(0)).alias("n"),
+        F.sum(F.when(live, (1 - keep) * F.pow(F.lit(keep), F.col("_age")) * F.col(value))).alias("s"),
+        F.max_by(F.when(live, F.col(value).cast("double")), F.when(live, F.col("_age"))).alias("x"),
+        (F.max("_nulls") > 0).alias("anew"),
+    )
+    packed = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_part", "n", "s", "x", "anew"))).alias("ps"))
+
+    def step(a: Column, p: Column) -> Column:
+        return F.pow(F.lit(keep), p.n) * F.when(a.isNull() | p.anew, p.x).otherwise(a) + p.s
+
+    return packed.select(key, F.aggregate("ps", F.lit(None).cast("double"), step).alias("ewma"))

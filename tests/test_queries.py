@@ -1,10 +1,12 @@
 """Each query against its SQL on the smallest tables."""
 
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
 
+from motionlake.operators import series
 from motionlake.plans.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -30,3 +32,16 @@ def test_query_matches_sql(spark, db, name):
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
     assert rows(got.columns, map(tuple, got.collect())) == rows(names, want.fetchall())
+
+
+def test_ewma_of_a_hot_key_is_summed_in_parts(spark):
+    rng = random.Random(2)
+    events = [(1 if i % 3 else i, i // 2, i, rng.random() if i % 997 else None) for i in range(6000)] + [(2, 1, 1, None), (4, 1, 1, 2.0), (4, 2, 2, None)]
+    want = {}
+    for user, _, _, x in sorted(events, key=lambda e: e[:3]):
+        a = want.get(user)
+        want[user] = x if a is None else None if x is None else 0.85 * a + 0.15 * x
+    rng.shuffle(events)
+    got = series.ewma(spark.createDataFrame(events, "u long, ts long, e long, x double"), "u", ["ts", "e"], "x", 0.85)
+    assert "collect_list(struct(ts" not in got._jdf.queryExecution().analyzed().toString()
+    assert {r.u: r.ewma for r in got.collect()} == pytest.approx(want)
