@@ -235,6 +235,23 @@ def test_curve_search_recall(spark):
     assert len(share) == 30 and np.mean(share) >= 0.9
 
 
+def test_curve_search_recall_at_17_blocks(spark, monkeypatch):
+    """Windows as in large tables: 17 blocks, 18 % a curve."""
+    monkeypatch.setattr(ann, "LEAST_BLOCK", 256)
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(6000, 64))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("id") % 200 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = m @ m[sorted(got)].T
+    s[sorted(got), range(len(got))] = -9
+    recall = np.mean([len(got[q] & set(np.argsort(-s[:, i])[:20].tolist())) / 20 for i, q in enumerate(sorted(got))])
+    print(f"recall at 17 blocks: {recall:.3f}")
+    assert len(got) == 30 and recall >= 0.9
+
+
 def test_copies_of_a_hot_vector_are_ranked_by_id(spark, monkeypatch):
     monkeypatch.setattr(ann, "LEAST_BLOCK", 64)
     rng = np.random.default_rng(4)
