@@ -342,8 +342,7 @@ def test_wrapped_secrets_are_found(wrapped):
 
 
 def test_long_layers_are_scanned_whole():
-    filler = "".join(random.Random(3).choices("abcdefghij \n", k=1_000_003)) * 20 + "é" * 30
-    packed = base64.b64encode(zlib.compress((filler + " " * 50 + filler + SECRET).encode(), 1)).decode()
+    packed = base64.b64encode(zlib.compress((". " * 33_000_000 + SECRET).encode())).decode()
     assert secrets.scan(packed)[1:] == ([(0, 0, len(packed))], 0)
 
 
