@@ -3,8 +3,9 @@
 Each curve orders the vectors by the Hilbert key of a random projection of
 their directions, shifted by a random offset.  The order is range-partitioned,
 ranks come from partition counts, and a query meets the blocks of ranks around
-its own key on every curve.  The candidates of all curves merge and are ranked
-by their exact inner products.
+its own key on every curve.  There vectors are held in a byte a component, and
+what looks nearest goes on; the candidates of all curves merge and are ranked
+anew by their exact inner products.
 
 Copies of a vector are laid once, with the smallest of their ids, and take
 part in the ranking by these.
@@ -23,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .vectors import best, clean, matrix, past_blocks, ranked
+from .common import materialize, thrifty
+from .vectors import best, clean, matrix, packed, past_blocks, ranked
 
-K, CURVES, DIMS, BITS = 20, 8, 2, 12
+K, CURVES, DIMS, BITS = 20, 12, 2, 12
 #: The part of a curve that a query meets: its own block and one on either side.
 SHARE = 0.18
 #: Rows under which a block isn't divided further, and above which one is dealt to several tasks.
-LEAST_BLOCK, MOST_BLOCK = 512, 4096
+LEAST_BLOCK, MOST_BLOCK = 32, 8192
+#: How many candidates for each answer are ranked by exact products.
+SPARE = 3
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -70,6 +73,8 @@ def curve_keys(rows: np.ndarray, curve: int, seed: int) -> np.ndarray:
 
 
 def _keyed(rows: DataFrame, curves: int, seed: int) -> DataFrame:
+    """id, dim, curve, key for each vector and curve."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(2).to_numpy()
@@ -77,9 +82,22 @@ def _keyed(rows: DataFrame, curves: int, seed: int) -> DataFrame:
                 part = batch.filter(pa.array(dims == dim))
                 m = matrix(part.column(1), int(dim))
                 for curve in range(curves):
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(m), curve, np.int64)), pa.array(curve_keys(m, curve, seed))], names=["id", "vec", "dim", "curve", "key"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.full(len(m), curve, np.int64)), pa.array(curve_keys(m, curve, seed))], names=["id", "dim", "curve", "key"])
+
+    return rows.select("id", "vec", F.col("dim").cast("int").alias("dim")).mapInArrow(thrifty(run), "id long, dim int, curve long, key long")
+
+
+def _coarse(rows: DataFrame) -> DataFrame:
+    """id, asks, vec: vectors in a byte a component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(3).to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed(matrix(part.column(2), int(dim))), pa.binary())], names=["id", "asks", "vec"])
 
-    return rows.select("id", "vec", F.col("dim").cast("int").alias("dim")).mapInArrow(run, "id long, vec array<double>, dim int, curve long, key long")
+    return rows.select("id", "asks", "vec", F.col("dim").cast("int").alias("dim")).mapInArrow(thrifty(run), "id long, asks boolean, vec binary")
 
 
 def search(vectors: DataFrame, is_query, k: int = K, curves: int = CURVES, share: float = SHARE, seed: int = 5) -> DataFrame:
@@ -88,7 +106,6 @@ def search(vectors: DataFrame, is_query, k: int = K, curves: int = CURVES, share
     Null, zero and non-finite vectors take no part, and a query's own id is no
     candidate.  Vectors of another length than the query's aren't either.
     Rows that repeat an id and a vector count once.  Ties go to smaller ids.
-    Tables of under LEAST_BLOCK rows are searched whole.
     """
     rows = clean(vectors).where(F.exists("vec", lambda x: x != 0)).dropDuplicates(["id", "vec"])
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -102,38 +119,41 @@ def search(vectors: DataFrame, is_query, k: int = K, curves: int = CURVES, share
     order = ["dim", "curve", "key", "id"]
     laid = _keyed(kinds, curves, seed).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     laid = materialize(laid.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()))
-    counts = laid.groupBy("dim", "curve", "part").agg(F.count("*").alias("n"))
+    counts = laid.groupBy("dim", "curve", "part").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     whole = Window.partitionBy("dim", "curve")
     before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(F.col("dim").alias("d"), F.col("curve").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(whole).alias("total"))
-    inner = laid.withColumn("i", F.row_number().over(Window.partitionBy("dim", "curve", "part").orderBy("pos")) - 1).drop("pos", "key")
-    # one row for each partition and curve
-    placed = inner.join(F.broadcast(bases), (inner.dim == bases.d) & (inner.curve == bases.c) & (inner.part == bases.p))
+    bases = counts.select(F.col("dim").alias("d"), F.col("curve").alias("c"), F.col("part").alias("p"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(whole).alias("total"))
+    # one row for each partition and curve; positions within a partition run on without gaps
+    placed = laid.join(F.broadcast(bases), (laid.dim == bases.d) & (laid.curve == bases.c) & (laid.part == bases.p))
     n_blocks = F.greatest(F.lit(1), F.least(F.lit(int(np.ceil(3 / share))), F.floor(F.col("total") / LEAST_BLOCK)))
     placed = placed.withColumn("blocks", n_blocks).withColumn("subs", F.ceil(F.col("total") / F.col("blocks") / MOST_BLOCK))
-    placed = placed.withColumn("block", F.least(F.col("blocks") - 1, F.floor((F.col("base") + F.col("i")) * F.col("blocks") / F.col("total"))).cast("long"))
-    placed = materialize(placed.select("curve", "block", "blocks", "subs", "dim", "id", "vec"))
+    placed = placed.withColumn("block", F.least(F.col("blocks") - 1, F.floor((F.col("base") + F.col("pos") - F.col("first")) * F.col("blocks") / F.col("total"))).cast("long"))
+    placed = placed.select("curve", "block", "blocks", "subs", "dim", "id").join(_coarse(kinds), "id")
     held = placed.withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")))
     around = F.sequence(F.greatest(F.lit(0).cast("long"), F.col("block") - 1), F.least(F.col("blocks") - 1, F.col("block") + 1))
-    asked = placed.join(kinds.where("asks").select("id"), "id", "left_semi").withColumn("block", F.explode(around)).withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
+    asked = placed.where("asks").withColumn("block", F.explode(around)).withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
 
     def block(ids: np.ndarray, m: np.ndarray):
-        def top(query_ids: np.ndarray, queries: np.ndarray):
-            scores = queries @ m.T
+        m = m.astype(np.float32)
+
+        def top(query_ids: np.ndarray, queries: np.ndarray, _):
+            scores = queries.astype(np.float32) @ m.T
             out: tuple[list, list, list] = ([], [], [])
             for i, query in enumerate(query_ids):
-                mine = best(ids, scores[i], k + 1)
+                mine = best(ids, scores[i], SPARE * k)
                 out[0].extend([query] * len(mine))
                 out[1].extend(ids[mine])
-                out[2].extend((m[mine] * queries[i]).sum(axis=1))
+                out[2].extend(scores[i][mine].astype(np.float64))
             return out
 
         return top
 
     found = past_blocks(held, asked, ["curve", "block", "sub"], block, "double")
-    near = ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k + 1)
-    spelt = near.select("query_id", F.col("vec_id").alias("id"), "score").join(smallest, "id")
-    spelt = spelt.groupBy("query_id", F.col("copy").alias("vec_id")).agg(F.max("score").alias("score"))
+    near = ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), SPARE * k)
+    side = lambda c, v: kinds.select(F.col("id").alias(c), F.col("vec").alias(v))
+    exact = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    scored = near.join(side("query_id", "a"), "query_id").join(side("vec_id", "b"), "vec_id").select("query_id", F.col("vec_id").alias("id"), exact.alias("score"))
+    spelt = scored.join(smallest, "id").groupBy("query_id", F.col("copy").alias("vec_id")).agg(F.max("score").alias("score"))
     answers = materialize(ranked(spelt, k + 1).select(F.col("query_id").alias("kind"), "vec_id", "score"))
     asking = rows.where(is_query).select("dim", "vec", F.col("id").alias("query_id")).join(kinds.where("asks").select("dim", "vec", F.col("id").alias("kind")), ["dim", "vec"])
     mine = asking.join(answers, "kind").where("query_id != vec_id")
