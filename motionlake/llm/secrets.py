@@ -19,6 +19,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -60,28 +61,51 @@ def finds(text: str) -> Iterator[tuple[str, int, int]]:
             yield kind, m.start(), m.end()
 
 
-def _unpack(data: bytes | memoryview, room: list[int]) -> Iterator[bytes]:
-    """What compressed bytes hold, chunk by chunk, member after member, then what follows them; ``room``: bytes left, streams left unread."""
-    while data:
-        if not _MAGIC.match(data):
-            yield data
-            return
-        inflate = {0x1F: lambda: zlib.decompressobj(31), 0x78: zlib.decompressobj, 0x42: bz2.BZ2Decompressor, 0xFD: lzma.LZMADecompressor}[data[0]]()
-        rest = data
+def _opened(chunks: Iterator[bytes], room: list[int], above: tuple[bytes, ...] = ()) -> Iterator[bytes]:
+    """A stream as it is or, if it is compressed, inflated, as deep as it goes, member after member, then what follows them.
+
+    ``room``: bytes left, streams left unread.  A stream that begins like one
+    that it came out of is a cycle and isn't opened again.
+    """
+    chunks, head = iter(chunks), b""
+    for chunk in chunks:
+        head += chunk
+        if len(head) >= 16:
+            break
+    if not _MAGIC.match(head):
+        if head:
+            yield head
+        yield from chunks
+        return
+    mine = hashlib.blake2b(head, digest_size=16).digest()
+    if mine in above:
+        return
+    follows: list[bytes] = []
+
+    def inflated() -> Iterator[bytes]:
+        inflate = {0x1F: lambda: zlib.decompressobj(31), 0x78: zlib.decompressobj, 0x42: bz2.BZ2Decompressor, 0xFD: lzma.LZMADecompressor}[head[0]]()
+        data = head
         while not inflate.eof:
             if room[0] <= 0:
                 room[1] += 1
                 return
             try:
-                chunk = inflate.decompress(rest, min(CHUNK, room[0]))
+                chunk = inflate.decompress(data, min(CHUNK, room[0]))
             except (zlib.error, OSError, EOFError, lzma.LZMAError):
                 return
-            rest = getattr(inflate, "unconsumed_tail", b"")
-            if not chunk and not rest and not inflate.eof:
-                return
-            room[0] -= len(chunk)
-            yield chunk
-        data = inflate.unused_data.lstrip(b"\0")
+            data = getattr(inflate, "unconsumed_tail", b"")
+            if chunk:
+                room[0] -= len(chunk)
+                yield chunk
+            elif not data and not inflate.eof:
+                data = next(chunks, b"")
+                if not data:
+                    return
+        follows.append(inflate.unused_data)
+
+    yield from _opened(inflated(), room, (*above, mine))
+    if follows:
+        yield from _opened(chain([follows[0].lstrip(b"\0")], chunks), room, above)
 
 
 def _pieces(chunks: Iterator[bytes], room: list[int]) -> Iterator[str]:
@@ -115,14 +139,22 @@ def _text(data: bytes) -> str | None:
         return data.decode("latin-1")
 
 
+def _streams(data: bytes, room: list[int], start: int, end: int) -> Iterator[tuple[str, None, int, int]]:
+    """Layers that compressed streams within ``data`` hold; all their characters stand for the whole region."""
+    for magic in _MAGIC.finditer(data):
+        for decoded in _pieces(_opened([data[magic.start() :]], room), room):
+            yield decoded, None, start, end
+
+
 def _layers(text: str, room: list[int]) -> Iterator[tuple[str, list[int] | None, int, int]]:
     """Decoded layer, start in ``text`` of each of its characters plus the end (None: all stand for the whole region), region."""
     if "%" in text:
         for m in _URL.finditer(text):
-            out, at, end = [], [], m.start()
+            yield from _streams(unquote_to_bytes(m[0]), room, m.start(), m.end())
+            out, at, end = [], array("q"), m.start()
             for run in _PERCENT.finditer(text, m.start(), m.end()):
                 out.append(text[end : run.start()])
-                at += range(end, run.start())
+                at.extend(range(end, run.start()))
                 raw = unquote_to_bytes(run[0])
                 piece = raw.decode("utf-8", "replace")
                 width = 0
@@ -132,20 +164,21 @@ def _layers(text: str, room: list[int]) -> Iterator[tuple[str, list[int] | None,
                 out.append(piece)
                 end = run.end()
             out.append(text[end : m.end()])
-            at += range(end, m.end() + 1)
+            at.extend(range(end, m.end() + 1))
             yield "".join(out), at, m.start(), m.end()
     if "\\u" in text or "\\x" in text:
         for m in _UNICODE.finditer(text):
-            out, at, end = [], [], m.start()
+            out, at, end = [], array("q"), m.start()
             for e in _ESCAPE.finditer(text, m.start(), m.end()):
                 out.append(text[end : e.start()])
-                at += range(end, e.start())
+                at.extend(range(end, e.start()))
                 out.append(chr(int(e[1] or e[2], 16)))
                 at.append(e.start())
                 end = e.end()
             out.append(text[end : m.end()])
-            at += range(end, m.end() + 1)
+            at.extend(range(end, m.end() + 1))
             decoded = "".join(out)
+            yield from _streams(decoded.encode("latin-1", "ignore"), room, m.start(), m.end())
             if any("\ud800" <= c <= "\udfff" for c in decoded):
                 decoded = "".join("\ufffd" if "\ud800" <= c <= "\udfff" else c for c in decoded)
             yield decoded, at, m.start(), m.end()
@@ -162,9 +195,7 @@ def _layers(text: str, room: list[int]) -> Iterator[tuple[str, list[int] | None,
                     data = base64.b64decode(piece + "=" * (-len(piece) % 4))
                 except (binascii.Error, ValueError):
                     continue
-                for magic in _MAGIC.finditer(data):
-                    for decoded in _pieces(_unpack(memoryview(data)[magic.start() :], room), room):
-                        yield decoded, None, start, end
+                yield from _streams(data, room, start, end)
                 decoded = _text(data)
                 if not decoded:
                     continue
@@ -225,7 +256,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, layers_left for each row of ``docs``; a null text is empty."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, layers_left for each row of ``docs``; a null text is empty, and repeated rows are scanned each."""
 
     def joined(spans: list[tuple[int, int, int]]) -> str:
         return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
