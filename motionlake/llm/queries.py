@@ -25,7 +25,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     odd = spark.createDataFrame(ODD_CONVERSATION, "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_turns(turns.union(odd)))
+    segments = chat.format_turns(turns.union(odd))
+    return chat.digests(segments, chat.examples(segments))
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +84,99 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLE: dict[str, str] = {"op2_topk": _OP2}
+_SPACES = r"[^\x20\x09-\x0D]+"
+_UP, _DOWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_OP1 = r"""
+WITH t AS (
+  SELECT conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), f AS (
+  SELECT *, length(role) + length(regexp_replace(text, '(\\|<turn>|</turn>|###)', '\\\1', 'g')) + ORED AS chars FROM t
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars, count(*) FILTER (WHERE role = 'assistant')::BIGINT AS n_examples
+FROM f GROUP BY conv_id
+""".replace("ORED", str(len(chat.OPEN) + len(chat.HEAD_END) + len(chat.CLOSE)))
+
+_RULE_CASES = [
+    (f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{start}')", name + start, what)
+    for what, name, start in sorted(url_reputation.RULES, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), reverse=True)
+]
+
+
+def _strength_sql(rows: str, centre: str) -> str:
+    return f"""(SELECT CASE WHEN coalesce(room, 0) = 0 OR over_ IS NULL OR over_ <= 0 THEN {url_reputation.STRONGEST}::DOUBLE
+      ELSE least(greatest(1 / least(over_ / room, 1 / (1 + {url_reputation.WEAKEST}::DOUBLE)) - 1, {url_reputation.WEAKEST}::DOUBLE), {url_reputation.STRONGEST}::DOUBLE) END FROM (
+      SELECT sum(n * pow(bad / n::DOUBLE - {centre}, 2) - {centre} * (1 - {centre})) AS over_, sum({centre} * (1 - {centre}) * (n - 1)) AS room FROM {rows} WHERE n > 0))"""
+
+
+_SOFT = "(greatest({0}, 0.0) + ln(1 + exp(-abs({0}))))"
+_OP9 = rf"""
+WITH p AS (
+  SELECT page_id, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN '' ELSE substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), q AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UP}', '{_DOWN}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), k AS (
+  SELECT doc_id AS page, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1
+), h0 AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM q LEFT JOIN k ON page = page_id GROUP BY host
+), h1 AS (
+  SELECT *, string_split(bare, '.') AS parts, array_to_string(string_split(bare, '.')[-2:], '.') AS two FROM h0
+), h2 AS (
+  SELECT *, regexp_matches(two, '^({'|'.join(url_reputation.SECOND_LEVEL)})\.[a-z][a-z]$') OR two IN {url_reputation.SHARED} AS wide FROM h1
+), h AS (
+  SELECT host, n, bad, CASE WHEN wide THEN two ELSE parts[-1] END AS suffix,
+    CASE WHEN regexp_matches(bare, '^[0-9.]+$|^\[') THEN bare WHEN wide AND contains(two, '.') THEN array_to_string(parts[-3:], '.') ELSE two END AS domain FROM h2
+), d0 AS (
+  SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2
+), s0 AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) FROM d0) AS overall FROM d0 GROUP BY 1
+), s AS (
+  SELECT suffix, (overall * g + bad) / (n + g) AS suffix_mean FROM (SELECT *, {_strength_sql('s0', 'overall')} AS g FROM s0)
+), d1 AS (
+  SELECT d0.*, suffix_mean FROM d0 JOIN s USING (suffix)
+), d AS (
+  SELECT domain, suffix, (suffix_mean * g + bad) / (n + g) AS domain_mean FROM (SELECT *, {_strength_sql('d1', 'suffix_mean')} AS g FROM d1)
+), e0 AS (
+  SELECT h.*, domain_mean FROM h JOIN d USING (domain, suffix)
+), e AS (
+  SELECT host, (domain_mean * g + bad) AS a, (n + g) - (domain_mean * g + bad) AS b FROM (SELECT *, {_strength_sql('e0', 'domain_mean')} AS g FROM e0)
+), m AS (
+  SELECT host, a, b, ln(a / b) AS mode, (1 / a + sqrt(1 / a + 1 / b)) * {url_reputation.REACH}::DOUBLE / {url_reputation.STEPS} AS lw, (1 / b + sqrt(1 / a + 1 / b)) * {url_reputation.REACH}::DOUBLE / {url_reputation.STEPS} AS rw FROM e
+), c AS (
+  SELECT host, a, b, mode, CASE WHEN i < 0 THEN lw ELSE rw END AS w, mode + i * CASE WHEN i < 0 THEN lw ELSE rw END AS low FROM m, range(-{url_reputation.STEPS}, {url_reputation.STEPS}) r(i)
+), z AS (
+  SELECT host, w, low, w * exp(-a * {_SOFT.format('(-(low + w / 2))')} - b * {_SOFT.format('(low + w / 2)')} + a * {_SOFT.format('(-mode)')} + b * {_SOFT.format('mode')}) AS mass FROM c
+), y AS (
+  SELECT host, sum(mass * least(greatest((low + w - ln({url_reputation.BAD_LIMIT}::DOUBLE / (1 - {url_reputation.BAD_LIMIT}::DOUBLE))) / w, 0.0), 1.0)) / sum(mass) >= {url_reputation.CERTAIN}::DOUBLE AS blocked FROM z GROUP BY host
+)
+SELECT page_id, host, path, CASE {' '.join(f"WHEN {cond} THEN '{rule}'" for cond, rule, _ in _RULE_CASES)} END AS rule,
+  CASE {' '.join(f"WHEN {cond} THEN '{what}'" for cond, _, what in _RULE_CASES)} WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
+FROM q JOIN y USING (host)
+"""
+
+_OP10 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, '{_UP}', '{_DOWN}'), '{_SPACES}') AS ws FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i : i + 4], ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY 1
+), l AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, nx.n, ny.n HAVING 100 * count(*) >= 75 * (nx.n + ny.n - count(*))
+), e AS (
+  SELECT a, b FROM l UNION SELECT b, a FROM l
+), r AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen
+), c AS (
+  SELECT node, min(seen) AS component_id FROM r GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, component_id = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op1_chat": _OP1, "op2_topk": _OP2, "op9_urls": _OP9, "op10_near_dups": _OP10}
