@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a new local one where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or, in one process alone, a new local one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="motionlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -38,9 +43,44 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint, given only after counting at most ``limit`` rows; otherwise the join stays a shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """A broadcast hint, given only after a count; otherwise the join stays a shuffle.
+
+    Rows have a few numbers and short names each, and ``limit`` of them pass.
+    Where rows may be long, ``size`` is what one counts for instead of 1.
+    """
+    if size is None:
+        return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` hasn't, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table with a number of its own for each row, written once so that it stays; and that column's name."""
+    key = unused(df, "row_key")
+    return materialize(df.withColumn(key, F.monotonically_increasing_id())), key
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run``, handing unused memory back when its input ends: Python workers serve one stage after another and keep what they once took."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return inner
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,10 +1,11 @@
 """Packing by concatenate and cut.
 
-Documents are tokenized once and written; partition totals give each
-partition's global offset (one row a partition, so the running sum is small);
-then fixed windows are cut, and a document that crosses a window, or a window
-that crosses a partition, leaves boundary pieces that carry the window's
-number.  Only counts pass between partitions, never tokens.
+Two passes.  The first tokenizes documents and writes their ids with a running
+sum within the partition; partition totals, one row a partition, are summed to
+global offsets.  The second reads the ids where they lie, adds its partition's
+offset and cuts fixed windows; a document that crosses a window, or a window
+that crosses a partition, leaves boundary records that carry the window's
+number.  Only totals pass between partitions, never tokens.
 """
 
 from __future__ import annotations
@@ -19,14 +20,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, thrifty
 
 WINDOW, END = 2048, 1
-_CACHE = 300_000
+#: Bytes of words and ids that one generation of the cache may hold, what an entry costs besides, and text bytes that are encoded at once.
+_CACHE_BYTES, _ENTRY, _PIECE = 16 << 20, 200, 500_000
 #: White space as the tokenizer's pattern has it, and everything but runs of letters, as the same pattern parts it.
 _SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _OTHERS = rf"('s|'t|'re|'ve|'m|'ll|'d|\pN|[^{_SPACES}\pL\pN]+)"
-#: Texts with these go to the tokenizer whole: separators that differ between libraries, special tokens spelt out, letters whose lower case depends on their neighbours.
+#: Texts with these, once they are normalized, go to the tokenizer whole: separators that differ between libraries, special tokens spelt out, letters whose lower case depends on their neighbours.
 _ODD = r"[\x1c-\x1f\x{130}\x{3a3}]|<\|"
 
 
@@ -48,6 +50,11 @@ class Encoder:
             self.ends[i] = token.endswith(suffix)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.words[word] = ids
+        self.held += len(word) + len(ids) + _ENTRY
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -60,29 +67,29 @@ class Encoder:
             if len(cuts) == len(some):
                 raw, at = ids.tobytes(), 0
                 for word, cut in zip(some, (4 * cuts).tolist()):
-                    self.words[word] = raw[at:cut]
+                    self._keep(word, raw[at:cut])
                     at = cut
             else:
                 for word in some:
-                    self.words[word] = self.direct(word)
+                    self._keep(word, self.direct(word))
 
     def many(self, texts: pa.Array) -> list[bytes]:
-        odd = pc.match_substring_regex(texts, _ODD)
-        plain = texts.filter(pc.invert(odd))
-        if not pc.all(pc.string_is_ascii(plain)).as_py():
-            plain = pa.array([unicodedata.normalize("NFC", t) for t in plain.to_pylist()], pa.string())
-        plain = pc.utf8_lower(plain)
+        plain = texts
+        if not pc.all(pc.string_is_ascii(texts)).as_py():
+            plain = pa.array([unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+        odd = pc.match_substring_regex(plain, _ODD)
+        plain = pc.utf8_lower(plain.filter(pc.invert(odd)))
         found = pc.utf8_split_whitespace(pc.replace_substring_regex(plain, _OTHERS, r" \1 "))
         found = pa.array([], pa.list_(pa.string())) if not len(found) else found
         coded = found.flatten().filter(pc.not_equal(found.flatten(), "")).dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.words) > _CACHE:
-            self.words, self.older = {}, self.words
+        if self.held > _CACHE_BYTES:
+            self.words, self.older, self.held = {}, self.words, 0
         missing = []
         for word in words:
             if word not in self.words:
                 if word in self.older:
-                    self.words[word] = self.older[word]
+                    self._keep(word, self.older[word])
                 else:
                     missing.append(word)
         self._learn(missing)
@@ -106,31 +113,30 @@ class Encoder:
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """part, row, doc_id, n_tokens, ids (binary; little-endian 16-bit while every id fits, else 32-bit): a row for each document, in the scan's order."""
+    """doc_id, part, before (tokens of the partition's earlier rows), n_tokens, ids (binary; little-endian 16-bit while every id fits, else 32-bit) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, row = Encoder(tokenizer_path), 0
+        encode, before = Encoder(tokenizer_path), 0
         narrow = len(encode.ends) <= 1 << 16
         end = END.to_bytes(4, "little")
         for batch in batches:
-            parts, docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), pc.fill_null(batch.column(2), "")
-            sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))
             at = 0
-            while at < len(texts):
-                k = max(1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 2_000_000)) - at)
-                some = texts[at : at + k]
-                ids = [raw + end for raw in encode.many(some)]
+            while at < len(sizes):
+                k = max(1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _PIECE)) - at)
+                ids = [raw + end for raw in encode.many(pc.fill_null(batch.column(2)[at : at + k], ""))]
+                n = np.array([len(raw) // 4 for raw in ids], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(docs_[at : at + len(some)], pa.int64()), pa.array(parts[at : at + len(some)], pa.int32()), pa.array(range(row, row + len(some)), pa.int64()),
-                        pa.array([len(raw) // 4 for raw in ids], pa.int64()), pa.array([np.frombuffer(raw, "<u4").astype("<u2").tobytes() if narrow else raw for raw in ids], pa.binary()),
+                        batch.column(1)[at : at + k], batch.column(0)[at : at + k], pa.array(before + np.cumsum(n) - n), pa.array(n),
+                        pa.array([np.frombuffer(raw, "<u4").astype("<u2").tobytes() if narrow else raw for raw in ids], pa.binary()),
                     ],
-                    names=["doc_id", "part", "row", "n_tokens", "ids"],
+                    names=["doc_id", "part", "before", "n_tokens", "ids"],
                 )
-                at, row = at + len(some), row + len(some)
+                at, before = at + k, before + int(n.sum())
 
     return docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, part int, row long, n_tokens long, ids binary"
+        thrifty(run), "doc_id long, part int, before long, n_tokens long, ids binary"
     )
 
 
@@ -146,9 +152,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: b
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     total = totals.agg(F.sum("n")).first()[0] or 0
-    in_part = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = tokens.select("part", "row", "n_tokens").select("part", "row", F.coalesce(F.sum("n_tokens").over(in_part), F.lit(0)).alias("inner"))
-    placed = placed.join(F.broadcast(offsets), "part").select("part", "row", (F.col("base") + F.col("inner")).alias("at"))
+    # one row for each partition
+    placed = tokens.join(F.broadcast(offsets), "part").select((F.col("base") + F.col("before")).alias("at"), "doc_id", "n_tokens", "ids")
     whole = total // window * window
     # the tail's pieces: powers of two from the largest down
     cuts = [whole]
@@ -182,5 +187,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: b
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    joined = tokens.join(placed.withColumnsRenamed({"part": "p", "row": "r"}), (F.col("part") == F.col("p")) & (F.col("row") == F.col("r")))
-    return joined.select("at", "doc_id", "n_tokens", "ids").mapInArrow(run, schema)
+    return placed.mapInArrow(thrifty(run), schema)
