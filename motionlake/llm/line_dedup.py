@@ -8,10 +8,9 @@ on.  Their pairs are verified with a banded automaton whose states are bits,
 and what is linked, directly or through others, is one class: its first line
 in the corpus stays.
 
-Longer lines may differ in more: in a tenth of their words.  So few edits of
-words leave a run of words untouched; each line is found by the smallest
-hashes of the word windows within any such run, and pairs are verified by the
-edit distance of their words.
+Short lines are compared by code points.  Longer ones are compared by words: an
+edit replaces, drops or adds a word, and the longer the line, the more edits it
+may have.
 """
 
 from __future__ import annotations
@@ -19,19 +18,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, components, materialize, small
-
-EDITS = 2
-#: Code points from which a line may differ in EDITS places; shorter lines must be equal.
-LEAST_CHARS = 40
-#: Code points from which a line under LEAST_CHARS may differ in one place: an edit of a shorter one would be over a tenth of it.
-SHORT_CHARS = 10
-#: A line may differ in one word for so many words that it has, and is found by the hashes of so many words in a row.
-WORDS_AN_EDIT, GRAM = 10, 5
-#: Classes of the shorter line's words: from so many words, WORDS_AN_EDIT leaves at least so many untouched in a row.
-_RUNS = [(10, 5), (20, 6), (30, 7), (40, 8), (90, 9)]
-#: Buckets of word counts by which pairs are told apart. An edit of a word moves them by two at most.
-_BAG = 32
+from .common import SPACE, components, keyed, materialize, small, unused
+
+#: Edits of code points that link lines of so many code points or more, and of fewer than SHORT_WORDS words: one edit of a shorter line is over a tenth of it.
+CHAR_EDITS = ((10, 1), (40, 2))
+SHORT_WORDS = 12
+#: Edits of words that link lines, by the words of the shorter one.
+WORD_EDITS = ((10, 1), (30, 2), (60, 3))
+#: Letters that stand for words in the filter of candidates.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+#: Lines with one key from which they meet one of them before they meet each other.
+HOT = 64
 #: Powers of two, down, for the search of common beginnings and ends of lines.
 _STEPS = [1 << k for k in range(24, -1, -1)]
 
@@ -49,25 +46,57 @@ def _piece(edits: int, i: int, n: Column) -> tuple[Column, Column]:
     return i * base + F.greatest(F.lit(0), i - first_long) + 1, base + (F.lit(i) >= first_long).cast("int")
 
 
-def segment_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
-    """Keys of a line: first those of its own edits + 1 segments, which it is found by, then those that it only looks for."""
-    own, probes, plain = [], [], F.octet_length(line) == n
+def _words(text: Column, n: Column) -> Column:
+    """The first n words, or the last if n is negative."""
+    return F.call_function("substring_index", text, F.lit(" "), n)
+
+
+def _offsets(edits: int):
+    """less, segment, shift: where a line that is ``less`` units longer than its partner may hold a segment of it."""
     for less in range(edits + 1):
-        shorter = n - less
         for i in range(edits + 1):
+            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                yield less, i, shift
+
+
+def segment_keys(line: Column, n: Column, edits: int) -> Column:
+    """Array of (key, own) of a line of n code points: own for its own edits + 1 segments, which it is found by; the others it only looks for."""
+    found, plain = [], F.octet_length(line) == n
+    for less, i, shift in _offsets(edits):
+        shorter = n - less
+        start, size = _piece(edits, i, shorter)
+        at = start + shift
+        # bytes are reached at once; code points of other lines are counted from the start
+        piece = F.when(plain, F.substring(line.cast("binary"), at, size)).otherwise(F.substring(line, at, size).cast("binary"))
+        key = F.when((at >= 1) & (at + size - 1 <= n), F.xxhash64(shorter, F.lit(i), piece))
+        found.append(F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("own")))
+    return F.array(*found)
+
+
+def word_keys(line: Column, n: Column) -> Column:
+    """The same by words, for a line of n words; the edits are those of the partner that a key is for."""
+    found = []
+    for (least, edits), (most, _) in zip(WORD_EDITS, (*WORD_EDITS[1:], (1 << 30, 0))):
+        for less, i, shift in _offsets(edits):
+            shorter = n - less
             start, size = _piece(edits, i, shorter)
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                inside = (at >= 1) & (at + size - 1 <= n)
-                # bytes are reached at once; code points of other lines are counted from the start
-                piece = F.when(plain, F.substring(line.cast("binary"), at, size)).otherwise(F.substring(line, at, size).cast("binary"))
-                key = F.xxhash64(shorter, F.lit(i), piece)
-                if less == 0 and shift == 0:
-                    own.append(key)
-                else:
-                    probes.append(F.when(inside, key))
-    return F.array(*own, *probes)
+            at = start + shift
+            piece = _words(_words(line, at + size - 1), -size)
+            fits = (shorter >= least) & (shorter < most) & (at >= 1) & (at + size - 1 <= n)
+            found.append(F.struct(F.when(fits, F.xxhash64(shorter, F.lit(i), piece)).alias("key"), F.lit(less == 0 and shift == 0).alias("own")))
+    return F.array(*found)
+
+
+def n_words(line: Column) -> Column:
+    return (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("int")
+
+
+def word_edits(n: Column) -> Column:
+    """Edits that link lines of which the shorter has n words; null if words don't count."""
+    found = F.lit(None).cast("int")
+    for least, edits in WORD_EDITS:
+        found = F.when(n >= least, F.lit(edits)).otherwise(found)
+    return found
 
 
 def letter_counts(line: Column) -> Column:
@@ -114,7 +143,7 @@ def _automaton(a: Column, b: Column, edits: int) -> Column:
     return (at >= 0) & (at < width) & (final.bitwiseAND(bit) != 0)
 
 
-def within(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
+def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     """Pairs of strings that are within ``edits`` edits: common beginnings and ends are set aside, the rest is verified."""
     def rest(text: Column, head: Column, tail: Column) -> Column:
         size = F.length(text) - head - tail
@@ -134,106 +163,134 @@ def within(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
     return pairs.where(close).where(_let(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), verified)).select(*pairs.columns)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, line_no (from 0), line for every line of every text; a null text has one empty line."""
+def lines_of(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """uid, doc_id, line_no (from 0), line for every line of every text; a null text has one empty line. uid is ``key``, or tells the texts of an id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return rows.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    uid = F.col(key) if key else F.xxhash64("text")
+    rows = docs.select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return rows.select("uid", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def linked_lines(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, most: int | None = None) -> DataFrame:
-    """a, b: hashes of different lines (line, others) that are within ``edits`` edits, both of ``least`` code points or more, and of ``most`` or fewer."""
-    fits = F.length("line") >= least
-    long_ = lines.where(fits if most is None else fits & (F.length("line") <= most)).select(F.xxhash64("line").alias("h"), "line", F.length("line").alias("n"))
-    keyed = long_.select("h", F.posexplode(segment_keys(F.col("line"), F.col("n"), edits)).alias("pos", "key")).where("key is not null")
+def line_id(line: Column) -> Column:
+    """128 bits that stand for a line."""
+    return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(line, F.lit(1)).alias("y"))
+
+
+def _candidates(lines: DataFrame, keys: Column, signature: Column, alike, links) -> DataFrame:
+    """a, b (128-bit ids): pairs of ``lines`` (line, n) with a key in common, own to the one, that ``alike`` doesn't rule out by signature and ``links`` confirms.
+
+    Keys with many lines meet in two steps: each of its lines meets one of
+    them; then only lines that this leaves in different components meet, so a
+    large group of near copies isn't expanded into its pairs.
+    """
+    rows = lines.withColumn("h", F.xxhash64("line"))
     # written once: making the keys costs more than reading them twice
-    keyed = materialize(keyed.select("key", "h", (F.col("pos") <= edits).alias("own")))
+    keyed_ = materialize(rows.select("h", F.inline(keys)).where("key is not null"))
     shared = materialize(
-        keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("own")).where("low != high and own").select(F.col("key").alias("k"))
-    )
-    rows = materialize(keyed.join(small(shared), F.col("key") == F.col("k"), "left_semi").groupBy("key", "h").agg(F.max("own").alias("own")))
-    needed = rows.select("h").distinct()
-    texts = materialize(
-        long_.select("h", "line").join(small(needed), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")).withColumn("counts", letter_counts(F.col("line")))
+        keyed_.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("own"), F.count("*").alias("c")).where("low != high and own").select(F.col("key").alias("k"), (F.col("c") > HOT).alias("hot"))
     )
-    rows = rows.join(texts.select("h", "counts"), "h")
-    x = rows.where("own").select("key", F.col("h").alias("x"), F.col("counts").alias("cx"))
-    y = rows.select("key", F.col("h").alias("y"), F.col("own").alias("both"), F.col("counts").alias("cy"))
-    # where both are found by the key, the pair comes once; the letters' counts rule most pairs out within the join
-    alike = F.aggregate(F.zip_with("cx", "cy", lambda m, n: F.abs(m - n)), F.lit(0), lambda t, d: t + d) <= 2 * edits
-    met = x.join(y, (x["key"] == y["key"]) & ((F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & ~F.col("both"))) & alike)
-    pairs = materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    spelt = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
-    spelt = spelt.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    return within(spelt, "line_a", "line_b", edits).select("a", "b")
-
-
-def word_keys(words: Column) -> Column:
-    """Hashes of GRAM words in a row, of which any run that a partner of WORDS_AN_EDIT keeps untouched holds one: the smallest of each of its windows."""
-    # the shortest partner decides, and smaller windows choose all that larger ones do
-    shortest = F.ceil(F.size(words) * WORDS_AN_EDIT / (WORDS_AN_EDIT + 1))
-    window = F.lit(_RUNS[0][1] - GRAM + 1)
-    for start, run in _RUNS[1:]:
-        window = F.when(shortest >= start, F.lit(run - GRAM + 1)).otherwise(window)
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (GRAM - 1)), lambda i: F.xxhash64(F.slice(words, i, GRAM)))
-    smallest = lambda g: F.transform(F.sequence(F.lit(1), F.size(g) - window + 1), lambda i: F.array_min(F.slice(g, i, window)))
-    return F.array_distinct(_let(grams, smallest))
-
-
-def word_counts(words: Column) -> Column:
-    """How many words fall in each of _BAG buckets."""
-    buckets = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(_BAG)).cast("int"))
-    return _let(buckets, lambda b: F.transform(F.sequence(F.lit(0), F.lit(_BAG - 1)), lambda i: F.size(b) - F.size(F.array_remove(b, i))))
-
-
-def words_within(a: Column, b: Column) -> Column:
-    """Whether arrays of words are within an edit of a word for each WORDS_AN_EDIT words of the shorter: words become code points, alike where the words are."""
-    known = F.array_distinct(F.concat(a, b))
-    # planes above the surrogates: 0x10000 and on
-    spelt = lambda words, k: F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(F.array_position(k, w) + 65535), 8, "0")), "")), "UTF-32")
-    edits = F.floor(F.least(F.size(a), F.size(b)) / WORDS_AN_EDIT).cast("int")
-    return _let(known, lambda k: F.call_function("levenshtein", spelt(a, k), spelt(b, k), edits)) >= 0
+    held = materialize(keyed_.join(small(shared), F.col("key") == F.col("k")).groupBy("key", "h", "hot").agg(F.max("own").alias("own")))
+    needed = held.select("h").distinct()
+    texts = rows.join(small(needed), "h", "left_semi").groupBy("h", line_id(F.col("line")).alias("id")).agg(F.min("line").alias("line"), F.min("n").alias("n"))
+    texts = materialize(texts.withColumn("sign", signature))
+    signs = texts.select("h", "id", "n", "sign")
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct())
+        side = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
+        return materialize(links(pairs.join(side("a"), "a").join(side("b"), "b").repartition(parts, "a", "b")).select("a", "b"))
+
+    full = held.join(signs, "h").drop("h")
+    x = full.where("own").select("key", "hot", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("sign").alias("si"))
+    y = full.select("key", F.col("id").alias("j"), F.col("own").alias("both"), F.col("n").alias("nj"), F.col("sign").alias("sj"))
+    # the first of a hot key's own lines
+    centre = x.where("hot").groupBy("key").agg(F.min(F.struct("i", "ni", "si")).alias("c")).select("key", "c.*")
+    stars = confirmed(centre.join(y, "key").where((F.col("i") != F.col("j")) & alike))
+    met = components(stars)
+    at = lambda c: met.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    x, y = x.join(at("i"), "i", "left"), y.join(at("j"), "j", "left")
+    # where both are found by the key, the pair comes once
+    once = (F.col("i") < F.col("j")) | ((F.col("i") > F.col("j")) & ~F.col("both"))
+    apart = F.coalesce(F.col("ci") != F.col("cj"), F.lit(True))
+    return stars.union(confirmed(x.join(y, (x["key"] == y["key"]) & once & apart & alike)))
+
+
+def linked_lines(lines: DataFrame, edits: int, least: int, most: int | None = None) -> DataFrame:
+    """a, b: different lines (line, others) that are within ``edits`` edits of code points, both of ``least`` code points or more, of ``most`` or fewer, and of fewer than SHORT_WORDS words."""
+    fits = F.length("line") >= least
+    chosen = lines.where(fits if most is None else fits & (F.length("line") <= most)).where(n_words(F.col("line")) < SHORT_WORDS).select("line", F.length("line").alias("n"))
+    # an edit moves the counts of letters by two at most
+    alike = (F.abs(F.col("ni") - F.col("nj")) <= edits) & (F.aggregate(F.zip_with("si", "sj", lambda m, n: F.abs(m - n)), F.lit(0), lambda t, d: t + d) <= 2 * edits)
+    return _candidates(chosen, segment_keys(F.col("line"), F.col("n"), edits), letter_counts(F.col("line")), alike, lambda pairs: within(pairs, "line_a", "line_b", edits))
+
+
+def _word_letters(line: Column) -> Column:
+    """A letter for each word; equal words have equal letters, so no edit of words is more of letters."""
+    return F.array_join(F.transform(F.split(line, " "), lambda w: F.substring(F.lit(_LETTERS), F.pmod(F.xxhash64(w), F.lit(64)).cast("int") + 1, F.lit(1))), "")
+
+
+def words_within(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of lines within the edits of words that their lengths allow, by the automaton; common words at both ends are set aside."""
+
+    def head(x: Column, y: Column, length: Column) -> Column:
+        step = lambda at, s: F.when((at + s <= length) & (_words(x, at + s) == _words(y, at + s)), at + s).otherwise(at)
+        return F.aggregate(F.array(*map(F.lit, _STEPS)), F.lit(0), step)
+
+    def tail(x: Column, y: Column, length: Column) -> Column:
+        step = lambda at, s: F.when((at + s <= length) & (_words(x, -(at + s)) == _words(y, -(at + s))), at + s).otherwise(at)
+        return F.aggregate(F.array(*map(F.lit, _STEPS)), F.lit(0), step)
+
+    def verified(p: Column) -> Column:
+        few = F.least(F.size(p.x), F.size(p.y))
+
+        def close(h: Column, t: Column, edits: int) -> Column:
+            pad = F.array_repeat(F.lit(""), edits)
+            rest = lambda words: F.slice(words, h + 1, F.size(words) - h - t)
+            return _let(F.struct(F.concat(pad, rest(p.x), pad, pad).alias("x"), rest(p.y).alias("y")), lambda q: _automaton(q.x, q.y, edits))
+
+        def by_edits(h: Column, t: Column) -> Column:
+            found = F.lit(False)
+            for least, edits in WORD_EDITS:
+                found = F.when(few >= least, close(h, t, edits)).otherwise(found)
+            return found
+
+        return _let(head(p.a, p.b, few), lambda h: _let(tail(p.a, p.b, few - h), lambda t: by_edits(h, t)))
+
+    given = F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.split(a, " ").alias("x"), F.split(b, " ").alias("y"))
+    return pairs.where(_let(given, verified))
 
 
 def linked_by_words(lines: DataFrame) -> DataFrame:
-    """a, b: hashes of different lines (line, others) that differ in at most one word for each WORDS_AN_EDIT words of the shorter."""
-    words = F.split("line", " ")
-    long_ = lines.select(F.xxhash64("line").alias("h"), "line").where(F.size(words) >= WORDS_AN_EDIT)
-    keyed = materialize(long_.select("h", F.explode(word_keys(words)).alias("key")).distinct())
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
-    rows = materialize(keyed.join(small(materialize(shared)), F.col("key") == F.col("k"), "left_semi"))
-    texts = long_.join(small(rows.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-    texts = materialize(texts.select("h", words.alias("words"), F.size(words).alias("n"), word_counts(words).alias("counts")))
-    rows = rows.join(texts.select("h", "n", "counts"), "h")
-    x = rows.select("key", F.col("h").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
-    y = rows.select("key", F.col("h").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
-    edits = F.floor(F.least("na", "nb") / WORDS_AN_EDIT)
-    alike = F.aggregate(F.zip_with("ca", "cb", lambda m, n: F.abs(m - n)), F.lit(0), lambda t, d: t + d) <= 2 * edits
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= edits) & alike)
-    pairs = materialize(met.select("a", "b").distinct())
-    spelt = pairs.join(texts.select(F.col("h").alias("a"), F.col("words").alias("words_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("words").alias("words_b")), "b")
-    spelt = spelt.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    return spelt.where(words_within(F.col("words_a"), F.col("words_b"))).select("a", "b")
-
-
-def near_lines(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """a, b: links of every length: one edit from SHORT_CHARS code points, ``edits`` from ``least``, and a tenth of the words."""
-    found = linked_lines(lines, edits, least).union(linked_by_words(lines))
-    return found.union(linked_lines(lines, 1, SHORT_CHARS, least)) if SHORT_CHARS < least else found
-
-
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+    """a, b: different lines (line, others) within the edits of words that their lengths allow."""
+    chosen = lines.select("line", n_words(F.col("line")).alias("n")).where(F.col("n") >= WORD_EDITS[0][0])
+    edits = word_edits(F.least("ni", "nj"))
+    alike = (F.abs(F.col("ni") - F.col("nj")) <= edits) & (F.call_function("levenshtein", F.col("si"), F.col("sj"), edits) >= 0)
+    return _candidates(chosen, word_keys(F.col("line"), F.col("n")), _word_letters(F.col("line")), alike, lambda pairs: words_within(pairs, "line_a", "line_b"))
+
+
+def near_lines(lines: DataFrame) -> DataFrame:
+    """a, b (128-bit ids): links of every length, by CHAR_EDITS and WORD_EDITS."""
+    found = linked_by_words(lines)
+    for (least, edits), more in zip(CHAR_EDITS, (*CHAR_EDITS[1:], None)):
+        # a line under the next class's length may be linked with one of just that length
+        found = found.union(linked_lines(lines, edits, least, more[0] if more else None))
+    return found
+
+
+def line_classes(docs: DataFrame, key: str | None = None) -> DataFrame:
     """uid, doc_id, line_no, class_id, kept for every line of every row of ``docs`` (doc_id, text, others).
 
     Equal lines are of one class, and so are lines that chains of links
-    connect: at most ``edits`` edits from ``least`` code points, one edit from
-    SHORT_CHARS, or one word for each WORDS_AN_EDIT words of the shorter line.  The class's line of
-    the smallest doc_id (null is smallest) and line number is kept; blank
-    lines always are.  Rows alike in doc_id and text count as one.
+    connect (CHAR_EDITS, WORD_EDITS); lines of under ten code points must be
+    equal.  The class's line of the smallest doc_id (null is smallest), uid and
+    line number is kept; blank lines always are.  uid is ``key``, a column that
+    numbers the rows, where one is given; else rows alike in doc_id and text
+    count as one.  class_id is a hash of the class's smallest line.
     """
-    lines = lines_of(docs)
-    slim = materialize(lines.select("uid", "doc_id", "line_no", F.xxhash64("line").alias("h"), F.col("line").rlike(f"^[{SPACE}]*$").alias("blank")))
-    found = materialize(components(near_lines(lines, edits, least)))
+    lines = lines_of(docs, key)
+    slim = materialize(lines.select("uid", "doc_id", "line_no", line_id(F.col("line")).alias("h"), F.col("line").rlike(f"^[{SPACE}]*$").alias("blank")))
+    found = materialize(components(near_lines(lines)))
     place = F.struct("doc_id", "uid", "line_no")
     firsts = slim.where("not blank").groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = firsts.join(found.select(F.col("node").alias("h"), "component"), "h", "left")
@@ -243,15 +300,18 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     known = materialize(many.select("h", "class_id").join(best, "class_id"))
     joined = slim.join(small(known), "h", "left")
     kept = F.col("blank") | F.col("first").isNull() | (F.col("first") == place)
-    return joined.select("uid", "doc_id", "line_no", F.coalesce("class_id", "h").alias("class_id"), kept.alias("kept"))
+    return joined.select("uid", "doc_id", "line_no", F.xxhash64(F.coalesce("class_id", "h")).alias("class_id"), kept.alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """``docs`` without the lines that aren't kept; every document stays, if need be with an empty text, and a null text stays null."""
-    flags = line_classes(docs, edits, least).groupBy("uid", "line_no").agg(F.max("kept").alias("kept"))
-    drops = flags.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("line_no", "kept"))).alias("flags"), F.min("kept").alias("all_kept")).where("not all_kept")
-    drops = materialize(drops.select(F.col("uid").alias("_uid"), F.col("flags.kept").alias("_kept")))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.withColumn("_of", F.xxhash64(F.col("doc_id").cast("long"), text)).join(small(drops, 200_000), F.col("_of") == F.col("_uid"), "left")
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: F.get("_kept", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("_kept").isNull(), F.col("text")).otherwise(rest)).select(docs.columns)
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` without the lines that aren't kept; every row stays, if need be with an empty text, and a null text stays null.
+
+    Each row stands for itself: of two equal rows, one loses its lines.
+    """
+    rows, key = keyed(docs)
+    flags = line_classes(rows, key).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("line_no", "kept"))).alias("flags"), F.min("kept").alias("all_kept"))
+    of, kept = unused(rows, "kept_of"), unused(rows, "kept")
+    drops = materialize(flags.where("not all_kept").select(F.col("uid").alias(of), F.col("flags.kept").alias(kept)))
+    joined = rows.join(small(drops, 50_000_000, F.size(kept) + 16), F.col(key) == F.col(of), "left")
+    rest = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: F.get(kept, i)), "\n")
+    return joined.withColumn("text", F.when(F.col(kept).isNull(), F.col("text")).otherwise(rest)).select(docs.columns)
