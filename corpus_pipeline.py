@@ -2,6 +2,11 @@
 
 Each stage takes what its predecessor kept.  All but the last return the
 columns of documents: the mix repeats a document's row once for each copy.
+Every stage numbers its rows and decides by row, so null and repeated ids are
+rows like any other.  A null or empty text scores what a text without toxic
+words does, has no lines to drop, no near copy and no words to weigh, and packs
+as one end token.  Empty tables give empty tables.  Columns beyond those of
+documents are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,15 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionlake.llm import line_dedup, mixing, near_dups, packing, toxicity
-from motionlake.llm.common import materialize, small, table
+from motionlake.llm.common import keyed, materialize, small, table, unused
 from motionlake.llm.queries import tokenizer_path
 
 
+def _without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows whose key isn't in ``gone`` (gone), without the key."""
+    name = unused(docs, "gone")
+    gone = materialize(gone.select(F.col("gone").alias(name)))
+    return docs.join(small(gone), F.col(key) == F.col(name), "left_anti").drop(key)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    bad = materialize(scored.where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(small(bad), F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    rows, key = keyed(docs)
+    scored = toxicity.toxicity(rows, table(spark, sf_dir, "labels"), key=key)
+    return _without(rows, key, scored.where("predicted = 1").select(F.col(key).alias("gone")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +39,26 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; documents without words all stay."""
-    gone = materialize(near_dups.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """Of each group of near copies the row of the smallest doc_id (null is smallest; rows in their order); documents without words all stay."""
+    rows, key = keyed(docs)
+    found = near_dups.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).where("n_shingles > 0")
+    ids = rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("own"))
+    # groups of one row need no look
+    grouped = found.where("not kept").select("component_id").distinct()
+    members = materialize(found.join(small(materialize(grouped)), "component_id", "left_semi").select(F.col("doc_id").alias("row"), "component_id").join(ids, "row"))
+    first = members.groupBy("component_id").agg(F.min(F.struct("own", "row")).alias("first"))
+    gone = members.join(small(materialize(first)), "component_id").where("first.row != row")
+    return _without(rows, key, gone.select(F.col("row").alias("gone")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; those without words stay once, as they weigh nothing."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias("_copies"))
-    taken = materialize(taken.where("_copies != 1").select(F.col("doc_id").alias("_id"), "_copies"))
-    rows = docs.join(small(taken), F.col("doc_id").cast("long") == F.col("_id"), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    return rows.withColumn("_copy", F.explode(F.expr("if(_copies > 0, sequence(1, cast(_copies as int)), cast(array() as array<int>))"))).select(docs.columns)
+    """Rows as often as the mix takes each; those without words stay once, as they weigh nothing."""
+    rows, key = keyed(docs)
+    of, copies, copy = (unused(rows, name) for name in ("mixed_row", "copies", "copy"))
+    taken = mixing.mix(rows, key=key).select(F.col(key).alias(of), F.when(F.col("size") > 0, F.col("copies")).otherwise(1).cast("int").alias(copies))
+    taken = materialize(taken.where(F.col(copies) != 1))
+    mixed = rows.join(small(taken), F.col(key) == F.col(of), "left").withColumn(copies, F.coalesce(copies, F.lit(1)))
+    return mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(docs.columns)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
