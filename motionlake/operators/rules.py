@@ -12,10 +12,17 @@ def issues(rows: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
     return rows.select("*", F.inline(found))
 
 
-def purge(rows: DataFrame, owner: str, order: list[Column], size: str, budget: float) -> DataFrame:
-    """Oldest first, what must go so that each owner's rest fits the budget: all rows whose own and later sizes pass it."""
-    later = Window.partitionBy(owner).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return rows.withColumn("kept_with", F.sum(size).over(later)).where(F.col("kept_with") > budget)
+def purge(rows: DataFrame, owner: str, order: list[Column], size: str, budget: float, preserve: Column | None = None) -> DataFrame:
+    """Oldest first, what must go so that each owner's rest fits the budget; preserved rows stay, and count."""
+    stays = F.lit(False) if preserve is None else preserve
+    every = Window.partitionBy(owner)
+    gone = F.coalesce(F.sum(F.when(stays, 0).otherwise(F.col(size))).over(every.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("left", F.sum(size).over(every) - gone).where(~stays & (F.col("left") > budget))
+
+
+def capped(rows: DataFrame, owner: str, priority: str, order: list[str], size: str, cap: float) -> DataFrame:
+    """What must go, lowest priority number first, then in order, so that each owner's rest fits the cap; rows without a priority stay."""
+    return purge(rows, owner, [F.col(priority), *map(F.col, order)], size, cap, F.col(priority).isNull())
 
 
 def sequence_faults(rows: DataFrame, key: str, order: list[str], seq: str) -> DataFrame:
@@ -35,6 +42,20 @@ def snapshot(rows: DataFrame, key: str, order: list[str], value: str) -> DataFra
     return rows.groupBy(key).agg(F.max(F.struct(*order, value)).alias("s")).select(key, "s.*")
 
 
+def last_stage(rows: DataFrame, key: str, order: list[str], stage: str) -> DataFrame:
+    """key, stage, n: the stage of each key's last row, and how many rows it has had since it last changed.
+
+    A maximum for each key and stage comes first, so a busy key isn't gathered.
+    """
+    at = F.struct(*order)
+    ends = rows.groupBy(key, stage).agg(F.max(at).alias("at"))
+    last = ends.groupBy(key).agg(F.max(F.struct("at", stage)).alias("s")).select(F.col(key).alias("_k"), F.col(f"s.{stage}").alias("_stage"))
+    other = ends.join(last, ends[key] == last["_k"]).where(F.col(stage) != F.col("_stage")).groupBy(key).agg(F.max("at").alias("since"))
+    known = last.join(other, F.col("_k") == other[key], "left").select("_k", "_stage", "since")
+    mine = rows.join(known, (rows[key] == F.col("_k")) & (rows[stage] == F.col("_stage"))).where(F.col("since").isNull() | (at > F.col("since")))
+    return mine.groupBy(rows[key], rows[stage]).agg(F.count("*").alias("n"))
+
+
 def liveness(rows: DataFrame, key: str, at: str, warn: int, fail: int, stall: int) -> DataFrame:
     """key, state: by the time from a key's last row to the last of all."""
     last = rows.groupBy(key).agg(F.max(at).alias("at"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +25,13 @@ def rms(series: DataFrame) -> DataFrame:
 
 
 def smooth5(series: DataFrame) -> DataFrame:
-    """Taps 1, 2, 3, 2, 1 over nine, zeros beyond the ends, less the smoothed mean."""
+    """Taps 1, 2, 3, 2, 1 over nine, zeros beyond the ends, less the smoothed mean; series of under 32 samples, and flat ones, are left out."""
     w = Window.partitionBy("series_key").orderBy("n")
     at = lambda k: F.coalesce(F.lag("x", k).over(w), F.lit(0.0)) if k > 0 else F.coalesce(F.lead("x", -k).over(w), F.lit(0.0))
     raw = (at(2) + 2 * at(1) + 3 * F.col("x") + 2 * at(-1) + at(-2)) / 9
-    return centred(series.select("series_key", "n", raw.alias("x")))
+    every = Window.partitionBy("series_key")
+    told = centred(series.select("series_key", "n", raw.alias("x"))).withColumn("c", F.count("*").over(every)).withColumn("s", F.stddev_pop("x").over(every))
+    return told.where("c >= 32 and s > 1e-6").select("series_key", "n", "x")
 
 
 def difference(series: DataFrame) -> DataFrame:
@@ -60,24 +65,22 @@ def iir_band_pass(series: DataFrame, fps: float, low_hz: float, high_hz: float)
     return arrays(series).select("series_key", F.posexplode(F.aggregate("xs", start, step, lambda s: s.ys)).alias("n", "x"))
 
 
-def spectrum(series: DataFrame, buckets: int, fps: float) -> DataFrame:
-    """series_key, k, freq_hz, amp: |DFT of the centred series| / N for k = 0 .. N/2.
+def spectrum(packed: DataFrame, buckets: int, fps: float) -> DataFrame:
+    """series_key, k, freq_hz, amp from series_key, xs: |DFT of the centred series| / N for k = 0 .. N/2.
 
-    Angles are reduced modulo N.  Each series stays one row while it is
-    transformed; only its bins become rows.
+    A series is one row of bounded length; Arrow batches of them are
+    transformed at once.
     """
-    turn = 2 * math.pi / buckets
-
-    def part(fn) -> Column:
-        def add(acc: Column, p: Column) -> Column:
-            return acc + p.x * fn(F.pmod(F.col("k") * p.n, F.lit(buckets)) * turn)
 
-        return F.aggregate("ps", F.lit(0.0), add)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, buckets)
+            amp = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)) / buckets
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * amp.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(amp.ravel()))], names=["series_key", "amps"])
 
-    packed = centred(series).groupBy("series_key").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("ps"))
-    bins = packed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(buckets // 2))))
-    re, im = part(F.cos), part(F.sin)
-    return bins.select("series_key", "k", (F.col("k") * (fps / buckets)).alias("freq_hz"), (F.sqrt(re * re + im * im) / buckets).alias("amp"))
+    bins = packed.select("series_key", F.col("xs").cast("array<double>").alias("xs")).mapInArrow(run, "series_key string, amps array<double>")
+    return bins.select("series_key", F.posexplode("amps").alias("k", "amp")).select("series_key", "k", (F.col("k") * (fps / buckets)).alias("freq_hz"), "amp")
 
 
 def band_energy(spectra: DataFrame, low_hz: float, high_hz: float) -> DataFrame:
@@ -112,11 +115,18 @@ def median_spectrum(spectra: DataFrame) -> DataFrame:
 
 
 def support(spectra: DataFrame, peaks_: DataFrame) -> DataFrame:
-    """For each bin that is some series' peak: the share of all series whose highest value among the bin and its neighbours is at the bin."""
-    w = Window.partitionBy("series_key").orderBy("k").rowsBetween(-1, 1)
-    local = spectra.withColumn("hit", ((F.col("amp") >= F.max("amp").over(w)) & (F.col("amp") > 0)).cast("double"))
+    """k, support: for each bin that is some series' peak, the share of all series with their first highest value there, among the bin and its neighbours.
+
+    The first and the last bin are no neighbours.
+    """
+    every = Window.partitionBy("series_key")
+    at = every.orderBy("k")
+    rows = spectra.withColumn("last", F.max("k").over(every)).withColumn("p", F.lag("amp").over(at)).withColumn("q", F.lead("amp").over(at))
+    first = F.when(F.col("k") - 1 >= 1, F.col("amp") > F.col("p")).otherwise(F.lit(True))
+    high = F.when(F.col("k") + 1 <= F.col("last") - 1, F.col("amp") >= F.col("q")).otherwise(F.lit(True))
+    hit = (F.col("k") >= 1) & (F.col("k") <= F.col("last") - 1) & (F.col("amp") > 0) & first & high
     bins = peaks_.select("k").distinct()
-    return local.join(bins, "k").groupBy("k").agg(F.avg("hit").alias("support"))
+    return rows.withColumn("hit", hit.cast("double")).join(bins, "k").groupBy("k").agg(F.avg("hit").alias("support"))
 
 
 def ewma(rows: DataFrame, key: str, order: list[str], value: str, keep: float) -> DataFrame:

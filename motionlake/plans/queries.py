@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import streaming as T
@@ -12,7 +12,7 @@ from ..operators import bands as B
 from ..operators import grid as G
 from ..operators import rules as R
 from ..operators import series as S
-from ..sources import grid, micros, series, table
+from ..sources import grid, micros, series, series_arrays, table
 
 N, FPS = 128, 16.0
 LOW, HIGH = 1.0, 4.0
@@ -72,7 +72,7 @@ def _events(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFr
 
 
 def _spectra(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFrame:
-    return S.spectrum(_events(spark, sf_dir, key), N, FPS)
+    return S.spectrum(series_arrays(table(spark, sf_dir, "events"), key, N), N, FPS)
 
 
 @query(f"WITH {_series_sql('event_type')} SELECT series_key, n, round(x, 6) + 0.0 AS x FROM s")
@@ -98,7 +98,7 @@ def heatmap_energy(spark, sf_dir):
 @query(f"""WITH {_series_sql('event_type')}, t AS (
   SELECT series_key, n, (coalesce(lag(x, 2) OVER w, 0) + 2 * coalesce(lag(x) OVER w, 0) + 3 * x + 2 * coalesce(lead(x) OVER w, 0) + coalesce(lead(x, 2) OVER w, 0)) / 9 AS x
   FROM s WINDOW w AS (PARTITION BY series_key ORDER BY n)
-) SELECT series_key, n, round(x - avg(x) OVER (PARTITION BY series_key), 6) + 0.0 AS x FROM t""")
+) SELECT series_key, n, round(x - avg(x) OVER (PARTITION BY series_key), 6) + 0.0 AS x FROM t QUALIFY count(*) OVER (PARTITION BY series_key) >= 32 AND stddev_pop(x) OVER (PARTITION BY series_key) > 1e-6""")
 def series_smooth5(spark, sf_dir):
     return _rounded(S.smooth5(_events(spark, sf_dir)), "x")
 
@@ -150,7 +150,7 @@ def median_spectrum(spark, sf_dir):
     return _rounded(S.median_spectrum(_spectra(spark, sf_dir, "user_id")), "freq_hz", "amp")
 
 
-@query(f"""WITH {_spectra_sql('user_id')} {_PEAKS}, h AS (SELECT series_key, k, CASE WHEN amp > 0 AND amp >= max(amp) OVER (PARTITION BY series_key ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) THEN 1.0 ELSE 0.0 END::DOUBLE AS hit FROM f)
+@query(f"""WITH {_spectra_sql('user_id')} {_PEAKS}, h AS (SELECT series_key, k, CASE WHEN k BETWEEN 1 AND {N // 2 - 1} AND amp > 0 AND (k = 1 OR amp > lag(amp) OVER v) AND (k = {N // 2 - 1} OR amp >= lead(amp) OVER v) THEN 1.0 ELSE 0.0 END::DOUBLE AS hit FROM f WINDOW v AS (PARTITION BY series_key ORDER BY k))
 SELECT k, round(avg(hit), 6) + 0.0 AS support FROM h WHERE k IN (SELECT k FROM r WHERE rank <= 10) GROUP BY k""")
 def peak_support_fraction(spark, sf_dir):
     spectra = _spectra(spark, sf_dir, "user_id")
@@ -183,9 +183,11 @@ def confidence_analysis(spark, sf_dir):
     return _rounded(G.confidence(grid(table(spark, sf_dir, "lineitem")), 0.98, 0.01, "analysis"), "weight")
 
 
-@query(f"WITH {_GRID} SELECT a.grid_id, a.row, a.col, round(avg(b.value), 4) + 0.0 AS support FROM g a JOIN g b ON a.grid_id = b.grid_id AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2, 3")
+@query(f"""WITH {_GRID}, h AS (SELECT grid_id, row, col, CASE WHEN (row * 3 + col) % 7 <> 0 THEN value END AS value FROM g)
+SELECT a.grid_id, a.row, a.col, round(CASE WHEN any_value(a.value) IS NULL THEN 0 ELSE avg(b.value) END, 4) + 0.0 AS support FROM h a JOIN h b ON a.grid_id = b.grid_id AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2, 3""")
 def grid_local_support(spark, sf_dir):
-    return G.local_mean(grid(table(spark, sf_dir, "lineitem"))).withColumn("support", _r(F.col("support"), 4))
+    holed = F.when((F.col("row") * 3 + F.col("col")) % 7 != 0, F.col("value")).otherwise(F.lit(float("nan")))
+    return G.local_mean(grid(table(spark, sf_dir, "lineitem")).withColumn("value", holed)).withColumn("support", _r(F.col("support"), 4))
 
 
 @query(f"WITH {_GRID} SELECT grid_id, CAST(floor(row / 4) AS INTEGER) AS row, CAST(floor(col / 4) AS INTEGER) AS col, round(avg(value), 4) + 0.0 AS value FROM g GROUP BY 1, 2, 3")
@@ -193,9 +195,9 @@ def grid_meanpool(spark, sf_dir):
     return G.mean_pool(grid(table(spark, sf_dir, "lineitem")), 4).withColumn("value", _r(F.col("value"), 4))
 
 
-@query(f"""WITH {_GRID} SELECT c.grid_id, c.row, c.col, round(sqrt(pow(d.value - u.value, 2) + pow(r.value - l.value, 2)) / 2, 4) + 0.0 AS magnitude FROM g c
-JOIN g u ON u.grid_id = c.grid_id AND u.row = c.row - 1 AND u.col = c.col JOIN g d ON d.grid_id = c.grid_id AND d.row = c.row + 1 AND d.col = c.col
-JOIN g l ON l.grid_id = c.grid_id AND l.row = c.row AND l.col = c.col - 1 JOIN g r ON r.grid_id = c.grid_id AND r.row = c.row AND r.col = c.col + 1""")
+@query(f"""WITH {_GRID} SELECT c.grid_id, c.row, c.col, round(sqrt(pow(coalesce(d.value - u.value, 0), 2) + pow(coalesce(r.value - l.value, 0), 2)), 4) + 0.0 AS magnitude FROM g c
+LEFT JOIN g u ON u.grid_id = c.grid_id AND u.row = c.row - 1 AND u.col = c.col LEFT JOIN g d ON d.grid_id = c.grid_id AND d.row = c.row + 1 AND d.col = c.col
+LEFT JOIN g l ON l.grid_id = c.grid_id AND l.row = c.row AND l.col = c.col - 1 LEFT JOIN g r ON r.grid_id = c.grid_id AND r.row = c.row AND r.col = c.col + 1""")
 def grid_gradient(spark, sf_dir):
     return G.gradient(grid(table(spark, sf_dir, "lineitem"))).withColumn("magnitude", _r(F.col("magnitude"), 4))
 
@@ -242,14 +244,26 @@ def admission_rules(spark, sf_dir):
     return R.issues(table(spark, sf_dir, "orders"), rules).select("o_orderkey", "severity", "code")
 
 
-@query("""SELECT o_custkey, o_orderkey FROM (SELECT *, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS k FROM orders) WHERE k > 500000""")
+@query("""SELECT o_custkey, o_orderkey FROM (SELECT *, sum(o_totalprice) OVER (PARTITION BY o_custkey) AS total,
+  coalesce(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE o_totalprice END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM orders)
+WHERE o_orderpriority <> '1-URGENT' AND total - gone > 500000""")
 def retention_purge(spark, sf_dir):
-    return R.purge(table(spark, sf_dir, "orders"), "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")], "o_totalprice", 500000.0).select("o_custkey", "o_orderkey")
+    order = [F.col("o_orderdate"), F.col("o_orderkey")]
+    return R.purge(table(spark, sf_dir, "orders"), "o_custkey", order, "o_totalprice", 500000.0, F.col("o_orderpriority") == "1-URGENT").select("o_custkey", "o_orderkey")
 
 
-@query("SELECT event_id FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE event_id <= p")
+@query("""WITH c AS (SELECT *, CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN 1 WHEN '5-LOW' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '2-HIGH' THEN 4 END AS p FROM orders)
+SELECT o_custkey, o_orderkey FROM (SELECT *, sum(o_totalprice) OVER (PARTITION BY o_custkey) - coalesce(sum(CASE WHEN p IS NULL THEN 0 ELSE o_totalprice END) OVER (PARTITION BY o_custkey ORDER BY p NULLS FIRST, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM c)
+WHERE p IS NOT NULL AND l > 400000""")
+def diagnostics_cap(spark, sf_dir):
+    classes = ("4-NOT SPECIFIED", "5-LOW", "3-MEDIUM", "2-HIGH")
+    priority = F.expr("case o_orderpriority " + " ".join(f"when '{c}' then {i}" for i, c in enumerate(classes, 1)) + " end")
+    return R.capped(table(spark, sf_dir, "orders").withColumn("priority", priority), "o_custkey", "priority", ["o_orderkey"], "o_totalprice", 400000.0).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT event_id FROM (SELECT event_id, event_id % 7 AS seq, lag(event_id % 7) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE seq <= p")
 def seq_violation(spark, sf_dir):
-    return R.sequence_faults(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_id").select("event_id")
+    return R.sequence_faults(table(spark, sf_dir, "events").withColumn("seq", F.col("event_id") % 7), "user_id", ["ts", "event_id"], "seq").select("event_id")
 
 
 @query("SELECT user_id, event_type, CAST(sum(t) AS BIGINT) AS took FROM (SELECT user_id, event_type, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) - epoch_us(ts) AS t FROM events) WHERE t IS NOT NULL GROUP BY 1, 2")
@@ -264,50 +278,160 @@ def json_props_rules(spark, sf_dir):
 
 
 @query("""SELECT vec_id, CAST(k AS INTEGER) AS k, round(sqrt(pow(sum(x * cos((k * n % 64) * (2 * pi() / 64))), 2) + pow(sum(x * sin((k * n % 64) * (2 * pi() / 64))), 2)) / 64, 6) + 0.0 AS amp
-FROM (SELECT vec_id, i - 1 AS n, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) t(i)) CROSS JOIN range(33) g(k) GROUP BY vec_id, k""")
+FROM (SELECT vec_id, i - 1 AS n, embedding[i]::DOUBLE - list_avg(embedding::DOUBLE[]) AS x FROM embeddings, range(1, 65) t(i)) CROSS JOIN range(33) g(k) GROUP BY vec_id, k""")
 def array_spectrum(spark, sf_dir):
-    turn = 2 * math.pi / 64
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.struct(x.alias("x"), i.alias("n"))).alias("ps"))
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(32))))
-    re, im = (F.aggregate("ps", F.lit(0.0), lambda acc, p: acc + p.x * fn(F.pmod(F.col("k") * p.n, F.lit(64)) * turn)) for fn in (F.cos, F.sin))
-    return rows.select("vec_id", "k", _r(F.sqrt(re * re + im * im) / 64).alias("amp"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("series_key"), F.col("embedding").alias("xs"))
+    return S.spectrum(rows, 64, 64.0).select(F.col("series_key").cast("long").alias("vec_id"), "k", _r(F.col("amp")).alias("amp"))
 
 
-def _edges_sql(share: float) -> str:
-    return f"""WITH {_spectra_sql('event_type')} {_PEAKS}, e AS (SELECT r.series_key, r.rank, r.k, max(f.k) AS last,
+def _edges_sql(share: float, inner: int) -> str:
+    return f"""{_spectra_sql('event_type')} {_PEAKS}, e AS (SELECT r.series_key, r.rank, r.k, r.freq_hz AS peak_hz, max(f.k) AS last,
       max(f.k) FILTER (WHERE f.k < r.k AND f.amp < {share}::DOUBLE * r.amp) AS under, min(f.k) FILTER (WHERE f.k > r.k AND f.amp < {share}::DOUBLE * r.amp) AS over_
-      FROM r JOIN f ON f.series_key = r.series_key WHERE r.rank <= 3 GROUP BY 1, 2, 3)
-    SELECT series_key, rank, k, greatest(coalesce(under + 1, 1), 1)::INTEGER AS k_low, least(coalesce(over_ - 1, last - 1), last - 1)::INTEGER AS k_high FROM e"""
+      FROM r JOIN f ON f.series_key = r.series_key WHERE r.rank <= 10 GROUP BY 1, 2, 3, 4),
+    eb AS (SELECT series_key, rank, k, peak_hz, greatest(coalesce(under, {inner}), {inner})::INTEGER AS k_low, least(coalesce(over_, last - {inner}), last - {inner})::INTEGER AS k_high FROM e)"""
 
 
-def _edges(spark: SparkSession, sf_dir: str, share: float) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str, share: float, inner: int) -> DataFrame:
     spectra = _spectra(spark, sf_dir)
-    return B.edges(spectra, S.peaks(spectra, 3), share)
+    return B.edges(spectra, S.peaks(spectra, 10), share, inner)
+
+
+_BIN, RANGE = FPS / N, (0.5, 7.0)
+_QA_WIDTHS = f"""wa AS (SELECT *, greatest({RANGE[0]}::DOUBLE, k_low * {_BIN}::DOUBLE) AS l0, least({RANGE[1]}::DOUBLE, k_high * {_BIN}::DOUBLE) AS h0 FROM eb),
+ wt AS (SELECT *, CASE WHEN h0 - l0 < 0.25 THEN greatest({RANGE[0]}::DOUBLE, peak_hz - 0.125) ELSE l0 END AS l1, CASE WHEN h0 - l0 < 0.25 THEN least({RANGE[1]}::DOUBLE, peak_hz + 0.125) ELSE h0 END AS h1 FROM wa),
+ wd AS (SELECT *, CASE WHEN h1 - l1 > 2.5 THEN greatest({RANGE[0]}::DOUBLE, peak_hz - 1.25) ELSE l1 END AS low_hz, CASE WHEN h1 - l1 > 2.5 THEN least({RANGE[1]}::DOUBLE, peak_hz + 1.25) ELSE h1 END AS high_hz FROM wt)"""
+_BB_WIDTHS = f"""wa AS (SELECT *, greatest({RANGE[0]}::DOUBLE, k_low * {_BIN}::DOUBLE) AS l0, least({RANGE[1]}::DOUBLE, k_high * {_BIN}::DOUBLE) AS h0,
+   greatest(0.375, least({RANGE[1] - RANGE[0]}::DOUBLE, greatest(0.75, peak_hz * 0.9::DOUBLE))) AS m0 FROM eb),
+ wm AS (SELECT *, CASE WHEN peak_hz < 0.5 THEN least(m0, 0.45::DOUBLE) WHEN peak_hz > {RANGE[1]}::DOUBLE * 0.65::DOUBLE THEN greatest(m0, 0.9::DOUBLE) ELSE m0 END AS most FROM wa),
+ wt AS (SELECT *, CASE WHEN h0 - l0 < 0.375 THEN greatest({RANGE[0]}::DOUBLE, peak_hz - 0.1875) ELSE l0 END AS l1, CASE WHEN h0 - l0 < 0.375 THEN least({RANGE[1]}::DOUBLE, peak_hz + 0.1875) ELSE h0 END AS h1 FROM wm),
+ wd AS (SELECT *, CASE WHEN h1 - l1 > most THEN greatest({RANGE[0]}::DOUBLE, peak_hz - most / 2) ELSE l1 END AS low_hz, CASE WHEN h1 - l1 > most THEN least({RANGE[1]}::DOUBLE, peak_hz + most / 2) ELSE h1 END AS high_hz FROM wt)"""
+
 
+def _wide(edges: DataFrame, how) -> DataFrame:
+    peak = F.col("k") * _BIN
+    low, high = how(F.col("k_low") * _BIN, F.col("k_high") * _BIN, peak, _BIN, *RANGE)
+    return edges.select("series_key", "rank", "k", peak.alias("peak_hz"), low.alias("low_hz"), high.alias("high_hz"))
 
-@query(_edges_sql(0.5))
+
+@query(f"WITH {_edges_sql(0.5, 0)}, {_BB_WIDTHS} SELECT series_key, rank, k_low, k_high, round(low_hz, 6) + 0.0 AS low_hz, round(high_hz, 6) + 0.0 AS high_hz FROM wd")
 def band_edges_half(spark, sf_dir):
-    return _edges(spark, sf_dir, 0.5)
+    edges = _edges(spark, sf_dir, 0.5, 0)
+    return _rounded(_wide(edges, B.suggested_widths).join(edges.select("series_key", "rank", "k_low", "k_high"), ["series_key", "rank"]).drop("k", "peak_hz"), "low_hz", "high_hz")
 
 
-@query(_edges_sql(0.45))
+@query(f"WITH {_edges_sql(0.45, 1)}, {_QA_WIDTHS} SELECT series_key, rank, k_low, k_high, round(low_hz, 6) + 0.0 AS low_hz, round(high_hz, 6) + 0.0 AS high_hz FROM wd")
 def band_edges_45(spark, sf_dir):
-    return _edges(spark, sf_dir, 0.45)
+    edges = _edges(spark, sf_dir, 0.45, 1)
+    return _rounded(_wide(edges, B.widths).join(edges.select("series_key", "rank", "k_low", "k_high"), ["series_key", "rank"]).drop("k", "peak_hz"), "low_hz", "high_hz")
 
 
-@query(f"""WITH {_spectra_sql('user_id')} {_PEAKS}, held AS (SELECT series_key, rank, greatest(freq_hz - 0.5::DOUBLE, {LOW}::DOUBLE) AS low, least(freq_hz + 0.5::DOUBLE, {HIGH}::DOUBLE) AS high FROM r WHERE rank <= 10)
-SELECT series_key, rank, CASE WHEN low < high THEN low END AS low, CASE WHEN low < high THEN high END AS high FROM held""")
+@query(f"""WITH {_spectra_sql('user_id')} {_PEAKS}, p AS (SELECT *, freq_hz - 0.5::DOUBLE AS a, freq_hz + (CASE WHEN k % 2 = 0 THEN 0.5 ELSE -1.5 END)::DOUBLE AS b FROM r WHERE rank <= 10),
+held AS (SELECT *, least(greatest(a, {LOW}::DOUBLE), {HIGH}::DOUBLE) AS lo, least(greatest(b, {LOW}::DOUBLE), {HIGH}::DOUBLE) AS hi, least(greatest(freq_hz, {LOW}::DOUBLE), {HIGH}::DOUBLE) AS c FROM p)
+SELECT series_key, rank, CASE WHEN hi < lo THEN c ELSE lo END AS low, CASE WHEN hi < lo THEN c ELSE hi END AS high FROM held""")
 def band_clamp(spark, sf_dir):
-    low, high = B.clamp(F.col("freq_hz") - 0.5, F.col("freq_hz") + 0.5, LOW, HIGH)
+    peak = F.col("freq_hz")
+    low, high = B.clamp(peak - 0.5, peak + F.when(F.col("k") % 2 == 0, 0.5).otherwise(-1.5), peak, LOW, HIGH)
     return S.peaks(_spectra(spark, sf_dir, "user_id"), 10).select("series_key", "rank", low.alias("low"), high.alias("high"))
 
 
+_BB = """, w2 AS (SELECT *, lag(amp) OVER v AS p2, lead(amp) OVER v AS q2 FROM f WINDOW v AS (PARTITION BY series_key ORDER BY k)),
+  t2 AS (SELECT *, coalesce(amp >= p2 AND amp > q2, false) AS top, row_number() OVER (PARTITION BY series_key ORDER BY amp DESC, k) AS nth FROM w2),
+  bb AS (SELECT series_key, k, freq_hz, amp FROM t2 QUALIFY top OR (NOT bool_or(top) OVER (PARTITION BY series_key) AND nth = 1))"""
+
+
+@query(f"WITH {_spectra_sql('event_type')} {_BB} SELECT series_key, k, round(freq_hz, 6) + 0.0 AS freq_hz, round(amp, 6) + 0.0 AS amp FROM bb")
+def peaks_bb(spark, sf_dir):
+    return _rounded(B.peaks_bb(_spectra(spark, sf_dir)), "freq_hz", "amp")
+
+
+@query(f"""WITH {_spectra_sql('event_type')} {_BB}, o AS (SELECT series_key, k, amp, quantile_cont(amp, 0.5) OVER (PARTITION BY series_key) AS m, quantile_cont(amp, 0.75) OVER (PARTITION BY series_key ORDER BY k ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS l,
+  quantile_cont(amp, 0.75) OVER (PARTITION BY series_key ORDER BY k ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS r FROM f)
+SELECT o.series_key, o.k, round(greatest(o.amp - greatest(m, coalesce(l, m), coalesce(r, m)), 0), 6) + 0.0 AS prominence FROM o JOIN bb ON bb.series_key = o.series_key AND bb.k = o.k""")
+def peak_prominence(spark, sf_dir):
+    spectra = _spectra(spark, sf_dir)
+    return _rounded(B.prominence(spectra, B.peaks_bb(spectra), N // 2 + 1), "prominence")
+
+
+@query(f"""WITH {_spectra_sql('event_type')} {_BB}, x AS (SELECT a.series_key, a.k, a.freq_hz, a.amp, count(*) AS n,
+  coalesce(0.30::DOUBLE * least(1.0, max(b.amp) FILTER (WHERE abs(b.freq_hz - a.freq_hz * 2) <= greatest({2 * FPS / N}::DOUBLE, a.freq_hz * 2 * 0.08::DOUBLE)) / a.amp), 0.0) AS two,
+  coalesce(0.12::DOUBLE * least(1.0, max(b.amp) FILTER (WHERE abs(b.freq_hz - a.freq_hz * 3) <= greatest({2 * FPS / N}::DOUBLE, a.freq_hz * 3 * 0.08::DOUBLE)) / a.amp), 0.0) AS three
+  FROM bb a JOIN bb b ON a.series_key = b.series_key GROUP BY 1, 2, 3, 4)
+SELECT series_key, k, round(CASE WHEN n > 1 AND freq_hz > 0 AND amp > 1e-6 THEN least(two + three, 1.0) ELSE 0 END, 6) + 0.0 AS bonus FROM x""")
+def harmonic_bonus(spark, sf_dir):
+    return _rounded(B.harmonic_bonus(B.peaks_bb(_spectra(spark, sf_dir)), FPS / N), "bonus")
+
+
+@query(f"""WITH {_spectra_sql('event_type')} {_PEAKS}, p AS (SELECT series_key, rank, freq_hz * 1.37::DOUBLE AS hz FROM r WHERE rank <= 5)
+SELECT p.series_key, p.rank, CAST(arg_min(g.k, (abs(g.k * {FPS / N}::DOUBLE - hz), g.k)) AS INTEGER) AS bin FROM p, range({N // 2 + 1}) g(k) GROUP BY 1, 2""")
+def nearest_bin(spark, sf_dir):
+    peaks = S.peaks(_spectra(spark, sf_dir), 5)
+    return B.nearest_bin(peaks, F.col("freq_hz") * 1.37, FPS / N, N // 2).select("series_key", "rank", "bin")
+
+
+_COVER = f"""{_edges_sql(0.45, 1)}, {_QA_WIDTHS}, sc AS (SELECT series_key, freq_hz, amp / max(amp) OVER (PARTITION BY series_key) AS score FROM r WHERE rank <= 10 AND rank % 2 = 1),
+ cs AS (SELECT wd.series_key, wd.rank AS band, coalesce(max(sc.score) FILTER (WHERE sc.freq_hz BETWEEN wd.low_hz - {_BIN}::DOUBLE AND wd.high_hz + {_BIN}::DOUBLE), arg_min(sc.score, (abs(sc.freq_hz - wd.peak_hz), -sc.score)), 0.0) AS peak_score
+  FROM wd LEFT JOIN sc ON sc.series_key = wd.series_key GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_COVER} SELECT series_key, band, round(peak_score, 6) + 0.0 AS peak_score FROM cs")
+def band_contains_peak(spark, sf_dir):
+    spectra = _spectra(spark, sf_dir)
+    peaks = S.peaks(spectra, 10)
+    bands = _wide(B.edges(spectra, peaks, 0.45, 1), B.widths).withColumnRenamed("rank", "band")
+    top = peaks.groupBy("series_key").agg(F.max(F.when(F.col("rank") % 2 == 1, F.col("amp"))).alias("top"))
+    scored = peaks.where("rank % 2 = 1").join(top, "series_key").withColumn("score", F.col("amp") / F.col("top"))
+    return _rounded(B.covering_score(bands, scored, _BIN), "peak_score")
+
+
+_SPLIT = f"""{_edges_sql(0.45, 1)}, {_QA_WIDTHS}, o AS (SELECT *, CAST(row_number() OVER (PARTITION BY series_key ORDER BY low_hz, k) AS INTEGER) AS nth FROM wd),
+ pr AS (SELECT a.series_key, a.nth, b.nth AS nth2, a.k AS ka, b.k AS kb, a.peak_hz FROM o a JOIN o b ON a.series_key = b.series_key AND a.nth < b.nth AND b.k > a.k + 1),
+ va AS (SELECT pr.series_key, nth, nth2, peak_hz, ka, kb, arg_min(f.k, (f.amp, f.k)) AS kv, min(f.amp) AS v, min(f.amp) FILTER (WHERE f.k IN (ka, kb)) AS small FROM pr JOIN f ON f.series_key = pr.series_key AND f.k BETWEEN ka AND kb GROUP BY 1, 2, 3, 4, 5, 6),
+ vc AS (SELECT series_key, nth, nth2, peak_hz, kv * {_BIN}::DOUBLE AS valley FROM va WHERE kv > ka AND kv < kb AND small > 1e-6 AND v <= 0.55::DOUBLE * small),
+ sb AS (SELECT o.series_key, o.nth, o.k, o.peak_hz, o.low_hz, o.high_hz, x.valley AS right_, y.valley AS left_ FROM o LEFT JOIN vc x ON x.series_key = o.series_key AND x.nth = o.nth AND x.nth2 = o.nth + 1
+   LEFT JOIN vc y ON y.series_key = o.series_key AND y.nth2 = o.nth AND y.nth = o.nth - 1),
+ sl AS (SELECT series_key, nth, k, peak_hz, high_hz, right_, CASE WHEN left_ IS NULL THEN low_hz WHEN greatest(low_hz, left_ + {_BIN / 4}::DOUBLE) >= high_hz THEN least(high_hz, greatest(low_hz, left_)) ELSE greatest(low_hz, left_ + {_BIN / 4}::DOUBLE) END AS low_hz FROM sb),
+ sp AS (SELECT series_key, nth, k, peak_hz, low_hz, CASE WHEN right_ IS NULL THEN high_hz WHEN least(high_hz, right_ - {_BIN / 4}::DOUBLE) <= low_hz THEN greatest(low_hz, least(high_hz, right_)) ELSE least(high_hz, right_ - {_BIN / 4}::DOUBLE) END AS high_hz FROM sl)"""
+
+
+def _split_bands(spectra: DataFrame) -> tuple[DataFrame, DataFrame]:
+    bands = _wide(B.edges(spectra, S.peaks(spectra, 10), 0.45, 1), B.widths)
+    order = Window.partitionBy("series_key").orderBy("low_hz", "k")
+    bands = bands.withColumn("rank", F.row_number().over(order))
+    cuts = B.valleys(spectra, bands)
+    return B.split(bands, cuts, _BIN), cuts
+
+
+@query(f"WITH {_SPLIT} SELECT series_key, nth AS rank, round(low_hz, 6) + 0.0 AS low_hz, round(high_hz, 6) + 0.0 AS high_hz FROM sp")
+def band_valley_split(spark, sf_dir):
+    bands, _ = _split_bands(_spectra(spark, sf_dir))
+    return _rounded(bands.select("series_key", "rank", "low_hz", "high_hz"), "low_hz", "high_hz")
+
+
+_MERGE = f"""{_SPLIT}, ms AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY low_hz, high_hz, peak_hz) AS i FROM sp),
+ fold AS (SELECT series_key, i, 1 AS band, low_hz, high_hz, peak_hz FROM ms WHERE i = 1 UNION ALL
+  SELECT m.series_key, m.i, CASE WHEN j THEN c.band ELSE c.band + 1 END, CASE WHEN j THEN least(c.low_hz, m.low_hz) ELSE m.low_hz END, CASE WHEN j THEN greatest(c.high_hz, m.high_hz) ELSE m.high_hz END, CASE WHEN j THEN c.peak_hz ELSE m.peak_hz END
+  FROM (SELECT c.*, m.low_hz - c.high_hz <= greatest(0.10::DOUBLE, (c.high_hz - c.low_hz) * 0.15::DOUBLE) AND NOT EXISTS (SELECT 1 FROM vc WHERE vc.series_key = m.series_key AND vc.nth2 = m.nth AND vc.peak_hz = c.peak_hz) AS j
+    FROM fold c JOIN ms m ON m.series_key = c.series_key AND m.i = c.i + 1) c JOIN ms m ON m.series_key = c.series_key AND m.i = c.i + 1),
+ md AS (SELECT series_key, CAST(band AS INTEGER) AS band, arg_max(low_hz, i) AS low_hz, arg_max(high_hz, i) AS high_hz, arg_max(peak_hz, i) AS peak_hz FROM fold GROUP BY 1, 2)"""
+
+
+def _merged_bands(spectra: DataFrame) -> DataFrame:
+    bands, cuts = _split_bands(spectra)
+    parted = cuts.groupBy("series_key", F.col("rank2").alias("rank")).agg(F.collect_set("peak_hz").alias("cuts"))
+    return B.merged(bands.join(parted, ["series_key", "rank"], "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<double>"))))
+
+
+@query(f"WITH RECURSIVE {_MERGE} SELECT series_key, band, round(low_hz, 6) + 0.0 AS low_hz, round(high_hz, 6) + 0.0 AS high_hz, round(peak_hz, 6) + 0.0 AS peak_hz FROM md")
+def band_merge_fold(spark, sf_dir):
+    return _rounded(_merged_bands(_spectra(spark, sf_dir)), "low_hz", "high_hz", "peak_hz")
+
+
 @query(f"""WITH {_series_sql('event_type')}, q AS (
   SELECT series_key, k, sum(x * cos((k * n % {N}) * {2 * math.pi / N}::DOUBLE)) AS re, sum(x * sin((k * n % {N}) * {2 * math.pi / N}::DOUBLE)) AS im, CASE WHEN k IN (0, {N // 2}) THEN 1 ELSE 2 END AS w
   FROM s CROSS JOIN range({N // 2 + 1}) g(k) WHERE k * {FPS}::DOUBLE / {N} BETWEEN {LOW} AND {HIGH} GROUP BY series_key, k
 ) SELECT series_key, CAST(n AS INTEGER) AS n, round(sum(w * (re * cos((k * n % {N}) * {2 * math.pi / N}::DOUBLE) + im * sin((k * n % {N}) * {2 * math.pi / N}::DOUBLE))) / {N}, 6) + 0.0 AS x FROM q CROSS JOIN range({N}) h(n) GROUP BY series_key, n""")
 def series_fft_bandpass(spark, sf_dir):
-    return _rounded(B.fft_band_pass(S.arrays(_events(spark, sf_dir)), N, FPS, LOW, HIGH), "x")
+    return _rounded(B.fft_band_pass(series_arrays(table(spark, sf_dir, "events"), "event_type", N), N, FPS, LOW, HIGH), "x")
 
 
 @query(f"WITH {_series_sql('event_type')} SELECT a.series_key AS a, b.series_key AS b, round(abs(corr(a.x, b.x)), 6) + 0.0 AS corr FROM s a JOIN s b ON a.n = b.n AND a.series_key < b.series_key GROUP BY 1, 2")
@@ -320,6 +444,12 @@ def snapshot_fold(spark, sf_dir):
     return R.snapshot(table(spark, sf_dir, "events").withColumn("us", micros(F.col("ts"))), "user_id", ["us", "event_id"], "event_type").select("user_id", "event_type", F.col("us").alias("at"))
 
 
+@query("""WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i, first_value(event_type) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS t FROM events),
+ f AS (SELECT user_id, any_value(t) AS event_type, min(i) FILTER (WHERE event_type <> t) AS j, count(*) AS c FROM r GROUP BY 1) SELECT user_id, event_type, (coalesce(j, c + 1) - 1)::BIGINT AS n FROM f""")
+def stage_counters(spark, sf_dir):
+    return R.last_stage(table(spark, sf_dir, "events").withColumn("us", micros(F.col("ts"))), "user_id", ["us", "event_id"], "event_type")
+
+
 @query("""WITH l AS (SELECT user_id, max(epoch_us(ts)) AS seen FROM events GROUP BY 1), e AS (SELECT max(seen) AS last FROM l)
 SELECT user_id, CASE WHEN last - seen > 30 * 3600000000 THEN 'stalled' WHEN last - seen > 12 * 3600000000 THEN 'unresponsive' WHEN last - seen > 4 * 3600000000 THEN 'warning' ELSE 'alive' END AS state FROM l, e""")
 def liveness(spark, sf_dir):

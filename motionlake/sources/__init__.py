@@ -14,19 +14,23 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def series(events: DataFrame, key: str, buckets: int) -> DataFrame:
-    """series_key, n, x: mean value in equal-width time buckets of each key, 0 where a bucket is empty.
+def series_arrays(events: DataFrame, key: str, buckets: int, value: str = "value") -> DataFrame:
+    """series_key, xs: mean value in equal-width time buckets of each key, 0 where a bucket is empty.
 
     Two scalars, the first and last instant, come to the driver.  Every key
-    has all its buckets, so no later operator relies on the order of rows.
+    has all its buckets, at most ``buckets`` of them, in one array.
     """
-    rows = events.select(F.col(key).cast("string").alias("series_key"), micros(F.col("ts")).alias("us"), "value").where("us is not null")
+    rows = events.select(F.expr(key).cast("string").alias("series_key"), micros(F.col("ts")).alias("us"), F.expr(value).cast("double").alias("value")).where("us is not null")
     first, last = rows.agg(F.min("us"), F.max("us")).first()
     n = F.expr(f"cast((us - {first or 0}L) * {buckets}L div ({(last or 0) - (first or 0) + 1}L) as int)")
     means = rows.withColumn("n", n).groupBy("series_key", "n").agg(F.avg("value").alias("x"))
-    # a key's means, at most one a bucket, are laid into an array
     packed = means.groupBy("series_key").agg(F.map_from_entries(F.collect_list(F.struct("n", "x"))).alias("m"))
-    return packed.select("series_key", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("n"), "m").select("series_key", "n", F.coalesce(F.element_at("m", F.col("n")), F.lit(0.0)).alias("x"))
+    return packed.select("series_key", F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda n: F.coalesce(F.element_at("m", n), F.lit(0.0))).alias("xs"))
+
+
+def series(events: DataFrame, key: str, buckets: int) -> DataFrame:
+    """series_key, n, x: the same in rows."""
+    return series_arrays(events, key, buckets).select("series_key", F.posexplode("xs").alias("n", "x"))
 
 
 def grid(lineitem: DataFrame) -> DataFrame:
