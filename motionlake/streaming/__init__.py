@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared_dir
+
 
 def window_stats(events: DataFrame, width: str = "1 day") -> DataFrame:
     """start, event_type, n, total: counts and sums by tumbling window; serves batches and streams."""
@@ -21,7 +22,7 @@ def run_to_end(stream: DataFrame) -> DataFrame:
     State and progress are kept under ``spark.checkpoint.dir``, so that a lost executor costs a retry only.
     """
     spark = stream.sparkSession
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='motionlake-')}/streams/{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out")
