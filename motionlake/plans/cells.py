@@ -7,11 +7,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import centre_weight
 from ..operators import bands as B
 from ..operators import grid as G
 from ..operators import quality as Q
+from ..operators import suggestion as U
 from ..sources import cell_traces, table, written
-from .queries import _BOUNDS, FPS, N, _rounded, query
+from .queries import _BOUNDS, FPS, N, _r, _rounded, query
 
 FRAME = (640.0, 360.0)
 ROI = {"shape": "circle", "x": 320.0, "y": 180.0, "radius": 290.0}
@@ -225,3 +227,78 @@ def band_resolution(spark, sf_dir):
     scores = B.covering_score(found, peaks, BIN)
     out = Q.resolved_bands(found, scores, Q.localization(found, r.records, r.roi_spectra), peaks, LOW_HZ, HIGH_HZ, 3)
     return _rounded(out.select("series_key", "band", "low_hz", "high_hz", "peak_hz", "display_score"), "low_hz", "high_hz", "peak_hz", "display_score")
+
+
+SEARCH = (0.25, FPS / 2 * 0.85)
+FIRST = min(k for k in range(N) if k * BIN >= SEARCH[0])
+LAST = max(k for k in range(N // 2 + 1) if k * BIN <= SEARCH[1])
+
+
+def _candidates(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Candidates of each ROI's suggestion from the motion of its cells along x, and its spectrum."""
+    cells = written(cell_traces(table(spark, sf_dir, "events"), "event_type", "user_id % 12", "value", "value", N))
+    traces = cells.select("roi", "cell", "xs")
+    number = F.col("cell").cast("int")
+    fr, fc = (F.floor(number / 4) + 0.5) / 3, (number % 4 + 0.5) / 4
+    off = (fr < 0.18) | (fr > 0.82) | (fc < 0.18) | (fc > 0.82)
+    root = F.sqrt(F.aggregate("xs", F.lit(0.0), lambda t, x: t + x * x) / N)
+    places = traces.select("roi", "cell", F.greatest(root * centre_weight(fr, fc), F.lit(1e-6)).alias("w"), off.alias("edge"), (number == 11).alias("whole"))
+    bins, whole = U.searched(traces, places, N, FPS, *SEARCH)
+    whole = written(whole)
+    return written(U.candidates(written(bins), whole, BIN, LAST - FIRST + 1)), whole
+
+
+_CAND = f"""{_BOUNDS}, ev AS (SELECT event_type AS roi, CAST(user_id % 12 AS VARCHAR) AS cell, CAST((epoch_us(ts) - lo) * {N} // (hi - lo + 1) AS INTEGER) AS n, value FROM events, b),
+ mm AS (SELECT roi, cell, n, avg(value) AS x FROM ev GROUP BY 1, 2, 3), ids AS (SELECT DISTINCT roi, cell FROM ev),
+ tr AS (SELECT i.roi, i.cell, CAST(g.n AS INTEGER) AS n, coalesce(mm.x, 0.0) AS x FROM ids i CROSS JOIN range({N}) g(n) LEFT JOIN mm ON mm.roi = i.roi AND mm.cell = i.cell AND mm.n = g.n),
+ sm AS (SELECT roi, cell, n, (coalesce(lag(x, 2) OVER v, 0) + 2 * coalesce(lag(x) OVER v, 0) + 3 * x + 2 * coalesce(lead(x) OVER v, 0) + coalesce(lead(x, 2) OVER v, 0)) / 9 AS v FROM tr WINDOW v AS (PARTITION BY roi, cell ORDER BY n)),
+ sc AS (SELECT roi, cell, n, v - avg(v) OVER (PARTITION BY roi, cell) AS v FROM sm QUALIFY stddev_pop(v) OVER (PARTITION BY roi, cell) > 1e-6),
+ sd AS (SELECT roi, cell, n, v - coalesce(lag(v) OVER (PARTITION BY roi, cell ORDER BY n), v) AS v FROM sc),
+ pl AS (SELECT roi, cell, sqrt(avg(x * x)) AS rms, (CAST(cell AS INTEGER) // 4 + 0.5) / 3 AS fr, (CAST(cell AS INTEGER) % 4 + 0.5) / 4 AS fc FROM tr GROUP BY 1, 2),
+ pw AS (SELECT roi, cell, greatest(rms * least(greatest(1.10::DOUBLE - 0.70::DOUBLE * sqrt(pow(fr - 0.5, 2) + pow(fc - 0.5, 2)) / 0.5, 0.20), 1.0), 1e-6) AS w, fr < 0.18 OR fr > 0.82 OR fc < 0.18 OR fc > 0.82 AS edge, cell = '11' AS whole FROM pl),
+ s1 AS {_dft('sc', 'roi, cell')}, s2 AS {_dft('sd', 'roi, cell')},
+ cb AS (SELECT s1.roi, s1.cell, CAST(s1.k - {FIRST} AS INTEGER) AS k, s1.freq_hz, s1.amp, s2.amp AS damp, w, edge, whole FROM s1 JOIN s2 USING (roi, cell, k) JOIN pw USING (roi, cell) WHERE s1.k BETWEEN {FIRST} AND {LAST}),
+ f AS (SELECT roi AS series_key, k, freq_hz, sum(amp * w) / sum(w) AS amp, sum(damp * w) / sum(w) AS damp FROM cb GROUP BY 1, 2, 3),
+ w2 AS (SELECT *, lag(amp) OVER v AS p2, lead(amp) OVER v AS q2, max(amp) OVER e AS top, max(damp) OVER e AS dtop, quantile_cont(amp, 0.5) OVER e AS median, avg(amp) OVER (PARTITION BY series_key ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m5,
+   quantile_cont(amp, 0.75) OVER (PARTITION BY series_key ORDER BY k ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS l2, quantile_cont(amp, 0.75) OVER (PARTITION BY series_key ORDER BY k ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS r2 FROM f WINDOW v AS (PARTITION BY series_key ORDER BY k), e AS (PARTITION BY series_key)),
+ bb AS (SELECT * FROM w2 WHERE amp >= p2 AND amp > q2),
+ lc AS (SELECT roi, cell, k, w, edge, whole, max(amp) OVER (PARTITION BY roi, cell ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS peak, max(amp) OVER (PARTITION BY roi, cell) AS cmax, quantile_cont(amp, 0.5) OVER (PARTITION BY roi, cell) AS cmed FROM cb),
+ sp AS (SELECT roi, k, sum(CASE WHEN peak >= greatest(cmed * 1.8::DOUBLE, cmax * 0.45::DOUBLE) THEN greatest(cmax, 1e-6) ELSE 0 END) / sum(greatest(cmax, 1e-6)) AS support,
+   coalesce(CASE WHEN bool_or(NOT whole) THEN sum(peak * w) FILTER (WHERE edge AND NOT whole) / greatest(sum(peak * w) FILTER (WHERE NOT whole), 1e-6) ELSE sum(peak * w) FILTER (WHERE edge) / greatest(sum(peak * w), 1e-6) END, 0) AS edge FROM lc GROUP BY 1, 2),
+ hb AS (SELECT a.series_key, a.k, count(*) AS n, coalesce(0.30::DOUBLE * least(1.0, max(c.amp) FILTER (WHERE abs(c.freq_hz - a.freq_hz * 2) <= greatest({2 * BIN}::DOUBLE, a.freq_hz * 2 * 0.08::DOUBLE)) / any_value(a.amp)), 0.0) + coalesce(0.12::DOUBLE * least(1.0, max(c.amp) FILTER (WHERE abs(c.freq_hz - a.freq_hz * 3) <= greatest({2 * BIN}::DOUBLE, a.freq_hz * 3 * 0.08::DOUBLE)) / any_value(a.amp)), 0.0) AS bonus FROM bb a JOIN bb c ON a.series_key = c.series_key GROUP BY 1, 2),
+ ft AS (SELECT bb.series_key, bb.k, bb.freq_hz, bb.amp, support, edge, CASE WHEN n > 1 THEN least(bonus, 1.0) ELSE 0 END AS bonus, greatest(bb.amp - greatest(median, coalesce(l2, median), coalesce(r2, median)), 0) AS prominence, {_clip('1 - m5 / greatest(bb.amp, 1e-6)')} AS sharpness, CASE WHEN dtop > 1e-6 THEN damp / dtop ELSE 0 END AS period,
+   {_clip('(support - 0.80::DOUBLE) / 0.15::DOUBLE')} * {_clip('(0.65::DOUBLE - bb.freq_hz) / 0.30::DOUBLE')} AS ubiquity, top FROM bb JOIN sp ON sp.roi = bb.series_key AND sp.k = bb.k JOIN hb ON hb.series_key = bb.series_key AND hb.k = bb.k)"""
+
+
+@query(f"""WITH {_CAND} SELECT series_key, k, {_round_sql('support', 'edge', 'prominence', 'sharpness', 'period', 'ubiquity')}, round(0.55::DOUBLE * amp / greatest(top, 1e-6) + 0.20::DOUBLE * support + 0.15::DOUBLE * prominence / greatest(amp, 1e-6) + 0.10::DOUBLE * bonus
+ + 0.08::DOUBLE * period + 0.08::DOUBLE * sharpness + 0.10::DOUBLE * (1 - edge) - 0.18::DOUBLE * ubiquity, 6) + 0.0 AS score FROM ft""")
+def band_candidates(spark, sf_dir):
+    found, _ = _candidates(spark, sf_dir)
+    names = ("support", "edge", "prominence", "sharpness", "period", "ubiquity", "score")
+    return _rounded(found.select("series_key", "k", *names), *names)
+
+
+@query()
+def band_suggestion(spark, sf_dir):
+    """The band suggested for each ROI; its candidates and their scores have SQL, the rules that follow are tested on their own."""
+    found, whole = _candidates(spark, sf_dir)
+    out = U.suggested(found, whole, BIN, FIRST * BIN, *SEARCH)
+    return _rounded(out, "low_hz", "high_hz", "peak_hz", "confidence")
+
+
+@query(f"""WITH {_BASE}, cn AS (SELECT roi, cell, count(*)::DOUBLE AS c FROM ev GROUP BY 1, 2),
+ pe AS (SELECT roi, cell, band, sum(CASE WHEN freq_hz BETWEEN l AND h THEN amp * amp ELSE 0 END) / greatest(sum(amp * amp), 1e-9) AS e FROM bs, (VALUES {', '.join(f'({b}, {lo}, {hi})' for b, lo, hi in BANDS)}) v(band, l, h) GROUP BY 1, 2, 3),
+ ps AS (SELECT pe.roi, band, CAST(pe.cell AS INTEGER) // 4 AS row, CAST(pe.cell AS INTEGER) % 4 AS col, e * confidence * least(greatest(1.10::DOUBLE - 0.70::DOUBLE * sqrt(pow((CAST(pe.cell AS INTEGER) // 4 + 0.5) / 3 - 0.5, 2) + pow((CAST(pe.cell AS INTEGER) % 4 + 0.5) / 4 - 0.5, 2)) / 0.5, 0.20), 1.0) AS v FROM pe JOIN ids USING (roi, cell)),
+ pn AS (SELECT a.roi, a.band, a.row, a.col, avg(d.v) AS m FROM ps a JOIN ps d ON a.roi = d.roi AND a.band = d.band AND abs(a.row - d.row) <= 1 AND abs(a.col - d.col) <= 1 GROUP BY 1, 2, 3, 4)
+SELECT roi, band, round(max(m), 6) + 0.0 AS score FROM pn GROUP BY 1, 2""")
+def patch_score(spark, sf_dir):
+    """How well the best patch of 3 x 3 cells moves within each band."""
+    r = Region(spark, sf_dir)
+    fixed = F.broadcast(spark.createDataFrame(BANDS, "band int, low_hz double, high_hz double"))
+    inside = F.sum(F.when(F.col("freq_hz").between(F.col("low_hz"), F.col("high_hz")), F.col("amp") * F.col("amp")).otherwise(0.0))
+    rows = r.spectra.join(fixed).groupBy("roi", "cell", "band").agg((inside / F.greatest(F.sum(F.col("amp") * F.col("amp")), F.lit(1e-9))).alias("e"))
+    weight = centre_weight((F.col("row") + 0.5) / 3, (F.col("col") + 0.5) / 4)
+    rows = rows.join(r.cells.select("roi", "cell", "row", "col", "confidence"), ["roi", "cell"]).withColumn("value", F.col("e") * F.col("confidence") * weight)
+    near = G.local_mean(rows.select(F.concat_ws("|", "roi", "band").alias("grid_id"), "row", "col", "value"))
+    best = near.groupBy("grid_id").agg(_r(F.max("support")).alias("score"))
+    return best.select(F.split_part("grid_id", F.lit("|"), F.lit(1)).alias("roi"), F.split_part("grid_id", F.lit("|"), F.lit(2)).cast("int").alias("band"), "score")
