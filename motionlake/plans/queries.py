@@ -460,3 +460,27 @@ def liveness(spark, sf_dir):
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1, 2")
 def stream_window_stats(spark, sf_dir):
     return T.run_to_end(T.window_stats(T.events(spark, sf_dir))).withColumn("total", _r(F.col("total"), 4))
+
+
+def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of four chunks in order of time."""
+    rows = table(spark, sf_dir, "events").select("user_id", micros(F.col("ts")).alias("us"), "event_id", "value").where("value is not null")
+    return T.in_chunks(rows, "user_id", 4)
+
+
+_GAINS = S.low_pass_gain(4.0, 1.0), S.low_pass_gain(4.0, 0.1)
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL),
+ y AS (SELECT user_id, event_id, i, {_GAINS[0]}::DOUBLE * value AS h, {_GAINS[1]}::DOUBLE * value AS l FROM e WHERE i = 1 UNION ALL
+  SELECT e.user_id, e.event_id, e.i, y.h + {_GAINS[0]}::DOUBLE * (e.value - y.h), y.l + {_GAINS[1]}::DOUBLE * (e.value - y.l) FROM y JOIN e ON e.user_id = y.user_id AND e.i = y.i + 1)
+SELECT user_id, event_id, round(h - l, 6) + 0.0 AS y FROM y""")
+def stream_iir_equals_batch(spark, sf_dir):
+    return _rounded(T.appended(T.band_pass(_ticks(spark, sf_dir), "user_id", *_GAINS)), "y")
+
+
+@query("""WITH e AS (SELECT user_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 8 AS batch FROM events WHERE value IS NOT NULL)
+SELECT user_id, batch::BIGINT AS batch, count(*)::BIGINT AS n, round(avg(value), 6) + 0.0 AS mean FROM e GROUP BY 1, 2""")
+def stream_batch8(spark, sf_dir):
+    parts = T.appended(T.in_batches(_ticks(spark, sf_dir), "user_id"))
+    return parts.groupBy("user_id", "batch").agg(F.sum("n").alias("n"), _r(F.sum("total") / F.sum("n")).alias("mean"))

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import IntegerType
 
 from ..sources import shared_dir
 
@@ -36,3 +40,62 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files; the pattern also fits a single file."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
+def in_chunks(rows: DataFrame, key: str, chunks: int) -> DataFrame:
+    """``rows`` (us, others) as a stream of chunks in order of time, written to the shared folder one after the other.
+
+    A key's rows of a chunk are in one file, and files come in the order they
+    were written, so a key's chunks do, however many files a micro-batch takes.
+    """
+    spark = rows.sparkSession
+    root = f"{shared_dir(spark)}/chunks/{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = rows.stat.approxQuantile("us", [i / chunks for i in range(1, chunks)], 0.01)
+    for i, (low, high) in enumerate(zip([None, *edges], [*edges, None])):
+        part = rows if low is None else rows.where(F.col("us") > low)
+        part = part if high is None else part.where(F.col("us") <= high)
+        part.repartition(parts, key).write.parquet(f"{root}/chunk={i}")
+    return spark.readStream.schema(rows.schema.add("chunk", IntegerType())).option("maxFilesPerTrigger", parts).parquet(root).drop("chunk")
+
+
+def appended(stream: DataFrame) -> DataFrame:
+    """All rows that a stateful stream emits; each micro-batch has a folder of its own, so a retried one isn't doubled."""
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/number={number}")
+
+    stream.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out").select(stream.columns)
+
+
+def band_pass(rows: DataFrame, key: str, high: float, low: float) -> DataFrame:
+    """key, event_id, y from key, us, event_id, value, in chunks whose times don't overlap: difference of two one-pole low-passes, whose states are carried from chunk to chunk."""
+
+    def step(of: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        h, low_ = state.get if state.exists else (0.0, 0.0)
+        chunk = pd.concat(parts).sort_values(["us", "event_id"])
+        out = []
+        for x in chunk["value"]:
+            h, low_ = h + high * (x - h), low_ + low * (x - low_)
+            out.append(h - low_)
+        state.update((h, low_))
+        yield pd.DataFrame({key: of[0], "event_id": chunk["event_id"], "y": out})
+
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, y double", "h double, l double", "append", GroupStateTimeout.NoTimeout)
+
+
+def in_batches(rows: DataFrame, key: str, size: int = 8) -> DataFrame:
+    """key, batch, n, total: parts of batches of just ``size`` rows each, however chunks cut them; how many rows came before is carried. The parts of a batch add up, the last one's too."""
+
+    def step(of: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        (seen,) = state.get if state.exists else (0,)
+        chunk = pd.concat(parts).sort_values(["us", "event_id"])
+        state.update((seen + len(chunk),))
+        batch = (seen + pd.RangeIndex(len(chunk)).to_numpy()) // size
+        sums = chunk["value"].groupby(batch).agg(["count", "sum"])
+        yield pd.DataFrame({key: of[0], "batch": sums.index, "n": sums["count"], "total": sums["sum"]})
+
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, batch long, n long, total double", "seen long", "append", GroupStateTimeout.NoTimeout)
