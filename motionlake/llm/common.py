@@ -33,12 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders of the tables that were written since the last call of ``discard``.
+_written: list[str] = []
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete the tables written so far by ``materialize``; nothing may read them any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _written:
+        path = hadoop(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends there, and lost executors don't matter.
 
     Columns may repeat names of neither each other nor differ only in case, as in any Parquet table.
     """
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -38,19 +38,6 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _piece(edits: int, i: int, n: Column) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 0) of a line of n code points; the last segments are the longer ones."""
-    parts = edits + 1
-    base, longer = F.floor(n / parts).cast("int"), (n % parts).cast("int")
-    first_long = F.lit(parts) - longer
-    return i * base + F.greatest(F.lit(0), i - first_long) + 1, base + (F.lit(i) >= first_long).cast("int")
-
-
-def _words(text: Column, n: Column) -> Column:
-    """The first n words, or the last if n is negative."""
-    return F.call_function("substring_index", text, F.lit(" "), n)
-
-
 def _offsets(edits: int):
     """less, segment, shift: where a line that is ``less`` units longer than its partner may hold a segment of it."""
     for less in range(edits + 1):
@@ -59,44 +46,67 @@ def _offsets(edits: int):
                 yield less, i, shift
 
 
-def segment_keys(line: Column, n: Column, edits: int) -> Column:
-    """Array of (key, own) of a line of n code points: own for its own edits + 1 segments, which it is found by; the others it only looks for."""
-    found, plain = [], F.octet_length(line) == n
-    for less, i, shift in _offsets(edits):
-        shorter = n - less
-        start, size = _piece(edits, i, shorter)
-        at = start + shift
-        # bytes are reached at once; code points of other lines are counted from the start
-        piece = F.when(plain, F.substring(line.cast("binary"), at, size)).otherwise(F.substring(line, at, size).cast("binary"))
-        key = F.when((at >= 1) & (at + size - 1 <= n), F.xxhash64(shorter, F.lit(i), piece))
-        found.append(F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("own")))
-    return F.array(*found)
+def edits_of(n, classes) -> int:
+    """Edits that link lines of which the shorter has n units; 0 if none do."""
+    return max((edits for least, edits in classes if n >= least), default=0)
+
+
+def edits_at(n: Column, classes) -> Column:
+    """The same of a column; null if none do."""
+    found = F.lit(None).cast("int")
+    for least, edits in classes:
+        found = F.when(n >= least, F.lit(edits)).otherwise(found)
+    return found
+
+
+def _places(n: Column, classes) -> Column:
+    """Array of (parts, less, segment, shift, own): the keys of a line of n units. Around the borders of classes the partner's class decides."""
+    found, before = F.lit(None), None
+    for size in range(max(least + edits for least, edits in classes) + 1):
+        here = [
+            (edits + 1, less, i, shift, less == 0 and shift == 0)
+            for edits in sorted({e for _, e in classes}) for less, i, shift in _offsets(edits) if edits_of(size - less, classes) == edits
+        ]
+        if here != before:
+            rows = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("parts", "less", "segment", "shift", "own"), row)]) for row in here]) if here else F.lit(None)
+            found, before = F.when(n >= size, rows).otherwise(found), here
+    return found
+
+
+def segment_keys(units: Column, n: Column, classes, part) -> Column:
+    """Array of (key, own) of a line of n units: own for its own segments, which it is found by; the others it only looks for.
+
+    A line of n units has ``parts`` segments of n / parts units, the last ones
+    longer by one if need be.  ``part(units, start, size)`` is a piece of it.
+    """
+
+    def key(t: Column) -> Column:
+        shorter = n - t.less
+        base, longer = F.floor(shorter / t.parts).cast("int"), (shorter % t.parts).cast("int")
+        first_long = t.parts - longer
+        start = t.segment * base + F.greatest(F.lit(0), t.segment - first_long) + 1 + t["shift"]
+        size = base + (t.segment >= first_long).cast("int")
+        found = F.when((start >= 1) & (start + size - 1 <= n), F.xxhash64(shorter, t.segment, part(units, start, size)))
+        return F.struct(found.alias("key"), t.own.alias("own"))
+
+    return F.transform(_places(n, classes), key)
+
+
+def char_keys(line: Column, n: Column) -> Column:
+    return segment_keys(line, n, CHAR_EDITS, F.substring)
 
 
 def word_keys(line: Column, n: Column) -> Column:
-    """The same by words, for a line of n words; the edits are those of the partner that a key is for."""
-    found = []
-    for (least, edits), (most, _) in zip(WORD_EDITS, (*WORD_EDITS[1:], (1 << 30, 0))):
-        for less, i, shift in _offsets(edits):
-            shorter = n - less
-            start, size = _piece(edits, i, shorter)
-            at = start + shift
-            piece = _words(_words(line, at + size - 1), -size)
-            fits = (shorter >= least) & (shorter < most) & (at >= 1) & (at + size - 1 <= n)
-            found.append(F.struct(F.when(fits, F.xxhash64(shorter, F.lit(i), piece)).alias("key"), F.lit(less == 0 and shift == 0).alias("own")))
-    return F.array(*found)
+    return _let(F.split(line, " "), lambda words: segment_keys(words, n, WORD_EDITS, F.slice))
 
 
-def n_words(line: Column) -> Column:
-    return (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("int")
+def _words(text: Column, n: Column) -> Column:
+    """The first n words, or the last if n is negative."""
+    return F.call_function("substring_index", text, F.lit(" "), n)
 
 
-def word_edits(n: Column) -> Column:
-    """Edits that link lines of which the shorter has n words; null if words don't count."""
-    found = F.lit(None).cast("int")
-    for least, edits in WORD_EDITS:
-        found = F.when(n >= least, F.lit(edits)).otherwise(found)
-    return found
+def n_words(line: Column) -> Column:
+    return (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("int")
 
 
 def letter_counts(line: Column) -> Column:
@@ -143,24 +153,32 @@ def _automaton(a: Column, b: Column, edits: int) -> Column:
     return (at >= 0) & (at < width) & (final.bitwiseAND(bit) != 0)
 
 
-def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
-    """Pairs of strings that are within ``edits`` edits: common beginnings and ends are set aside, the rest is verified."""
+def _by_edits(few: Column, classes, close) -> Column:
+    """``close(edits)`` of the class that lines are in of which the shorter has so many units."""
+    found = F.lit(False)
+    for least, edits in classes:
+        found = F.when(few >= least, close(edits)).otherwise(found)
+    return found
+
+
+def chars_within(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of lines within the edits that CHAR_EDITS allow: common beginnings and ends are set aside, the rest is verified."""
+
     def rest(text: Column, head: Column, tail: Column) -> Column:
         size = F.length(text) - head - tail
         return F.when(size > 0, F.split(F.substring(text, head + 1, size), "")).otherwise(F.array().cast("array<string>"))
 
-    pad = F.array_repeat(F.lit(""), edits)
-
     def verified(p: Column) -> Column:
         few = F.least(F.length(p.x), F.length(p.y))
         ends = lambda head: _common(F.reverse(p.x), F.reverse(p.y), few - head)
-        return _let(
-            _common(p.x, p.y, few),
-            lambda head: _let(ends(head), lambda tail: _let(F.struct(F.concat(pad, rest(p.x, head, tail), pad, pad).alias("x"), rest(p.y, head, tail).alias("y")), lambda q: _automaton(q.x, q.y, edits))),
-        )
 
-    close = F.abs(F.length(a) - F.length(b)) <= edits
-    return pairs.where(close).where(_let(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), verified)).select(*pairs.columns)
+        def close(head: Column, tail: Column, edits: int) -> Column:
+            pad = F.array_repeat(F.lit(""), edits)
+            return _let(F.struct(F.concat(pad, rest(p.x, head, tail), pad, pad).alias("x"), rest(p.y, head, tail).alias("y")), lambda q: _automaton(q.x, q.y, edits))
+
+        return _let(_common(p.x, p.y, few), lambda head: _let(ends(head), lambda tail: _by_edits(few, CHAR_EDITS, lambda edits: close(head, tail, edits))))
+
+    return pairs.where(_let(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), verified)).select(*pairs.columns)
 
 
 def lines_of(docs: DataFrame, key: str | None = None) -> DataFrame:
@@ -216,13 +234,13 @@ def _candidates(lines: DataFrame, keys: Column, signature: Column, alike, links)
     return stars.union(confirmed(x.join(y, (x["key"] == y["key"]) & once & apart & alike)))
 
 
-def linked_lines(lines: DataFrame, edits: int, least: int, most: int | None = None) -> DataFrame:
-    """a, b: different lines (line, others) that are within ``edits`` edits of code points, both of ``least`` code points or more, of ``most`` or fewer, and of fewer than SHORT_WORDS words."""
-    fits = F.length("line") >= least
-    chosen = lines.where(fits if most is None else fits & (F.length("line") <= most)).where(n_words(F.col("line")) < SHORT_WORDS).select("line", F.length("line").alias("n"))
+def linked_by_chars(lines: DataFrame) -> DataFrame:
+    """a, b: different lines (line, others) of fewer than SHORT_WORDS words within the edits of code points that CHAR_EDITS allow."""
+    chosen = lines.select("line", F.length("line").alias("n")).where((F.col("n") >= CHAR_EDITS[0][0]) & (n_words(F.col("line")) < SHORT_WORDS))
+    edits = edits_at(F.least("ni", "nj"), CHAR_EDITS)
     # an edit moves the counts of letters by two at most
     alike = (F.abs(F.col("ni") - F.col("nj")) <= edits) & (F.aggregate(F.zip_with("si", "sj", lambda m, n: F.abs(m - n)), F.lit(0), lambda t, d: t + d) <= 2 * edits)
-    return _candidates(chosen, segment_keys(F.col("line"), F.col("n"), edits), letter_counts(F.col("line")), alike, lambda pairs: within(pairs, "line_a", "line_b", edits))
+    return _candidates(chosen, char_keys(F.col("line"), F.col("n")), letter_counts(F.col("line")), alike, lambda pairs: chars_within(pairs, "line_a", "line_b"))
 
 
 def _word_letters(line: Column) -> Column:
@@ -231,7 +249,7 @@ def _word_letters(line: Column) -> Column:
 
 
 def words_within(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of lines within the edits of words that their lengths allow, by the automaton; common words at both ends are set aside."""
+    """Pairs of lines within the edits of words that WORD_EDITS allow, by the automaton; common words at both ends are set aside."""
 
     def head(x: Column, y: Column, length: Column) -> Column:
         step = lambda at, s: F.when((at + s <= length) & (_words(x, at + s) == _words(y, at + s)), at + s).otherwise(at)
@@ -249,33 +267,23 @@ def words_within(pairs: DataFrame, a: str, b: str) -> DataFrame:
             rest = lambda words: F.slice(words, h + 1, F.size(words) - h - t)
             return _let(F.struct(F.concat(pad, rest(p.x), pad, pad).alias("x"), rest(p.y).alias("y")), lambda q: _automaton(q.x, q.y, edits))
 
-        def by_edits(h: Column, t: Column) -> Column:
-            found = F.lit(False)
-            for least, edits in WORD_EDITS:
-                found = F.when(few >= least, close(h, t, edits)).otherwise(found)
-            return found
-
-        return _let(head(p.a, p.b, few), lambda h: _let(tail(p.a, p.b, few - h), lambda t: by_edits(h, t)))
+        return _let(head(p.a, p.b, few), lambda h: _let(tail(p.a, p.b, few - h), lambda t: _by_edits(few, WORD_EDITS, lambda edits: close(h, t, edits))))
 
     given = F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.split(a, " ").alias("x"), F.split(b, " ").alias("y"))
     return pairs.where(_let(given, verified))
 
 
 def linked_by_words(lines: DataFrame) -> DataFrame:
-    """a, b: different lines (line, others) within the edits of words that their lengths allow."""
+    """a, b: different lines (line, others) within the edits of words that WORD_EDITS allow."""
     chosen = lines.select("line", n_words(F.col("line")).alias("n")).where(F.col("n") >= WORD_EDITS[0][0])
-    edits = word_edits(F.least("ni", "nj"))
+    edits = edits_at(F.least("ni", "nj"), WORD_EDITS)
     alike = (F.abs(F.col("ni") - F.col("nj")) <= edits) & (F.call_function("levenshtein", F.col("si"), F.col("sj"), edits) >= 0)
     return _candidates(chosen, word_keys(F.col("line"), F.col("n")), _word_letters(F.col("line")), alike, lambda pairs: words_within(pairs, "line_a", "line_b"))
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
-    """a, b (128-bit ids): links of every length, by CHAR_EDITS and WORD_EDITS."""
-    found = linked_by_words(lines)
-    for (least, edits), more in zip(CHAR_EDITS, (*CHAR_EDITS[1:], None)):
-        # a line under the next class's length may be linked with one of just that length
-        found = found.union(linked_lines(lines, edits, least, more[0] if more else None))
-    return found
+def near_lines(lines: DataFrame, short: DataFrame | None = None) -> DataFrame:
+    """a, b (128-bit ids): links of every length. ``short``: lines that may be linked by code points, where they are at hand."""
+    return linked_by_words(lines).union(linked_by_chars(lines if short is None else short))
 
 
 def line_classes(docs: DataFrame, key: str | None = None) -> DataFrame:
@@ -289,8 +297,9 @@ def line_classes(docs: DataFrame, key: str | None = None) -> DataFrame:
     count as one.  class_id is a hash of the class's smallest line.
     """
     lines = lines_of(docs, key)
-    slim = materialize(lines.select("uid", "doc_id", "line_no", line_id(F.col("line")).alias("h"), F.col("line").rlike(f"^[{SPACE}]*$").alias("blank")))
-    found = materialize(components(near_lines(lines)))
+    short = F.when((F.length("line") >= CHAR_EDITS[0][0]) & (n_words(F.col("line")) < SHORT_WORDS), F.col("line"))
+    slim = materialize(lines.select("uid", "doc_id", "line_no", line_id(F.col("line")).alias("h"), F.col("line").rlike(f"^[{SPACE}]*$").alias("blank"), short.alias("line")))
+    found = materialize(components(near_lines(lines, slim.where("line is not null").select("line").distinct())))
     place = F.struct("doc_id", "uid", "line_no")
     firsts = slim.where("not blank").groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = firsts.join(found.select(F.col("node").alias("h"), "component"), "h", "left")

@@ -24,7 +24,7 @@ from .common import materialize, thrifty
 
 WINDOW, END = 2048, 1
 #: Bytes of words and ids that one generation of the cache may hold, what an entry costs besides, and text bytes that are encoded at once.
-_CACHE_BYTES, _ENTRY, _PIECE = 16 << 20, 200, 500_000
+_CACHE_BYTES, _ENTRY, _PIECE = 56 << 20, 200, 1_000_000
 #: White space as the tokenizer's pattern has it, and everything but runs of letters, as the same pattern parts it.
 _SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _OTHERS = rf"('s|'t|'re|'ve|'m|'ll|'d|\pN|[^{_SPACES}\pL\pN]+)"
