@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from motionlake.operators import series
-from motionlake.plans.queries import ORACLE, QUERIES
+from motionlake.plans import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
