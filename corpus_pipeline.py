@@ -7,15 +7,20 @@ rows like any other.  A null or empty text scores what a text without toxic
 words does, has no lines to drop, no near copy and no words to weigh, and packs
 as one end token.  Empty tables give empty tables.  Columns beyond those of
 documents are carried along, whatever their names.
+
+A stage's result must be written before the next stage begins, as that deletes
+what the stages before it wrote for themselves.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionlake.llm import line_dedup, mixing, near_dups, packing, toxicity
-from motionlake.llm.common import keyed, materialize, small, table, unused
+from motionlake.llm.common import discard, keyed, materialize, shared_dir, small, table, unused
 from motionlake.llm.queries import tokenizer_path
 
 
@@ -66,12 +71,22 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
+def _afresh(stage):
+    """``stage``, beginning with the deletion of what earlier stages wrote for themselves."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_lines),
-    ("near_dedup", drop_near_duplicates),
-    ("mixing", mix_sources),
-    ("packing", pack_tokens),
+    ("toxicity", _afresh(drop_toxic)),
+    ("line_dedup", _afresh(drop_lines)),
+    ("near_dedup", _afresh(drop_near_duplicates)),
+    ("mixing", _afresh(mix_sources)),
+    ("packing", _afresh(pack_tokens)),
 ]
 
 #: Packing needs the tokenizer, which SQL has not.
@@ -79,9 +94,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = materialize(docs)
+            path = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
     return docs
