@@ -302,3 +302,16 @@ def patch_score(spark, sf_dir):
     near = G.local_mean(rows.select(F.concat_ws("|", "roi", "band").alias("grid_id"), "row", "col", "value"))
     best = near.groupBy("grid_id").agg(_r(F.max("support")).alias("score"))
     return best.select(F.split_part("grid_id", F.lit("|"), F.lit(1)).alias("roi"), F.split_part("grid_id", F.lit("|"), F.lit(2)).cast("int").alias("band"), "score")
+
+
+@query(f"""WITH {_ROI_PEAKS}, t AS (SELECT series_key, string_agg(printf('%.3f', freq_hz), ';' ORDER BY rank) AS peaks FROM rp WHERE rank <= 5 GROUP BY 1)
+SELECT ov.roi, m.metric, m.value FROM ov LEFT JOIN t ON t.series_key = ov.roi, LATERAL (VALUES ('valid_cells', CAST(valid_cells AS VARCHAR)), ('rejected_cells', CAST(rejected_cells AS VARCHAR)), ('overall_quality', printf('%.4f', overall)), ('peaks_hz', coalesce(peaks, ''))) m(metric, value)""")
+def roi_metrics(spark, sf_dir):
+    """A ROI's figures as rows of metric and value, as an artefact lists them; its first five peaks are one text."""
+    r = Region(spark, sf_dir)
+    peaks, _ = Q.supported_peaks(r.records, r.roi_spectra, r.overall, LEAST)
+    few = peaks.where("rank <= 5").groupBy("series_key").agg(F.sort_array(F.collect_list(F.struct("rank", "freq_hz"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: F.format_string("%.3f", x.freq_hz)), ";")
+    rows = r.overall.join(few.select(F.col("series_key").alias("roi"), text.alias("peaks")), "roi", "left")
+    pairs = (("valid_cells", F.col("valid_cells").cast("string")), ("rejected_cells", F.col("rejected_cells").cast("string")), ("overall_quality", F.format_string("%.4f", "overall")), ("peaks_hz", F.coalesce("peaks", F.lit(""))))
+    return rows.select("roi", F.inline(F.array(*[F.struct(F.lit(name).alias("metric"), value.alias("value")) for name, value in pairs])))

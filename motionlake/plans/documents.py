@@ -217,3 +217,62 @@ def colour_tags(spark, sf_dir):
     return rows.select("c_custkey", F.arrays_overlap("tags", F.array(*map(F.lit, ("bt2020", "smpte2084", "arib-std-b67")))).alias("hdr"), F.forall("tags", lambda x: F.array_contains(known, x)).alias("rec709"), F.array_join(F.array_sort("tags"), ",").alias("tags"))
 
 
+
+
+#: The version that documents are written in, and the older minor versions that are read with a warning.
+VERSION, OLDEST = (1, 5, 0), (1, 0)
+_VERSION_TEXT = "CASE o_orderkey % 8 WHEN 0 THEN '1.5.0' WHEN 1 THEN '1.4.2' WHEN 2 THEN '1.0.0' WHEN 3 THEN '2.0.0' WHEN 4 THEN '1.6.0' WHEN 5 THEN '0.9.1' WHEN 6 THEN 'one' ELSE '1.5.0' END"
+
+
+def sidecars(spark, sf_dir) -> DataFrame:
+    """o_orderkey, body: a document (JSON) for each job: version, intent, what was observed, results."""
+    rows = jobs(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_VERSION_TEXT).alias("version")), "o_orderkey")
+    intent = F.struct("low", "high", F.col("container"), F.struct(F.col("pw").alias("width"), F.col("ph").alias("height")).alias("size"))
+    seen = F.struct(F.col("fps"), F.col("seconds"))
+    body = F.struct(F.col("version").alias("schema_version"), intent.alias("intent"), seen.alias("observed_environment"), F.struct((F.col("fps") * F.col("seconds")).alias("frames")).alias("results"))
+    return rows.select("o_orderkey", F.to_json(body).alias("body"))
+
+
+def read_sidecars(docs: DataFrame) -> DataFrame:
+    """o_orderkey, status, warning, low, high, width: documents read with a strict schema; only the intent is kept. Older minor versions are read with a warning; other versions, and bands that are none, are refused."""
+    schema = "schema_version string, intent struct<low: double, high: double, container: string, size: struct<width: int, height: int>>"
+    rows = docs.select("o_orderkey", F.from_json("body", schema).alias("d"))
+    part = lambda i: F.regexp_extract("d.schema_version", r"^(\d+)\.(\d+)\.(\d+)$", i).try_cast("int")
+    rows = rows.select("o_orderkey", part(1).alias("major"), part(2).alias("minor"), F.col("d.intent.*"))
+    status = (
+        F.when(F.col("major").isNull(), "version_malformed").when((F.col("major") != VERSION[0]) | (F.col("minor") > VERSION[1]), "version_unsupported").when(F.col("high") <= F.col("low"), "band_invalid").otherwise("valid")
+    )
+    rows = rows.withColumn("status", status)
+    ok = F.col("status") == "valid"
+    return rows.select("o_orderkey", "status", (ok & (F.col("minor") < VERSION[1])).alias("warning"), *[F.when(ok, F.col(c)).alias(c) for c in ("low", "high")], F.when(ok, F.col("size.width")).alias("width"))
+
+
+@query(f"""WITH {_JOBS}, v AS (SELECT j.*, {_VERSION_TEXT} AS t FROM j), p AS (SELECT *, TRY_CAST(split_part(t, '.', 1) AS INTEGER) AS major, TRY_CAST(split_part(t, '.', 2) AS INTEGER) AS minor FROM v),
+ s AS (SELECT *, CASE WHEN major IS NULL THEN 'version_malformed' WHEN major <> 1 OR minor > 5 THEN 'version_unsupported' WHEN high <= low THEN 'band_invalid' ELSE 'valid' END AS status FROM p)
+SELECT o_orderkey, status, status = 'valid' AND coalesce(minor, 0) < 5 AS warning, CASE WHEN status = 'valid' THEN low END AS low, CASE WHEN status = 'valid' THEN high END AS high, CASE WHEN status = 'valid' THEN pw END AS width FROM s""")
+def sidecar_validation(spark, sf_dir):
+    return read_sidecars(sidecars(spark, sf_dir)).withColumn("warning", F.coalesce("warning", F.lit(False)))
+
+
+@query("""WITH o AS (SELECT o_custkey, count(*) AS n, max(CASE WHEN o_orderstatus = 'F' THEN 'failed' WHEN o_orderstatus = 'O' THEN 'completed' END) AS status FROM orders GROUP BY 1)
+SELECT c_custkey, coalesce(status, 'failed') AS status FROM customer LEFT JOIN o ON o_custkey = c_custkey WHERE coalesce(status, 'failed') <> 'completed'""")
+def failed_runs(spark, sf_dir):
+    """Scratch entries whose run didn't complete, or left no record."""
+    state = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "completed")
+    known = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(state).alias("status"))
+    rows = table(spark, sf_dir, "customer").join(known, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select("c_custkey", F.coalesce("status", F.lit("failed")).alias("status")).where("status <> 'completed'")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey % 3 IS DISTINCT FROM CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_suppkey % 3 END OR l_quantity IS DISTINCT FROM CASE WHEN l_partkey % 5 = 0 THEN l_quantity + 1 ELSE l_quantity END AS stale FROM lineitem")
+def stale_sources(spark, sf_dir):
+    """Whether a source's path, size or time differs from what was recorded; a missing record differs."""
+    path, size = F.when(F.col("l_suppkey") % 4 != 0, F.col("l_suppkey") % 3), F.when(F.col("l_partkey") % 5 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (~(F.col("l_partkey") % 3).eqNullSafe(path) | ~F.col("l_quantity").eqNullSafe(size)).alias("stale"))
+
+
+@query(f"""WITH {_JOBS} SELECT o_orderkey, low > 0 AND high > low AND CASE policy WHEN 'conservative' THEN level = 1 WHEN 'balanced' THEN level BETWEEN 1 AND 3 AND low + 0.5 <= high ELSE true END AS valid FROM j""")
+def settings_valid(spark, sf_dir):
+    """Bands in the phase band, as many as the mode allows: one, one to ten, or any."""
+    mode = F.when(F.col("policy") == "conservative", F.col("level") == 1).when(F.col("policy") == "balanced", F.col("level").between(1, 3) & (F.col("low") + 0.5 <= F.col("high"))).otherwise(True)
+    return jobs(spark, sf_dir).select("o_orderkey", ((F.col("low") > 0) & (F.col("high") > F.col("low")) & mode).alias("valid"))
