@@ -57,7 +57,7 @@ def gradient(grid: DataFrame) -> DataFrame:
 
 
 def resize(grid: DataFrame, height: int, width: int) -> DataFrame:
-    """Bilinear, corners aligned: each target cell lies between four cells of the grid, found by equal row and column."""
+    """Bilinear, corners aligned: each target cell lies between four cells of the grid, found by equal row and column; where one is missing, there is none."""
     ends = grid.groupBy("grid_id").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
     target = ends.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     y = F.col("row") * (F.col("r1") - F.col("r0")) / max(height - 1, 1)
@@ -69,7 +69,7 @@ def resize(grid: DataFrame, height: int, width: int) -> DataFrame:
         (F.when(F.col("o.i") == 1, F.col("wy")).otherwise(1 - F.col("wy")) * F.when(F.col("o.j") == 1, F.col("wx")).otherwise(1 - F.col("wx"))).alias("w"),
     )
     cells = grid.select("grid_id", F.col("row").alias("y"), F.col("col").alias("x"), "value")
-    return sent.join(cells, ["grid_id", "y", "x"]).groupBy("grid_id", "row", "col").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    return sent.join(cells, ["grid_id", "y", "x"]).groupBy("grid_id", "row", "col").agg(F.sum(F.col("w") * F.col("value")).alias("value"), F.count("value").alias("c")).where("c = 4").drop("c")
 
 
 def weighted_mean(rows: DataFrame, keys: list[str], value: Column, weight: Column) -> DataFrame:
