@@ -279,7 +279,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, cut: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column(len(carried)).flatten().to_numpy().reshape(batch.num_rows, -1).astype(float))
+            x = features(batch.column(len(carried)).flatten().to_numpy().reshape(batch.num_rows, voters + len(PATTERNS)).astype(float))
             p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(p, pa.float64())], names=[*carried, "score"])
 
