@@ -76,17 +76,15 @@ def _places(n: Column, classes) -> Column:
 def segment_keys(units: Column, n: Column, classes, part) -> Column:
     """Array of (key, own) of a line of n units: own for its own segments, which it is found by; the others it only looks for.
 
-    A line of n units has ``parts`` segments of n / parts units, the last ones
-    longer by one if need be.  ``part(units, start, size)`` is a piece of it.
+    Of the ``parts`` segments of a line of n units, segment i ends after
+    (i + 1) * n / parts of them.  ``part(units, start, size)`` is a piece.
     """
 
     def key(t: Column) -> Column:
         shorter = n - t.less
-        base, longer = F.floor(shorter / t.parts).cast("int"), (shorter % t.parts).cast("int")
-        first_long = t.parts - longer
-        start = t.segment * base + F.greatest(F.lit(0), t.segment - first_long) + 1 + t["shift"]
-        size = base + (t.segment >= first_long).cast("int")
-        found = F.when((start >= 1) & (start + size - 1 <= n), F.xxhash64(shorter, t.segment, part(units, start, size)))
+        start = (t.segment * shorter / t.parts).cast("int") + t["shift"]
+        end = ((t.segment + 1) * shorter / t.parts).cast("int") + t["shift"]
+        found = F.when((start >= 0) & (end <= n), F.xxhash64(shorter, t.segment, part(units, start + 1, end - start)))
         return F.struct(found.alias("key"), t.own.alias("own"))
 
     return F.transform(_places(n, classes), key)
