@@ -24,7 +24,7 @@ from .common import materialize, thrifty
 
 WINDOW, END = 2048, 1
 #: Bytes of words and ids that one generation of the cache may hold, what an entry costs besides, and text bytes that are encoded at once.
-_CACHE_BYTES, _ENTRY, _PIECE = 56 << 20, 200, 1_000_000
+_CACHE_BYTES, _ENTRY, _PIECE = 64 << 20, 200, 2_000_000
 #: White space as the tokenizer's pattern has it, and everything but runs of letters, as the same pattern parts it.
 _SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _OTHERS = rf"('s|'t|'re|'ve|'m|'ll|'d|\pN|[^{_SPACES}\pL\pN]+)"
@@ -52,10 +52,6 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.held = 0
 
-    def _keep(self, word: str, ids: bytes) -> None:
-        self.words[word] = ids
-        self.held += len(word) + len(ids) + _ENTRY
-
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -67,11 +63,13 @@ class Encoder:
             if len(cuts) == len(some):
                 raw, at = ids.tobytes(), 0
                 for word, cut in zip(some, (4 * cuts).tolist()):
-                    self._keep(word, raw[at:cut])
+                    self.words[word] = raw[at:cut]
                     at = cut
+                self.held += sum(map(len, some)) + len(raw) + _ENTRY * len(some)
             else:
                 for word in some:
-                    self._keep(word, self.direct(word))
+                    self.words[word] = self.direct(word)
+                self.held += _ENTRY * len(some) + 5 * sum(map(len, some))
 
     def many(self, texts: pa.Array) -> list[bytes]:
         plain = texts
@@ -89,7 +87,8 @@ class Encoder:
         for word in words:
             if word not in self.words:
                 if word in self.older:
-                    self._keep(word, self.older[word])
+                    self.words[word] = self.older[word]
+                    self.held += 2 * len(word) + _ENTRY
                 else:
                     missing.append(word)
         self._learn(missing)
