@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, line_dedup, mixing, near_dups, packing, secrets, topk_search, toxicity, url_reputation
+from . import ann, chat, hard_negatives, line_dedup, merkle, mixing, near_dups, packing, secrets, token_files, topk_search, toxicity, url_reputation
 from .common import table
 
-#: The tokenizer of the packing query.
-TOKENIZER = "word_bpe_49k.json"
+#: The tokenizers of the packing query and of the one of token files.
+TOKENIZER, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: A conversation whose texts hold control strings and escapes.
 ODD_CONVERSATION = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
 
@@ -66,8 +66,22 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_table(table(spark, sf_dir, "documents"), tokenizer_path(BYTES))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat, op2_topk, op3_ann, op4_line_dedup, op5_toxicity, op6_mixing, op7_packing, op8_secrets, op9_urls, op10_near_dups)
+    f.__name__: f for f in (op1_chat, op2_topk, op3_ann, op4_line_dedup, op5_toxicity, op6_mixing, op7_packing, op8_secrets, op9_urls, op10_near_dups, op11_hard_negatives, op12_token_files, op13_merkle)
 }
 
 _OP2 = """
@@ -179,4 +193,65 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, component
 FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
 """
 
-ORACLE: dict[str, str] = {"op1_chat": _OP1, "op2_topk": _OP2, "op9_urls": _OP9, "op10_near_dups": _OP10}
+_OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY rank <= 5
+"""
+
+#: Levels that the SQL climbs at most: 3 ** 12 leaves of a source.
+_TALL = 12
+
+
+def _climb_sql(nodes: str) -> str:
+    """Levels of a list of digests, each level a list: the next one takes three at a time, and one node stays as it is."""
+    up = "list_transform(range((len({0}) + 2) // 3), lambda i: sha256(array_to_string({0}[3 * i + 1 : 3 * i + 3], '')))"
+    steps = [f"SELECT *, {nodes} AS l0 FROM grouped"]
+    for k in range(_TALL):
+        steps.append(f"SELECT *, CASE WHEN len(l{k}) > 1 THEN {up.format(f'l{k}')} END AS l{k + 1} FROM ({steps[-1]})")
+    return steps[-1]
+
+
+def _siblings_sql(at: str) -> str:
+    """For each level with several nodes the digests left and right of the node, from its place among the leaves (from 0)."""
+    run, own = f"({at} // (3 ** (k + 1))::BIGINT)", f"({at} // (3 ** k)::BIGINT)"
+    return f"""list_transform(list_filter(range({_TALL}), lambda k: len(levels[k + 1]) > 1), lambda k: {{'l': array_to_string(levels[k + 1][3 * {run} + 1 : {own}], ''), 'r': array_to_string(levels[k + 1][{own} + 2 : 3 * {run} + 3], '')}})"""
+
+
+_LEVELS = f"[{', '.join(f'l{k}' for k in range(_TALL + 1))}]"
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+#: The bitwise crc32 of a text of digits; 3988292384 is its polynomial.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))))"""
+_OP13 = f"""
+WITH d AS (
+  SELECT *, {_LEAF.format('text')} AS leaf, {_LEAF.format(f"(CASE WHEN {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)")} AS seen FROM documents
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d
+), t AS (
+  SELECT source, {_LEVELS} AS levels FROM ({_climb_sql('l')} ) AS z
+), g AS (
+  SELECT source, levels, list_filter(levels, lambda l: len(l) = 1)[1][1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM t
+), u AS (
+  SELECT {_LEVELS} AS levels FROM ({_climb_sql('l').replace('FROM grouped', 'FROM (SELECT list(subroot ORDER BY place) AS l FROM g)')})
+), h AS (
+  SELECT g.source, subroot, list_filter(u.levels, lambda l: len(l) = 1)[1][1] AS root, {_siblings_sql('place')} AS path FROM (SELECT source, subroot, place FROM g) g, u
+), m AS (
+  SELECT doc_id, leaf, seen, subroot, root, list_concat({_siblings_sql('pos')}, h.path) AS path
+  FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source JOIN (SELECT source AS of, root, path FROM h) h ON p.source IS NOT DISTINCT FROM h.of
+), f AS (
+  SELECT *, CASE WHEN len(path) = 0 THEN seen ELSE list_reduce(list_concat([{{'l': seen, 'r': ''}}], path), lambda x, y: {{'l': sha256(y.l || x.l || y.r), 'r': ''}}).l END AS folded_root FROM m
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.l || s.r), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
+""".replace("FROM grouped", "FROM (SELECT source, list(leaf ORDER BY pos) AS l FROM p GROUP BY source)")
+
+ORACLE: dict[str, str] = {"op1_chat": _OP1, "op2_topk": _OP2, "op9_urls": _OP9, "op10_near_dups": _OP10, "op11_hard_negatives": _OP11, "op13_merkle": _OP13}

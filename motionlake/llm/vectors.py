@@ -14,12 +14,12 @@ from .common import thrifty
 _FLUSH = 2048
 
 
-def clean(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id, vec (array<double>), dim: rows whose id and vector are whole; null, empty and non-finite vectors take no part."""
+def clean(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *also: str) -> DataFrame:
+    """id, vec (array<double>), ``also``, dim: rows whose id and vector are whole; null, empty and non-finite vectors take no part."""
     vec = F.col("vec")
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (
-        rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
+        rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"), *also)
         .where(F.col("id").isNotNull() & vec.isNotNull() & (F.size(vec) > 0) & fine)
         .withColumn("dim", F.size(vec))
     )
