@@ -170,9 +170,13 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.held = 0
 
-    def direct(self, text: str) -> np.ndarray:
+    def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def direct(self, text: str) -> bytes:
+        """What the tokenizer itself makes of a text, as little-endian unsigned 32-bit ids."""
+        return self._whole(text).tobytes()
+
     def _learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 500):
             some = words[i : i + 500]
@@ -194,7 +198,7 @@ class Encoder:
                     self._alone(word)
 
     def _alone(self, word: str) -> None:
-        self.words[word] = raw = self.direct(word).tobytes()
+        self.words[word] = raw = self.direct(word)
         self.held += 2 * len(word) + len(raw) + _ENTRY
 
     def _known(self, words: list[str]) -> list[bytes]:
@@ -215,7 +219,7 @@ class Encoder:
         return list(map(self.words.__getitem__, words))
 
     def _parted(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The words of plain texts, as codes and a dictionary, are looked up; see ``many``."""
+        """``many`` of plain texts: their words are cut out, each different one is looked up, and the ids are laid out by word."""
         wide = texts.cast(pa.large_string())
         offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
         data = wide.buffers()[2]
@@ -257,7 +261,7 @@ class Encoder:
     def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin in them, with their number at the end."""
         if not self.style:
-            each = [self.direct(t) for t in texts.to_pylist()]
+            each = [self._whole(t) for t in texts.to_pylist()]
             return np.concatenate([np.zeros(0, "<u4"), *each]), np.cumsum([0, *map(len, each)])
         whole = np.zeros(len(texts), bool)
         for special in self.special:
@@ -277,7 +281,7 @@ class Encoder:
         ids, cuts = self._parted(plain.filter(pa.array(~whole)))
         each = [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
         for i in np.flatnonzero(whole).tolist():
-            each.insert(i, self.direct(texts[i].as_py()))
+            each.insert(i, self._whole(texts[i].as_py()))
         return np.concatenate([np.zeros(0, "<u4"), *each]), np.cumsum([0, *map(len, each)])
 
     def _odd(self, text: str) -> bool:
