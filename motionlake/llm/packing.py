@@ -10,7 +10,6 @@ number.  Only totals pass between partitions, never tokens.
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -21,118 +20,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, thrifty
+from .words import Encoder, encoder, kinds
 
 WINDOW, END = 2048, 1
-#: Bytes of words and ids that one generation of the cache may hold, what an entry costs besides, and text bytes that are encoded at once.
-_CACHE_BYTES, _ENTRY, _PIECE = 64 << 20, 200, 2_000_000
-#: White space as the tokenizer's pattern has it, and everything but runs of letters, as the same pattern parts it.
-_SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_OTHERS = rf"('s|'t|'re|'ve|'m|'ll|'d|\pN|[^{_SPACES}\pL\pN]+)"
-#: Texts with these, once they are normalized, go to the tokenizer whole: separators that differ between libraries, special tokens spelt out, letters whose lower case depends on their neighbours.
-_ODD = r"[\x1c-\x1f\x{130}\x{3a3}]|<\|"
-
-
-class Encoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
-
-    The tokenizer works word by word, so words are encoded once, many at a
-    time, and kept in a cache of two generations of bounded size.
-    """
-
-    def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        suffix = self.tokenizer.model.end_of_word_suffix
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        for token, i in vocab.items():
-            self.ends[i] = token.endswith(suffix)
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.held = 0
-
-    def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 500):
-            some = words[i : i + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                raw, at = ids.tobytes(), 0
-                for word, cut in zip(some, (4 * cuts).tolist()):
-                    self.words[word] = raw[at:cut]
-                    at = cut
-                self.held += sum(map(len, some)) + len(raw) + _ENTRY * len(some)
-            else:
-                for word in some:
-                    self.words[word] = self.direct(word)
-                self.held += _ENTRY * len(some) + 5 * sum(map(len, some))
-
-    def many(self, texts: pa.Array) -> list[bytes]:
-        plain = texts
-        if not pc.all(pc.string_is_ascii(texts)).as_py():
-            plain = pa.array([unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
-        odd = pc.match_substring_regex(plain, _ODD)
-        plain = pc.utf8_lower(plain.filter(pc.invert(odd)))
-        found = pc.utf8_split_whitespace(pc.replace_substring_regex(plain, _OTHERS, r" \1 "))
-        found = pa.array([], pa.list_(pa.string())) if not len(found) else found
-        coded = found.flatten().filter(pc.not_equal(found.flatten(), "")).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if self.held > _CACHE_BYTES:
-            self.words, self.older, self.held = {}, self.words, 0
-        missing = []
-        for word in words:
-            if word not in self.words:
-                if word in self.older:
-                    self.words[word] = self.older[word]
-                    self.held += 2 * len(word) + _ENTRY
-                else:
-                    missing.append(word)
-        self._learn(missing)
-        each = list(map(self.words.__getitem__, words))
-        flat = np.frombuffer(b"".join(each), "<u4")
-        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        starts = np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy()
-        n = sizes[codes]
-        ids = flat[np.repeat(starts[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        # empty strings stand where a text begins or ends with white space
-        owner = np.repeat(np.arange(len(found)), pc.list_value_length(found).to_numpy(zero_copy_only=False))
-        owner = owner[pc.not_equal(found.flatten(), "").to_numpy(zero_copy_only=False)]
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, n, len(found)).astype(np.int64))])
-        raw = ids.tobytes()
-        pieces = iter([raw[4 * x : 4 * y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())])
-        return [self.direct(t.as_py()) if o else next(pieces) for t, o in zip(texts, odd.to_pylist())]
-
-    def __call__(self, text: str) -> bytes:
-        return self.many(pa.array([text]))[0]
+#: Text bytes that are encoded at once.
+_PIECE = 4_000_000
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, part, before (tokens of the partition's earlier rows), n_tokens, ids (binary; little-endian 16-bit while every id fits, else 32-bit) for each row."""
 
+    table = kinds(tokenizer_path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, before = Encoder(tokenizer_path), 0
-        narrow = len(encode.ends) <= 1 << 16
-        end = END.to_bytes(4, "little")
+        encode, before = encoder(tokenizer_path, table), 0
+        kind = "<u2" if encode.size <= 1 << 16 else "<u4"
         for batch in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))
             at = 0
             while at < len(sizes):
                 k = max(1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _PIECE)) - at)
-                ids = [raw + end for raw in encode.many(pc.fill_null(batch.column(2)[at : at + k], ""))]
-                n = np.array([len(raw) // 4 for raw in ids], np.int64)
+                ids, cuts = encode.many(pc.fill_null(batch.column(2)[at : at + k], ""))
+                ids = np.insert(ids, cuts[1:], END).astype(kind)
+                cuts = cuts + np.arange(len(cuts))
+                raw = pa.Array.from_buffers(pa.large_binary(), k, [None, pa.py_buffer(cuts * ids.itemsize), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(1)[at : at + k], batch.column(0)[at : at + k], pa.array(before + np.cumsum(n) - n), pa.array(n),
-                        pa.array([np.frombuffer(raw, "<u4").astype("<u2").tobytes() if narrow else raw for raw in ids], pa.binary()),
-                    ],
+                    [batch.column(1)[at : at + k], batch.column(0)[at : at + k], pa.array(before + cuts[:-1]), pa.array(np.diff(cuts)), raw.cast(pa.binary())],
                     names=["doc_id", "part", "before", "n_tokens", "ids"],
                 )
-                at, before = at + k, before + int(n.sum())
+                at, before = at + k, before + int(cuts[-1])
 
     return docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         thrifty(run), "doc_id long, part int, before long, n_tokens long, ids binary"
