@@ -2,6 +2,7 @@
 
 Every whole text is scanned, then each layer found in it: URL escapes, Unicode
 escapes, base64 and compressed bytes are unwrapped until nothing new appears.
+Escapes are decoded in the whole text at once, so a find may be escaped in part.
 A layer already seen at the same place is not opened again, nor is one within
 itself, so cycles end.  Compressed bytes are inflated and scanned in pieces.
 Each character of a layer knows the span of the original text that it came
@@ -33,13 +34,16 @@ _WORDS = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
-_URL = re.compile(r"(?:[A-Za-z0-9._~+/=&:@!$*,;-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9._~+/=&:@!$*,;%-]*")
-_UNICODE = re.compile(r"(?:[!-\[\]-~]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}))+[!-\[\]-~]*")
+#: Stretches that may hold a stream in URL or Unicode escapes.
+_URL = re.compile(r"[A-Za-z0-9._~+/=&:@!$*,;%-]++")
+_UNICODE = re.compile(r"[!-~]++")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: The same over line breaks, as in MIME and PEM.
 _BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\t ]*[A-Za-z0-9+/_-]++)++={0,2}")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: Escapes, and escapes of escapes: as no find holds a percent sign or a backslash, what is between the layers needs no scan.
+_ESCAPE = re.compile(r"\\(?:u005[cC]|x5[cC])*(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
+_HEXES = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+_PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00", re.DOTALL)
 #: No find and no layer that holds one is shorter, and all are ASCII.
 _RUN = re.compile(rb"[\t\n\r\x20-\x7e]{14,}")
@@ -148,40 +152,43 @@ def _streams(data: bytes, room: list[int], start: int, end: int) -> Iterator[tup
 
 def _layers(text: str, room: list[int]) -> Iterator[tuple[str, list[int] | None, int, int]]:
     """Decoded layer, start in ``text`` of each of its characters plus the end (None: all stand for the whole region), region."""
-    if "%" in text:
+    if "%" in text and _PERCENT.search(text):
         for m in _URL.finditer(text):
-            yield from _streams(unquote_to_bytes(m[0]), room, m.start(), m.end())
-            out, at, end = [], array("q"), m.start()
-            for run in _PERCENT.finditer(text, m.start(), m.end()):
-                out.append(text[end : run.start()])
-                at.extend(range(end, run.start()))
-                raw = unquote_to_bytes(run[0])
-                piece = raw.decode("utf-8", "replace")
-                width = 0
-                for c in piece:
-                    at.append(run.start() + 3 * min(width, len(raw) - 1))
-                    width += len(c.encode()) if c != "\ufffd" else 1
-                out.append(piece)
-                end = run.end()
-            out.append(text[end : m.end()])
-            at.extend(range(end, m.end() + 1))
-            yield "".join(out), at, m.start(), m.end()
-    if "\\u" in text or "\\x" in text:
+            if _PERCENT.search(text, m.start(), m.end()):
+                yield from _streams(unquote_to_bytes(m[0]), room, m.start(), m.end())
+        out, at, end = [], array("q"), 0
+        for run in _PERCENT.finditer(text):
+            out.append(text[end : run.start()])
+            at.extend(range(end, run.start()))
+            escapes = list(_HEXES.finditer(text, run.start(), run.end()))
+            piece = bytes(int(e[1], 16) for e in escapes).decode("utf-8", "replace")
+            width = 0
+            for c in piece:
+                at.append(escapes[min(width, len(escapes) - 1)].start())
+                width += len(c.encode()) if c != "\ufffd" else 1
+            out.append(piece)
+            end = run.end()
+        out.append(text[end:])
+        at.extend(range(end, len(text) + 1))
+        yield "".join(out), at, 0, len(text)
+    if ("\\u" in text or "\\x" in text) and _ESCAPE.search(text):
         for m in _UNICODE.finditer(text):
-            out, at, end = [], array("q"), m.start()
-            for e in _ESCAPE.finditer(text, m.start(), m.end()):
-                out.append(text[end : e.start()])
-                at.extend(range(end, e.start()))
-                out.append(chr(int(e[1] or e[2], 16)))
-                at.append(e.start())
-                end = e.end()
-            out.append(text[end : m.end()])
-            at.extend(range(end, m.end() + 1))
-            decoded = "".join(out)
-            yield from _streams(decoded.encode("latin-1", "ignore"), room, m.start(), m.end())
-            if any("\ud800" <= c <= "\udfff" for c in decoded):
-                decoded = "".join("\ufffd" if "\ud800" <= c <= "\udfff" else c for c in decoded)
-            yield decoded, at, m.start(), m.end()
+            if _ESCAPE.search(text, m.start(), m.end()):
+                plain = _ESCAPE.sub(lambda e: chr(int(e[1] or e[2], 16)), m[0])
+                yield from _streams(plain.encode("latin-1", "ignore"), room, m.start(), m.end())
+        out, at, end = [], array("q"), 0
+        for e in _ESCAPE.finditer(text):
+            out.append(text[end : e.start()])
+            at.extend(range(end, e.start()))
+            out.append(chr(int(e[1] or e[2], 16)))
+            at.append(e.start())
+            end = e.end()
+        out.append(text[end:])
+        at.extend(range(end, len(text) + 1))
+        decoded = "".join(out)
+        if any("\ud800" <= c <= "\udfff" for c in decoded):
+            decoded = "".join("\ufffd" if "\ud800" <= c <= "\udfff" else c for c in decoded)
+        yield decoded, at, 0, len(text)
     for pattern in (_BASE64, _BLOCK):
         for m in pattern.finditer(text):
             start, end = m.span()

@@ -7,6 +7,7 @@ import hashlib
 import lzma
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from urllib.parse import quote
@@ -16,7 +17,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motionlake.llm import ann, chat, line_dedup, mixing, near_dups, packing, secrets, topk_search, toxicity, url_reputation
+from motionlake.llm import ann, chat, common, line_dedup, mixing, near_dups, packing, secrets, topk_search, toxicity, url_reputation
 from motionlake.llm.queries import ODD_CONVERSATION, ORACLE, QUERIES, tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
@@ -428,6 +429,58 @@ def test_blocks_members_and_binary_layers(wrapped):
     assert not base and not left and any(k == 0 and 3 <= s and e <= 3 + len(wrapped) for s, k, e in spans)
 
 
+@pytest.mark.parametrize("text", [
+    'password%3D"hunter2hunter2"', r"password \u003d hunter2hunter2", "{'password'%3A 'hunter2hunter2'}", "password%20= hunter2hunter2", r"pass\u0077ord : hunter2hunter2",
+    "so password%253D hunter2hunter2 it", r"\u005cu0070assword : hunter2hunter2", "password%25252525253D%22hunter2hunter2",
+])
+def test_secrets_escaped_in_part_are_found(text):
+    base, spans, _ = secrets.scan(text)
+    assert not base and [k for _, k, _ in spans] == [0]
+    start, _, end = spans[0]
+    assert text[end - 14 : end] == "hunter2hunter2" and start == next(i for i in (text.find("\\u005c"), text.find("pass")) if i >= 0)
+
+
+def test_long_runs_take_linear_time():
+    rng = random.Random(3)
+    for text in (base64.b64encode(rng.randbytes(750_000)).decode() + "%41 ", "a" * 1_000_000 + " 5%", "%25" * 100_000 + "41", "%" + "25" * 300_000, "\\u005c" + "u005c" * 100_000 + "u0041", "%zz" * 200_000 + " %41"):
+        began = time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - began < 5
+
+
+def test_secrets_of_odd_tables(spark, odd):
+    assert secrets.find_secrets(odd.where("false")).count() == 0
+    twice = secrets.find_secrets(spark.createDataFrame([(1, SECRET, 5), (1, SECRET, 6)], "doc_id long, text string, spans long")).collect()
+    assert twice[0] == twice[1] and twice[0].spans == f"assign:0:{len(SECRET)}"
+
+
+def test_halves_of_a_line_id_are_independent(spark):
+    ids = spark.range(2000).select(line_dedup.line_id(F.concat(F.lit("l"), F.col("id").cast("string"))).alias("i")).select("i.*")
+    one = ids.select("x", F.xxhash64(F.col("x"), F.lit(1)).alias("a"), "y").first()
+    chained = spark.sql("SELECT xxhash64('l0', 1) AS h").first().h
+    assert ids.first().y != chained and ids.select("y").distinct().count() == 2000 and one.y != one.a
+
+
+def test_scratch_tables_of_others_stay(spark, docs):
+    mine = mixing.mix(docs)
+    with common.scratch() as noted:
+        other = mixing.mix(docs)
+        rows = other.count()
+    assert noted
+    common.discard(spark, noted)
+    assert mine.count() == rows and not noted
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        other.count()
+
+
+def test_top_k_of_huge_components(spark):
+    for big in (1e200, 1e307):
+        rows = [(0, [big, 1.0]), (1, [big, 2.0]), (2, [-big, 1.0]), (3, [0.0, 5.0])]
+        got = topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>")).collect()
+        assert [(r.rank, r.vec_id) for r in got] == [(1, 1), (2, 3), (3, 2)]
+        assert (got[0].score, got[1].score, got[2].score) == (2**63 - 1, 1024 * 5120, -(2**63) + 1)
+
+
 def test_base_finds_match_brute_force():
     """Leftmost, non-overlapping, by trying every start, on texts made of fitting parts."""
     rng = random.Random(9)
