@@ -8,19 +8,21 @@ words does, has no lines to drop, no near copy and no words to weigh, and packs
 as one end token.  Empty tables give empty tables.  Columns beyond those of
 documents are carried along, whatever their names.
 
-A stage's result must be written before the next stage begins, as that deletes
-what the stages before it wrote for themselves.
+A stage deletes what the stages before it, on the same tables, wrote for
+themselves, so a stage's result must be written before the next stage begins.
+Tables of other operators, and of pipelines over other tables, aren't touched.
 """
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionlake.llm import line_dedup, mixing, near_dups, packing, toxicity
-from motionlake.llm.common import discard, keyed, materialize, shared_dir, small, table, unused
+from motionlake.llm.common import discard, keyed, materialize, scratch, shared_dir, small, table, unused
 from motionlake.llm.queries import tokenizer_path
 
 
@@ -71,12 +73,21 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
+#: Scratch tables of stages, by thread and tables.
+_left: dict[tuple[int, str], list[str]] = {}
+
+
 def _afresh(stage):
     """``stage``, beginning with the deletion of what earlier stages wrote for themselves."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(spark)
-        return stage(spark, docs, sf_dir)
+        key = threading.get_ident(), sf_dir
+        discard(spark, _left.pop(key, []))
+        with scratch() as noted:
+            try:
+                return stage(spark, docs, sf_dir)
+            finally:
+                _left[key] = noted
 
     return run_stage
 

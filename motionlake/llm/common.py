@@ -6,6 +6,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,26 +35,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Folders of the tables that were written since the last call of ``discard``.
-_written: list[str] = []
+#: Where ``materialize`` notes the folders of the tables that it writes, in this thread and context.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 
-def discard(spark: SparkSession) -> None:
-    """Delete the tables written so far by ``materialize``; nothing may read them any more."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _written:
-        path = hadoop(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Within it, ``materialize`` notes its tables in the list that this yields, for ``discard``; those of others aren't in it."""
+    token = _noted.set([])
+    try:
+        yield _noted.get()
+    finally:
+        _noted.reset(token)
+
+
+def _folder(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(spark: SparkSession, tables: list[str]) -> None:
+    """Delete tables that ``scratch`` noted; nothing may read them any more."""
+    while tables:
+        path, store = _folder(spark, tables.pop())
+        store.delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends there, and lost executors don't matter.
 
     Columns may repeat names of neither each other nor differ only in case, as in any Parquet table.
+    The table goes when the driver ends, or with ``discard``.
     """
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    _written.append(path)
+    noted = _noted.get()
+    if noted is not None:
+        noted.append(path)
     df.write.parquet(path)
+    folder, store = _folder(df.sparkSession, path)
+    store.deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

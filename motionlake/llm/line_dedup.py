@@ -189,7 +189,8 @@ def lines_of(docs: DataFrame, key: str | None = None) -> DataFrame:
 
 def line_id(line: Column) -> Column:
     """128 bits that stand for a line."""
-    return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(line, F.lit(1)).alias("y"))
+    # a hash is the seed of the one of the next column, so the number that tells the halves apart comes first
+    return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(F.lit(1), line).alias("y"))
 
 
 def _candidates(lines: DataFrame, keys: Column, signature: Column, alike, links) -> DataFrame:

@@ -46,6 +46,11 @@ def main_axes(rows: np.ndarray) -> np.ndarray:
     return np.linalg.eigh(scaled.T @ scaled)[1][:, ::-1]
 
 
+def _kept(bounds: np.ndarray) -> np.ndarray:
+    """Bounds of vectors so large that these aren't numbers rule out nothing."""
+    return np.where(np.isnan(bounds), np.inf, bounds)
+
+
 class Block:
     """Vectors and their statistics; ``pairs`` counts the exact products, of ``all_pairs`` that there were."""
 
@@ -68,7 +73,7 @@ class Block:
     def __call__(self, query_ids: np.ndarray, queries: np.ndarray, edges: np.ndarray):
         turned = queries if self.axes is None else queries @ self.axes
         seen = [statistics(turned, s) for s in RESOLUTIONS if s <= max(queries.shape[1], 1)]
-        coarse = seen[0] @ self.levels[0].T
+        coarse = _kept(seen[0] @ self.levels[0].T)
         # rounding of the bounds must not drop a vector
         slack = 1e-9 * (1 + self.top * np.abs(queries).max(initial=0) * queries.shape[1])
         out: tuple[list, list, list] = ([], [], [])
@@ -77,7 +82,7 @@ class Block:
             at = np.flatnonzero((self.ids != query) & (coarse[i] >= edge - slack))
             bound = coarse[i][at]
             for own, mine in zip(self.levels[1:], seen[1:]):
-                bound = np.minimum(bound, own[at] @ mine[i])
+                bound = np.minimum(bound, _kept(own[at] @ mine[i]))
                 near = bound >= edge - slack
                 at, bound = at[near], bound[near]
             # the most hopeful first: their scores may rule out others
@@ -101,7 +106,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOC
     Both tables: vec_id, embedding, others.  Components become
     floor(1024 * x).  A query's own id is no candidate; vectors of another
     length than the query's aren't either.  Rows that repeat an id each stand
-    as candidates, and one of them, the least, is the query.  The query set
+    as candidates, and one of them, the least, is the query.  Components beyond
+    1e300 are held to it, and scores beyond a long to its range.  The query set
     meets all vectors block by block; a block returns k rows a query.
     """
     whole = lambda df: df.withColumn("vec", F.transform("vec", _floor))
@@ -135,5 +141,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOC
 
 def _floor(x):
     """As a double, for components beyond the range of a long too."""
-    scaled = x * SCALE
+    scaled = F.greatest(F.least(x * SCALE, F.lit(1e300)), F.lit(-1e300))
     return F.when(F.abs(scaled) < 2.0**53, F.floor(scaled).cast("double")).otherwise(scaled)
