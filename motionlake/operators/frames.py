@@ -1,4 +1,4 @@
-"""Frames as cells (clip, frame, row, col, value): reference images, tiles and their phase correlation, drift, warp."""
+"""Frames as cells (clip, frame, row, col, value): reference images, tile confidence, drift, warp by a field of cells. ``clips`` has whole frames."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grid import gradient
@@ -35,18 +35,6 @@ def reference(frames: DataFrame) -> DataFrame:
     return frames.groupBy("clip", "row", "col").agg(F.avg("value").alias("value"))
 
 
-def tiles(cells: DataFrame, keys: list[str], height: int, width: int, size: int, step: int) -> DataFrame:
-    """keys, ty, tx, pixels (array in row order): a cell goes to every tile that it lies in, at most (size / step + 1)^2 of them."""
-    corners = [(y, x) for y in starts(height, size, step) for x in starts(width, size, step)]
-    inside = F.filter(
-        F.array(*[F.struct(F.lit(y).alias("ty"), F.lit(x).alias("tx")) for y, x in corners]),
-        lambda t: (F.col("row") >= t.ty) & (F.col("row") < t.ty + size) & (F.col("col") >= t.tx) & (F.col("col") < t.tx + size),
-    )
-    sent = cells.select(*keys, "row", "col", "value", F.inline(inside))
-    # a tile has size^2 pixels
-    return sent.groupBy(*keys, "ty", "tx").agg(F.sort_array(F.collect_list(F.struct("row", "col", "value"))).alias("p")).select(*keys, "ty", "tx", F.col("p.value").alias("pixels"))
-
-
 def correlate(pairs: DataFrame, keys: list[str], size: int, least: float = 1e-6) -> DataFrame:
     """keys, surface: phase correlation |IFFT2(R conj(F) / |R conj(F)|)| of two tiles (first, second; arrays of size^2 pixels), both under a Hann window, batch by batch."""
     hann = np.outer(np.hanning(size), np.hanning(size))
@@ -78,21 +66,6 @@ def peak(surface: Column, size: int, hold: bool = True, tiny: float = 1e-6) -> t
     return dx, dy, top
 
 
-def motion(frames: DataFrame, still: DataFrame, height: int, width: int, size: int, step: int) -> DataFrame:
-    """clip, frame, ty, tx, dx, dy, texture, quality: how each tile of each frame must shift to lie on the reference; flat tiles stay."""
-    mine = tiles(frames, ["clip", "frame"], height, width, size, step).withColumnRenamed("pixels", "second")
-    ref = tiles(still, ["clip"], height, width, size, step).withColumnRenamed("pixels", "first")
-    keys = ["clip", "frame", "ty", "tx", "texture"]
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / F.size(a)
-    spread = F.sqrt(F.greatest(mean(F.transform("first", lambda x: x * x)) - mean(F.col("first")) * mean(F.col("first")), F.lit(0.0)))
-    pairs = mine.join(ref, ["clip", "ty", "tx"]).withColumn("texture", spread)
-    found = correlate(pairs, keys, size)
-    dx, dy, top = peak(F.col("surface"), size)
-    flat = F.col("texture") < 1e-4
-    held = lambda c: F.when(flat, 0.0).otherwise(c)
-    return found.select(*keys, held(dx).alias("dx"), held(dy).alias("dy"), held(top / (mean(F.col("surface")) + 1e-6)).alias("quality"))
-
-
 def tile_confidence(moves: DataFrame) -> DataFrame:
     """clip, ty, tx, confidence: a tile's texture times how clear its peaks are, by their median."""
     clear = F.least(F.greatest(F.percentile("quality", F.lit(0.5)) / 4, F.lit(0.0)), F.lit(1.0))
@@ -145,22 +118,6 @@ def low_passed(rows: DataFrame, keys: list[str], value: str, high: float, low: f
     return packed.select(*keys, F.inline(F.aggregate("ps", start, step, lambda s: s.out)))
 
 
-def amplified(frames: DataFrame, height: int, width: int, size: int, step: int, gains: tuple[float, float], magnification: float) -> DataFrame:
-    """The whole chain: reference, tile motion, band-pass over time, gain by confidence, displacement of each cell by its nearest tile, warp."""
-    if magnification <= 0:
-        return frames
-    moves = motion(frames, reference(frames), height, width, size, step)
-    keys = ["clip", "ty", "tx"]
-    passed = low_passed(moves, keys, "dx", *gains).withColumnRenamed("y", "dx").join(low_passed(moves, keys, "dy", *gains).withColumnRenamed("y", "dy"), [*keys, "frame"])
-    sure = tile_confidence(moves)
-    top = sure.groupBy("clip").agg(F.max("confidence").alias("top"))
-    gain = F.sqrt(F.col("confidence") / F.greatest("top", F.lit(1e-6))) * (1.4 * magnification)
-    shifts = passed.join(sure.join(top, "clip").select(*keys, gain.alias("gain")), keys).select(*keys, "frame", (F.col("dx") * F.col("gain")).alias("dx"), (F.col("dy") * F.col("gain")).alias("dy"))
-    near = lambda c, n: F.array_min(F.array(*[F.struct(F.abs(F.col(c) + 0.5 - (s + size / 2)).alias("d"), F.lit(s).alias("s")) for s in starts(n, size, step)])).s
-    field = frames.select("clip", "frame", "row", "col", near("row", height).alias("ty"), near("col", width).alias("tx")).join(shifts, [*keys, "frame"])
-    return warp(frames, field.select("clip", "frame", "row", "col", "dx", "dy"), height, width, max(1.0, min(min(height, width) / 24, 6.0)))
-
-
 def edge_profile(frames: DataFrame, axis: str) -> DataFrame:
     """key (clip and frame), i, value: along an axis, the higher of the 99th percentile and three deviations."""
     return frames.groupBy(F.concat_ws("|", "clip", "frame").alias("key"), F.col(axis).alias("i")).agg(F.greatest(F.percentile("value", F.lit(0.99)), 3 * F.stddev_pop("value")).alias("value"))
@@ -174,8 +131,3 @@ def batched(frames: DataFrame, size: int = 8) -> DataFrame:
 def batch_mean(parts: DataFrame) -> DataFrame:
     """clip, mean: the mean of batches' values (clip, value, frames), by their frames."""
     return parts.groupBy("clip").agg((F.sum(F.col("value") * F.col("frames")) / F.sum("frames")).alias("mean"))
-
-
-def ranked_frames(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with frame: their number within the clip from 0."""
-    return rows.withColumn("frame", (F.row_number().over(Window.partitionBy("clip").orderBy(*order)) - 1).cast("int"))

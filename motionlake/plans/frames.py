@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bands as B
+from ..operators import clips as C
 from ..operators import frames as K
 from ..operators import grid as G
 from ..operators import series as S
@@ -28,6 +29,11 @@ def frames(spark, sf_dir) -> DataFrame:
     return written(places.join(means, ["clip", "frame", "row", "col"], "left").fillna(0.0, ["value"]))
 
 
+def _motion(spark, sf_dir) -> DataFrame:
+    rows = written(C.packed(frames(spark, sf_dir), "clip", "frame"))
+    return C.motion(rows, C.reference(rows, SIDE * SIDE), SIDE, SIDE, TILE, STEP)
+
+
 _FRAMES = f"""fm AS (SELECT l_returnflag AS clip, CAST(year(l_shipdate) - 1992 AS INTEGER) AS frame, CAST(l_quantity AS INTEGER) % {SIDE} AS row, CAST(l_suppkey % {SIDE} AS INTEGER) AS col, avg(l_extendedprice) / 100000 AS value FROM lineitem GROUP BY 1, 2, 3, 4),
  fr AS (SELECT k.clip, k.frame, CAST(y AS INTEGER) AS row, CAST(x AS INTEGER) AS col, coalesce(value, 0.0) AS value FROM (SELECT DISTINCT clip, frame FROM fm) k CROSS JOIN range({SIDE}) a(y) CROSS JOIN range({SIDE}) b(x) LEFT JOIN fm ON fm.clip = k.clip AND fm.frame = k.frame AND fm.row = y AND fm.col = x),
  rf AS (SELECT clip, row, col, avg(value) AS value FROM fr GROUP BY 1, 2, 3)"""
@@ -75,15 +81,12 @@ _MOVES = f"""{_FRAMES}, {_TILES}, {_correlation_sql('pr', 'clip, frame, ty, tx',
 
 @query(f"WITH {_MOVES} SELECT clip, frame, ty, tx, round(dx, 4) + 0.0 AS dx, round(dy, 4) + 0.0 AS dy, round(texture, 4) + 0.0 AS texture, round(quality, 4) + 0.0 AS quality FROM mv")
 def phase_corr_tile(spark, sf_dir):
-    rows = frames(spark, sf_dir)
-    moves = K.motion(rows, K.reference(rows), SIDE, SIDE, TILE, STEP)
-    return moves.withColumns({c: _r(F.col(c), 4) for c in ("dx", "dy", "texture", "quality")})
+    return _motion(spark, sf_dir).withColumns({c: _r(F.col(c), 4) for c in ("dx", "dy", "texture", "quality")})
 
 
 @query(f"WITH {_MOVES} SELECT clip, ty, tx, round(max(texture) * least(greatest(quantile_cont(quality, 0.5) / 4, 0.0), 1.0), 6) + 0.0 AS confidence FROM mv GROUP BY 1, 2, 3")
 def tile_confidence(spark, sf_dir):
-    rows = frames(spark, sf_dir)
-    return _rounded(K.tile_confidence(K.motion(rows, K.reference(rows), SIDE, SIDE, TILE, STEP)), "confidence")
+    return _rounded(K.tile_confidence(_motion(spark, sf_dir)), "confidence")
 
 
 _DRIFT = f"""{_FRAMES}, ed AS (SELECT clip, min(frame) AS a, max(frame) AS z FROM fr GROUP BY 1),
@@ -116,12 +119,6 @@ def frame_warp(spark, sf_dir):
     return _rounded(K.warp(rows, field, SIDE, SIDE, 1.0), "value")
 
 
-@query()
-def frame_amplify(spark, sf_dir):
-    """The whole amplifier; its parts have SQL each, and a test holds it against plain NumPy."""
-    return _rounded(K.amplified(frames(spark, sf_dir), SIDE, SIDE, TILE, STEP, (S.low_pass_gain(4.0, 1.5), S.low_pass_gain(4.0, 0.25)), 4.0), "value")
-
-
 @query(f"""WITH {_FRAMES}, b AS (SELECT clip, frame // 3 AS batch, avg(value) AS value, count(DISTINCT frame) AS frames FROM fr GROUP BY 1, 2)
 SELECT clip, round(sum(value * frames) / sum(frames), 6) + 0.0 AS mean FROM b GROUP BY 1""")
 def batch_weighted_mean(spark, sf_dir):

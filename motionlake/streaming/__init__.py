@@ -5,12 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import IntegerType
 
+from ..operators import clips as C
+from ..operators import frames as K
 from ..sources import shared_dir
 
 
@@ -51,7 +54,7 @@ def in_chunks(rows: DataFrame, key: str, chunks: int) -> DataFrame:
     spark = rows.sparkSession
     root = f"{shared_dir(spark)}/chunks/{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = rows.stat.approxQuantile("us", [i / chunks for i in range(1, chunks)], 0.01)
+    edges = rows.stat.approxQuantile("us", [i / chunks for i in range(1, chunks)], 0.01) if chunks > 1 else []
     for i, (low, high) in enumerate(zip([None, *edges], [*edges, None])):
         part = rows if low is None else rows.where(F.col("us") > low)
         part = part if high is None else part.where(F.col("us") <= high)
@@ -99,3 +102,44 @@ def in_batches(rows: DataFrame, key: str, size: int = 8) -> DataFrame:
         yield pd.DataFrame({key: of[0], "batch": sums.index, "n": sums["count"], "total": sums["sum"]})
 
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, batch long, n long, total double", "seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def amplified(frames: DataFrame, still: DataFrame, height: int, width: int, size: int, step: int, gains: tuple[float, float], magnification: float) -> DataFrame:
+    """clip, frame, pixels of a stream of frames (clip, frame, pixels of luma), chunks of which follow one another in each clip.
+
+    ``still`` is static: clip, pixels of the reference, weights of its tiles in
+    order.  What is carried from chunk to chunk are the low-passes of each
+    tile's motion, four arrays a clip, so a frame's result doesn't depend on
+    where chunks were cut.  A chunk's frames of one clip are held at once.
+    """
+    corners = C.corners_of(height, width, size, step)
+    field = len(K.starts(height, size, step)), len(K.starts(width, size, step))
+    high, low = gains
+
+    def work(pixels, ref):
+        return [C.lists(rows) for rows in C.tile_motion(C.stacked(pixels, (height, width)), C.stacked(ref, (height, width)), corners, size)[:2]]
+
+    small = still.count() * height * width * 8 <= C.BROADCAST_BYTES
+    named = still.select("clip", F.col("pixels").alias("still"), "weights")
+    met = frames.join(F.broadcast(named) if small else named, "clip")
+    moves = C.by_frames(met, ["clip", "frame", "pixels", "weights"], ["pixels", "still"], 2 * height * width, work, "dx array<double>, dy array<double>")
+
+    def carried(of: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        chunk = pd.concat(parts).sort_values("frame")
+        passes = np.array(state.get) if state.exists else np.zeros((4, len(corners)))
+        gain = np.array(chunk["weights"].iloc[0], float) * (C.GAIN * magnification)
+        fields = []
+        for seen in zip(chunk["dx"], chunk["dy"]):
+            for axis, now in enumerate(seen):
+                passes[2 * axis] += high * (now - passes[2 * axis])
+                passes[2 * axis + 1] += low * (now - passes[2 * axis + 1])
+            fields.append([(passes[0] - passes[1]) * gain, (passes[2] - passes[3]) * gain])
+        state.update(tuple(passes.tolist()))
+        fields = np.array(fields).reshape(len(chunk), 2, *field)
+        pixels = np.array(chunk["pixels"].tolist(), float).reshape(len(chunk), height, width, 1)
+        out = C.warp_pixels(pixels, fields[:, 0], fields[:, 1], C.most_displacement(height, width))
+        yield pd.DataFrame({"clip": of[0], "frame": chunk["frame"].to_numpy(), "pixels": list(out.reshape(len(chunk), -1))})
+
+    kinds = dict(frames.dtypes)
+    state = ", ".join(f"{name} array<double>" for name in ("xh", "xl", "yh", "yl"))
+    return moves.groupBy("clip").applyInPandasWithState(carried, f"clip {kinds['clip']}, frame {kinds['frame']}, pixels array<double>", state, "append", GroupStateTimeout.NoTimeout)
