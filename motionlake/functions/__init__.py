@@ -47,6 +47,13 @@ def centre_weight(row: Column, col: Column) -> Column:
     return F.least(F.greatest(1.10 - 0.70 * F.hypot(row - 0.5, col - 0.5) / 0.5, F.lit(0.20)), F.lit(1.0))
 
 
+def strength(x: str, y: str) -> Column:
+    """Aggregate: the absolute correlation of two columns; 0 if either hardly varies."""
+    varies = (F.stddev_pop(x) > 1e-6) & (F.stddev_pop(y) > 1e-6)
+    # without variation there is nothing to divide by
+    return F.when(varies, F.abs(F.covar_pop(x, y)) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))).otherwise(0.0)
+
+
 def confidence_label(score: Column) -> Column:
     return F.when(score >= 0.80, "High").when(score >= 0.60, "Moderate").when(score >= 0.40, "Low").otherwise("Poor")
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import strength
+
 
 def edges(spectra: DataFrame, peaks: DataFrame, share: float, inner: int) -> DataFrame:
     """series_key, rank, k, k_low, k_high: the nearest bins on both sides of each peak that are under a share of its amplitude, at most ``inner`` bins from the ends.
@@ -184,5 +186,4 @@ def correlations(series: DataFrame) -> DataFrame:
     x = series.select(F.col("series_key").alias("a"), "n", F.col("x").alias("x"))
     y = series.select(F.col("series_key").alias("b"), "n", F.col("x").alias("y"))
     pairs = x.join(y, "n").where("a < b").groupBy("a", "b")
-    varies = (F.stddev_pop("x") > 1e-6) & (F.stddev_pop("y") > 1e-6)
-    return pairs.agg(F.when(varies, F.abs(F.corr("x", "y"))).otherwise(0.0).alias("corr"))
+    return pairs.agg(strength("x", "y").alias("corr"))

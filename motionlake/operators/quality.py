@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import confidence_label, strength
 from . import bands, series
 from .grid import local_mean
 
@@ -55,8 +56,7 @@ def base_traces(cells: DataFrame, buckets: int, fps: float) -> tuple[DataFrame,
     mixed = F.transform("xs", lambda x, i: (F.col("wx") * x + F.col("wy") * F.get("ys", i) + F.col("wp") * F.get("ps", i)) / all_)
     traces = rows.select("roi", "cell", F.when(all_ > 1e-6, mixed).otherwise(F.col("ps")).alias("xs"))
     spelt = told.select("roi", "cell", F.inline(F.arrays_zip("xs", "ys", "ps")))
-    near = lambda a: F.when((F.stddev_pop(a) > 1e-6) & (F.stddev_pop("ps") > 1e-6), F.abs(F.corr(a, "ps"))).otherwise(0.0)
-    return traces, spelt.groupBy("roi", "cell").agg(((near("xs") + near("ys")) / 2).alias("agreement"))
+    return traces, spelt.groupBy("roi", "cell").agg(((strength("xs", "ps") + strength("ys", "ps")) / 2).alias("agreement"))
 
 
 def base_metrics(spectra: DataFrame, low_hz: float, bin_hz: float) -> DataFrame:
@@ -107,19 +107,14 @@ def inter_cell_agreement(records: DataFrame, spectra: DataFrame) -> DataFrame:
     rows = spectra.join(valid, ["roi", "parent"])
     a = rows.select("roi", F.col("parent").alias("a"), "k", F.col("amp").alias("x"))
     b = rows.select("roi", F.col("parent").alias("b"), "k", F.col("amp").alias("y"))
-    varies = (F.stddev_pop("x") > 1e-6) & (F.stddev_pop("y") > 1e-6)
-    pairs = a.join(b, ["roi", "k"]).where("a < b").groupBy("roi", "a", "b").agg(F.when(varies, F.abs(F.corr("x", "y"))).otherwise(0.0).alias("r"))
+    pairs = a.join(b, ["roi", "k"]).where("a < b").groupBy("roi", "a", "b").agg(strength("x", "y").alias("r"))
     alone = valid.groupBy("roi").agg(F.when(F.count("*") == 1, F.max("own")).alias("own"))
     rois = records.select("roi").distinct()
     return rois.join(pairs.groupBy("roi").agg(F.avg("r").alias("r")), "roi", "left").join(alone, "roi", "left").select("roi", F.coalesce("r", "own", F.lit(0.0)).alias("agreement"))
 
 
-def confidence_label(score: Column) -> Column:
-    return F.when(score >= 0.80, "High").when(score >= 0.60, "Moderate").when(score >= 0.40, "Low").otherwise("Poor")
-
-
 def roi_quality(records: DataFrame, agreement: DataFrame, consistency: DataFrame | None = None) -> DataFrame:
-    """roi, valid_cells, rejected_cells, overall, label; ``consistency`` (roi, consistency): mean support of reported peaks, 0 where missing."""
+    """roi, valid_cells, rejected_cells, agreement, overall, label, warnings; ``consistency`` (roi, consistency): mean support of reported peaks, 0 where missing."""
     means = records.groupBy("roi").agg(
         F.avg("texture").alias("texture"), F.avg("mask").alias("mask"), F.avg("drift").alias("drift"), F.avg(F.col("valid").cast("double")).alias("valid_fraction"),
         F.sum(F.col("valid").cast("long")).alias("valid_cells"), F.sum((~F.col("valid")).cast("long")).alias("rejected_cells"),
@@ -128,7 +123,8 @@ def roi_quality(records: DataFrame, agreement: DataFrame, consistency: DataFrame
     score = F.lit(0.0)
     for name, weight in ROI_WEIGHTS.items():
         score = score + weight * F.col(name)
-    return means.withColumn("overall", clip(score)).select("roi", "valid_cells", "rejected_cells", "agreement", "overall", confidence_label(F.col("overall")).alias("label"))
+    warnings = F.when(F.col("overall") < 0.45, "quality_below_reporting").otherwise("")
+    return means.withColumn("overall", clip(score)).select("roi", "valid_cells", "rejected_cells", "agreement", "overall", confidence_label(F.col("overall")).alias("label"), warnings.alias("warnings"))
 
 
 def roi_spectrum(records: DataFrame, spectra: DataFrame) -> DataFrame:

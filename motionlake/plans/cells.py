@@ -1,8 +1,9 @@
-"""Queries on cells of regions: events of a type are a ROI, users by twelve its base cells on a frame of 640 x 360."""
+"""Queries on cells of regions: events of a type are a ROI, its twelve base cells lie on a frame of 640 x 360 and have unequal shares of the events."""
 
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,15 +17,21 @@ from ..sources import cell_traces, table, written
 from .queries import _BOUNDS, FPS, N, _r, _rounded, query
 
 FRAME = (640.0, 360.0)
-ROI = {"shape": "circle", "x": 320.0, "y": 180.0, "radius": 290.0}
-ZONES = [{"shape": "rectangle", "mode": "exclude", "x": 430.0, "y": 40.0, "width": 120.0, "height": 150.0}]
+ROI = {"shape": "rectangle", "x": 0.0, "y": 0.0, "width": 640.0, "height": 239.0}
+ZONES = [{"shape": "circle", "mode": "exclude", "x": 400.0, "y": 60.0, "radius": 85.0}, {"shape": "rectangle", "mode": "exclude", "x": 480.0, "y": 0.0, "width": 160.0, "height": 120.0}]
+#: How many of 60 events lie in each cell; so few that one has too little texture, and others too little confidence.
+SHARES = (1, 8, 2, 2, 8, 14, 8, 3, 4, 4, 3, 3)
+CELL = "CASE " + " ".join(f"WHEN event_id % 60 < {sum(SHARES[: i + 1])} THEN {i}" for i in range(len(SHARES))) + " END"
+#: What is left of a cell's motion: cell 4 hardly moves, cell 7 not at all.
+MOVE = f"CASE {CELL} WHEN 4 THEN 0.02 WHEN 7 THEN 0.0 ELSE 1.0 END"
 BANDS = ((1, 1.0, 2.0), (2, 2.0, 4.0), (3, 4.0, 7.0))
 LOW_HZ, HIGH_HZ, BIN, CUTOFF, LEAST = 1.0, 7.0, FPS / N, 0.45, 0.30
 
 
 def base_cells(spark, sf_dir) -> DataFrame:
-    """roi, cell, row, col, x, y, width, height, roi_fraction, usable, parent: every ROI has the same twelve rectangles."""
-    numbers = spark.range(12).select(F.col("id").cast("string").alias("cell"), (F.col("id") / 4).cast("int").alias("row"), (F.col("id") % 4).cast("int").alias("col"))
+    """cell, row, col, x, y, width, height, roi_fraction, usable, parent: the rectangles that have events, alike in every ROI; at most twelve."""
+    found = table(spark, sf_dir, "events").select(F.expr(CELL).alias("id")).distinct()
+    numbers = found.select(F.col("id").cast("string").alias("cell"), (F.col("id") / 4).cast("int").alias("row"), (F.col("id") % 4).cast("int").alias("col"))
     places = numbers.select("cell", "row", "col", (F.col("col") * 160.0).alias("x"), (F.col("row") * 120.0).alias("y"), F.lit(160.0).alias("width"), F.lit(120.0).alias("height"))
     covered = G.coverage(places, ROI, ZONES, FRAME)
     parent = F.floor((F.col("y") + 60) / 180).cast("int") * 4 + F.floor((F.col("x") + 80) / 160).cast("int")
@@ -32,24 +39,70 @@ def base_cells(spark, sf_dir) -> DataFrame:
 
 
 class Region:
-    """The relations that the queries below share; what several plans need is written once."""
+    """The relations that the queries below share, each made when it is first asked for; what several plans need is written once."""
 
     def __init__(self, spark, sf_dir):
-        cells = cell_traces(table(spark, sf_dir, "events"), "event_type", "user_id % 12", "value", "try_cast(get_json_object(props, '$.k') as double) / 100", N)
-        cells = written(cells)
-        traces, agreement = Q.base_traces(cells, N, FPS)
-        self.traces = written(traces)
-        self.spectra = written(Q.spectra_of(self.traces, ["roi", "cell"], N, FPS))
-        most = cells.groupBy("roi").agg(F.max("n_events").alias("most"))
-        sure = cells.select("roi", "cell", "n_events").join(most, "roi").select("roi", "cell", (F.col("n_events") / F.col("most")).alias("confidence"))
-        base = sure.join(Q.base_metrics(self.spectra, LOW_HZ, BIN), ["roi", "cell"]).join(agreement, ["roi", "cell"]).join(F.broadcast(base_cells(spark, sf_dir)), "cell")
-        self.cells = written(base.withColumn("w", Q.clip(F.col("usable") * F.greatest("confidence", F.lit(0.05)))))
-        inside = self.cells.where("roi_fraction > 0")
-        self.roi_traces = written(Q.roi_traces(inside, self.traces))
-        self.roi_spectra = written(Q.spectra_of(self.roi_traces, ["roi", "parent"], N, FPS))
-        self.records = written(Q.roi_cells(inside, self.roi_traces, self.roi_spectra, CUTOFF, LOW_HZ, BIN))
-        self.agreement = Q.inter_cell_agreement(self.records, self.roi_spectra)
-        self.overall = written(Q.roi_quality(self.records, self.agreement))
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def _motion(self) -> DataFrame:
+        events = table(self.spark, self.sf_dir, "events")
+        return written(cell_traces(events, "event_type", CELL, f"value * {MOVE}", f"try_cast(get_json_object(props, '$.k') as double) / 100 * {MOVE}", N))
+
+    @cached_property
+    def _base(self) -> tuple[DataFrame, DataFrame]:
+        traces, agreement = Q.base_traces(self._motion, N, FPS)
+        return written(traces), agreement
+
+    @cached_property
+    def spectra(self) -> DataFrame:
+        return written(Q.spectra_of(self._base[0], ["roi", "cell"], N, FPS))
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        most = self._motion.groupBy("roi").agg(F.max("n_events").alias("most"))
+        sure = self._motion.select("roi", "cell", "n_events").join(most, "roi").select("roi", "cell", (F.col("n_events") / F.col("most")).alias("confidence"))
+        places = F.broadcast(base_cells(self.spark, self.sf_dir))  # twelve rows
+        base = sure.join(Q.base_metrics(self.spectra, LOW_HZ, BIN), ["roi", "cell"]).join(self._base[1], ["roi", "cell"]).join(places, "cell")
+        return written(base.withColumn("w", Q.clip(F.col("usable") * F.greatest("confidence", F.lit(0.05)))))
+
+    @cached_property
+    def _roi_traces(self) -> DataFrame:
+        return written(Q.roi_traces(self.cells.where("roi_fraction > 0"), self._base[0]))
+
+    @cached_property
+    def roi_spectra(self) -> DataFrame:
+        return written(Q.spectra_of(self._roi_traces, ["roi", "parent"], N, FPS))
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return written(Q.roi_cells(self.cells.where("roi_fraction > 0"), self._roi_traces, self.roi_spectra, CUTOFF, LOW_HZ, BIN))
+
+    @cached_property
+    def agreement(self) -> DataFrame:
+        return written(Q.inter_cell_agreement(self.records, self.roi_spectra))
+
+    @cached_property
+    def _found(self) -> tuple[DataFrame, DataFrame]:
+        """Supported peaks and suppressed ones, ranked by a first score."""
+        found, lost = Q.supported_peaks(self.records, self.roi_spectra, Q.roi_quality(self.records, self.agreement), LEAST)
+        return written(found), lost
+
+    @property
+    def lost(self) -> DataFrame:
+        return self._found[1]
+
+    @cached_property
+    def overall(self) -> DataFrame:
+        """The final score, with how well the peaks are supported."""
+        consistency = self._found[0].groupBy(F.col("series_key").alias("roi")).agg(F.avg("support").alias("consistency"))
+        return written(Q.roi_quality(self.records, self.agreement, consistency))
+
+    @property
+    def peaks(self) -> DataFrame:
+        """What is reported: nothing of a ROI whose final score is under the cutoff."""
+        poor = self.overall.where(F.col("overall") < CUTOFF).select(F.col("roi").alias("series_key"))
+        return self._found[0].join(poor, "series_key", "left_anti")
 
     def heat(self) -> DataFrame:
         spark = self.cells.sparkSession
@@ -70,7 +123,7 @@ def _clip(x: str, low: float = 0.0) -> str:
 
 
 _DRIFT = "freq_hz > 0 AND freq_hz < 0.5"
-_BASE = f"""{_BOUNDS}, ev AS (SELECT event_type AS roi, CAST(user_id % 12 AS VARCHAR) AS cell, CAST((epoch_us(ts) - lo) * {N} // (hi - lo + 1) AS INTEGER) AS n, value, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS y FROM events, b),
+_BASE = f"""{_BOUNDS}, ev AS (SELECT event_type AS roi, CAST({CELL} AS VARCHAR) AS cell, CAST((epoch_us(ts) - lo) * {N} // (hi - lo + 1) AS INTEGER) AS n, value * {MOVE} AS value, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 * {MOVE} AS y FROM events, b),
  mm AS (SELECT roi, cell, n, avg(value) AS x, avg(y) AS y FROM ev GROUP BY 1, 2, 3),
  ids AS (SELECT roi, cell, count(*) AS c, count(*) / (max(count(*)) OVER (PARTITION BY roi))::DOUBLE AS confidence FROM ev GROUP BY 1, 2),
  tr AS (SELECT i.roi, i.cell, CAST(g.n AS INTEGER) AS n, coalesce(mm.x, 0.0) AS x, coalesce(mm.y, 0.0) AS y FROM ids i CROSS JOIN range({N}) g(n) LEFT JOIN mm ON mm.roi = i.roi AND mm.cell = i.cell AND mm.n = g.n),
@@ -87,9 +140,10 @@ _BASE = f"""{_BOUNDS}, ev AS (SELECT event_type AS roi, CAST(user_id % 12 AS VAR
  en AS (SELECT roi, cell, sum(amp * amp) AS total, sum(CASE WHEN freq_hz >= {LOW_HZ} THEN amp * amp ELSE 0 END) AS band, sum(CASE WHEN {_DRIFT} THEN amp * amp ELSE 0 END) AS drift FROM bs GROUP BY 1, 2),
  me AS (SELECT roi, cell, total, CASE WHEN total <= 1e-6 THEN 0 ELSE {_clip('band / total')} END AS relevance, {_clip('1 - drift / greatest(band + drift, 1e-6)')} AS stability FROM en)"""
 
-_NOMINAL = f"sqrt(pow(px - {ROI['x']}, 2) + pow(py - {ROI['y']}, 2)) <= {ROI['radius']} AND px BETWEEN 0 AND {FRAME[0]} AND py BETWEEN 0 AND {FRAME[1]}"
-_GEOMETRY = f"""smp AS (SELECT CAST(c AS VARCHAR) AS cell, CAST(c // 4 AS INTEGER) AS row, CAST(c % 4 AS INTEGER) AS col, (c % 4) * 160.0::DOUBLE AS x, (c // 4) * 120.0::DOUBLE AS y, (c % 4) * 160 + 0.5 + i * 159.0 / 4 AS px, (c // 4) * 120 + 0.5 + j * 119.0 / 4 AS py FROM range(12) a(c), range(5) s(i), range(5) t(j)),
- cov AS (SELECT cell, row, col, x, y, avg(CASE WHEN {_NOMINAL} THEN 1.0 ELSE 0.0 END)::DOUBLE AS roi_fraction, avg(CASE WHEN {_NOMINAL} AND NOT (px BETWEEN 430 AND 550 AND py BETWEEN 40 AND 190) THEN 1.0 ELSE 0.0 END)::DOUBLE AS usable,
+_NOMINAL = f"px BETWEEN {ROI['x']} AND {ROI['x'] + ROI['width']} AND py BETWEEN {ROI['y']} AND {ROI['y'] + ROI['height']} AND px BETWEEN 0 AND {FRAME[0]} AND py BETWEEN 0 AND {FRAME[1]}"
+_EXCLUDED = "sqrt(pow(px - 400, 2) + pow(py - 60, 2)) <= 85 OR (px BETWEEN 480 AND 640 AND py BETWEEN 0 AND 120)"
+_GEOMETRY = f"""smp AS (SELECT CAST(c AS VARCHAR) AS cell, CAST(c // 4 AS INTEGER) AS row, CAST(c % 4 AS INTEGER) AS col, (c % 4) * 160.0::DOUBLE AS x, (c // 4) * 120.0::DOUBLE AS y, (c % 4) * 160 + 0.5 + i * 159.0 / 4 AS px, (c // 4) * 120 + 0.5 + j * 119.0 / 4 AS py FROM (SELECT DISTINCT {CELL} AS c FROM events) a, range(5) s(i), range(5) t(j)),
+ cov AS (SELECT cell, row, col, x, y, avg(CASE WHEN {_NOMINAL} THEN 1.0 ELSE 0.0 END)::DOUBLE AS roi_fraction, avg(CASE WHEN {_NOMINAL} AND NOT ({_EXCLUDED}) THEN 1.0 ELSE 0.0 END)::DOUBLE AS usable,
    CAST(CAST(floor((y + 60) / 180) AS INTEGER) * 4 + CAST(floor((x + 80) / 160) AS INTEGER) AS VARCHAR) AS parent FROM smp GROUP BY cell, row, col, x, y)"""
 _RECORDS = f"""{_BASE}, {_GEOMETRY}, bc AS (SELECT ids.roi, ids.cell, confidence, total, relevance, stability, agreement, row, col, roi_fraction, usable, parent, {_clip('usable * greatest(confidence, 0.05::DOUBLE)')} AS w
    FROM ids JOIN me USING (roi, cell) JOIN ag USING (roi, cell) JOIN cov USING (cell)),
@@ -131,11 +185,6 @@ def roi_cell_records(spark, sf_dir):
     return _rounded(Region(spark, sf_dir).records, *Q.CELL_WEIGHTS, "composite")
 
 
-@query(f"WITH {_RECORDS} SELECT roi, valid_cells, rejected_cells, {_round_sql('agreement', 'overall')}, CASE WHEN overall >= 0.8 THEN 'High' WHEN overall >= 0.6 THEN 'Moderate' WHEN overall >= 0.4 THEN 'Low' ELSE 'Poor' END AS label FROM ov")
-def roi_quality(spark, sf_dir):
-    return _rounded(Region(spark, sf_dir).overall, "agreement", "overall")
-
-
 _ROI_PEAKS = f"""{_RECORDS}, hv AS (SELECT roi, bool_or(valid) AS any_ FROM rec GROUP BY 1),
  f AS (SELECT rs.roi AS series_key, k, freq_hz, quantile_cont(amp, 0.5) AS amp FROM rs JOIN rec USING (roi, parent) JOIN hv ON hv.roi = rs.roi WHERE valid OR NOT any_ GROUP BY 1, 2, 3),
  pw AS (SELECT *, lag(amp) OVER v AS p, lead(amp) OVER v AS q FROM f WINDOW v AS (PARTITION BY series_key ORDER BY k)),
@@ -149,21 +198,25 @@ _ROI_PEAKS = f"""{_RECORDS}, hv AS (SELECT roi, bool_or(valid) AS any_ FROM rec
  su AS (SELECT roi AS series_key, k, avg(hit)::DOUBLE AS support FROM sh GROUP BY 1, 2),
  sq AS (SELECT r.series_key, r.k, r.freq_hz, r.amp, support, {_clip('0.55::DOUBLE * CASE WHEN max(r.amp) OVER (PARTITION BY r.series_key) <= 1e-6 THEN 0 ELSE r.amp / max(r.amp) OVER (PARTITION BY r.series_key) END + 0.35::DOUBLE * support + 0.10::DOUBLE * overall')} AS score
    FROM r JOIN su ON su.series_key = r.series_key AND su.k = r.k JOIN ov ON ov.roi = r.series_key),
- rp AS (SELECT *, CAST(row_number() OVER (PARTITION BY series_key ORDER BY score DESC, amp DESC, k) AS INTEGER) AS rank FROM sq WHERE support >= {LEAST}::DOUBLE)"""
+ rp AS (SELECT *, CAST(row_number() OVER (PARTITION BY series_key ORDER BY score DESC, amp DESC, k) AS INTEGER) AS rank FROM sq WHERE support >= {LEAST}::DOUBLE),
+ fo AS (SELECT ov.roi, valid_cells, rejected_cells, agreement, {_clip('overall + 0.17::DOUBLE * coalesce(c, 0)')} AS overall FROM ov LEFT JOIN (SELECT series_key, avg(support) AS c FROM rp GROUP BY 1) z ON z.series_key = ov.roi)"""
+
+
+@query(f"""WITH {_ROI_PEAKS} SELECT roi, valid_cells, rejected_cells, {_round_sql('agreement', 'overall')}, CASE WHEN overall >= 0.8 THEN 'High' WHEN overall >= 0.6 THEN 'Moderate' WHEN overall >= 0.4 THEN 'Low' ELSE 'Poor' END AS label,
+  CASE WHEN overall < 0.45 THEN 'quality_below_reporting' ELSE '' END AS warnings FROM fo""")
+def roi_quality(spark, sf_dir):
+    """A ROI's final score: with how well its reported peaks are supported."""
+    return _rounded(Region(spark, sf_dir).overall, "agreement", "overall")
 
 
-@query(f"WITH {_ROI_PEAKS} SELECT series_key, rank, k, {_round_sql('freq_hz', 'amp', 'support', 'score')} FROM rp")
+@query(f"WITH {_ROI_PEAKS} SELECT series_key, rank, k, {_round_sql('freq_hz', 'amp', 'support', 'score')} FROM rp JOIN fo ON fo.roi = rp.series_key WHERE fo.overall >= {CUTOFF}::DOUBLE")
 def supported_peaks(spark, sf_dir):
-    r = Region(spark, sf_dir)
-    found, _ = Q.supported_peaks(r.records, r.roi_spectra, r.overall, LEAST)
-    return _rounded(found.select("series_key", "rank", "k", "freq_hz", "amp", "support", "score"), "freq_hz", "amp", "support", "score")
+    return _rounded(Region(spark, sf_dir).peaks.select("series_key", "rank", "k", "freq_hz", "amp", "support", "score"), "freq_hz", "amp", "support", "score")
 
 
 @query(f"WITH {_ROI_PEAKS} SELECT series_key, k, round(support, 6) + 0.0 AS support FROM sq WHERE support < {LEAST}::DOUBLE")
 def suppressed_peaks(spark, sf_dir):
-    r = Region(spark, sf_dir)
-    _, lost = Q.supported_peaks(r.records, r.roi_spectra, r.overall, LEAST)
-    return _rounded(lost.select("series_key", "k", "support"), "support")
+    return _rounded(Region(spark, sf_dir).lost.select("series_key", "k", "support"), "support")
 
 
 _LOCAL = f"""ce AS (SELECT rs.roi, band, rs.parent, sum(amp * amp) * greatest(any_value(composite), 0.05::DOUBLE) AS e FROM rs JOIN rec ON rec.roi = rs.roi AND rec.parent = rs.parent AND rec.valid, (VALUES {', '.join(f'({b}, {lo}, {hi})' for b, lo, hi in BANDS)}) v(band, lo, hi)
@@ -219,7 +272,7 @@ def heatmap_salience(spark, sf_dir):
 def band_resolution(spark, sf_dir):
     """The bands that a ROI's heatmaps show: edges around supported peaks, split, merged, scored and ranked; too long a chain for SQL, its parts have queries of their own."""
     r = Region(spark, sf_dir)
-    peaks = written(Q.supported_peaks(r.records, r.roi_spectra, r.overall, LEAST)[0])
+    peaks = written(r.peaks)
     whole = written(Q.roi_spectrum(r.records, r.roi_spectra))
     search = min(FPS / 2, HIGH_HZ + max(0.75, 6 * BIN))
     chosen = peaks.where(F.col("freq_hz").between(LOW_HZ, search)).where("rank <= 5")
@@ -304,13 +357,12 @@ def patch_score(spark, sf_dir):
     return best.select(F.split_part("grid_id", F.lit("|"), F.lit(1)).alias("roi"), F.split_part("grid_id", F.lit("|"), F.lit(2)).cast("int").alias("band"), "score")
 
 
-@query(f"""WITH {_ROI_PEAKS}, t AS (SELECT series_key, string_agg(printf('%.3f', freq_hz), ';' ORDER BY rank) AS peaks FROM rp WHERE rank <= 5 GROUP BY 1)
-SELECT ov.roi, m.metric, m.value FROM ov LEFT JOIN t ON t.series_key = ov.roi, LATERAL (VALUES ('valid_cells', CAST(valid_cells AS VARCHAR)), ('rejected_cells', CAST(rejected_cells AS VARCHAR)), ('overall_quality', printf('%.4f', overall)), ('peaks_hz', coalesce(peaks, ''))) m(metric, value)""")
+@query(f"""WITH {_ROI_PEAKS}, t AS (SELECT series_key, string_agg(printf('%.3f', freq_hz), ';' ORDER BY rank) AS peaks FROM rp JOIN fo ON fo.roi = rp.series_key WHERE rank <= 5 AND fo.overall >= {CUTOFF}::DOUBLE GROUP BY 1)
+SELECT fo.roi, m.metric, m.value FROM fo LEFT JOIN t ON t.series_key = fo.roi, LATERAL (VALUES ('valid_cells', CAST(valid_cells AS VARCHAR)), ('rejected_cells', CAST(rejected_cells AS VARCHAR)), ('overall_quality', printf('%.4f', overall)), ('peaks_hz', coalesce(peaks, ''))) m(metric, value)""")
 def roi_metrics(spark, sf_dir):
     """A ROI's figures as rows of metric and value, as an artefact lists them; its first five peaks are one text."""
     r = Region(spark, sf_dir)
-    peaks, _ = Q.supported_peaks(r.records, r.roi_spectra, r.overall, LEAST)
-    few = peaks.where("rank <= 5").groupBy("series_key").agg(F.sort_array(F.collect_list(F.struct("rank", "freq_hz"))).alias("p"))
+    few = r.peaks.where("rank <= 5").groupBy("series_key").agg(F.sort_array(F.collect_list(F.struct("rank", "freq_hz"))).alias("p"))
     text = F.array_join(F.transform("p", lambda x: F.format_string("%.3f", x.freq_hz)), ";")
     rows = r.overall.join(few.select(F.col("series_key").alias("roi"), text.alias("peaks")), "roi", "left")
     pairs = (("valid_cells", F.col("valid_cells").cast("string")), ("rejected_cells", F.col("rejected_cells").cast("string")), ("overall_quality", F.format_string("%.4f", "overall")), ("peaks_hz", F.coalesce("peaks", F.lit(""))))

@@ -9,6 +9,7 @@ from motionlake.operators import bands as B
 from motionlake.operators import clips as C
 from motionlake.operators import frames as K
 from motionlake.operators import grid as G
+from motionlake.operators import quality as Q
 from motionlake.operators import rules as R
 from motionlake.operators import series as S
 from motionlake.operators import suggestion as U
@@ -140,3 +141,33 @@ def test_queries_without_sql_run(spark, name):
 
     rows = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r.low_hz <= r.high_hz for r in rows)
+
+
+def test_every_reason_of_cells_and_heatmaps_occurs(spark):
+    from motionlake.plans import QUERIES
+
+    data = "/root/testdata/sf0.01"
+    assert {r.reason for r in QUERIES["heatmap_reasons"](spark, data).select("reason").distinct().collect()} == {"valid", "outside_roi", "masked_out", "low_confidence", "weak_signal"}
+    fails = {reason for r in QUERIES["roi_cell_records"](spark, data).collect() for reason in r.reasons.split(";")}
+    assert fails >= {"", "no_weighted_signal", "insufficient_texture", "masked_out", "no_usable_motion_signal"}
+    scores = QUERIES["roi_quality"](spark, data).collect()
+    assert {r.warnings for r in scores} == {"", "quality_below_reporting"} and all(r.rejected_cells for r in scores)
+    poor = {r.roi for r in scores if r.warnings}
+    assert not poor & {r.series_key for r in QUERIES["supported_peaks"](spark, data).collect()}
+
+
+def test_reported_peaks_raise_the_final_score(spark):
+    cells = [("a", "p", 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, True), ("a", "q", 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, False), ("b", "p", 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, False)]
+    records = spark.createDataFrame(cells, "roi string, parent string, texture double, stability double, agreement double, relevance double, mask double, drift double, composite double, valid boolean")
+    agreement = spark.createDataFrame([("a", 0.5), ("b", 0.0)], "roi string, agreement double")
+    peaks = spark.createDataFrame([("a", 0.8)], "roi string, consistency double")
+    first = {r.roi: r for r in Q.roi_quality(records, agreement).collect()}
+    final = {r.roi: r for r in Q.roi_quality(records, agreement, peaks).collect()}
+    assert first["a"].overall == pytest.approx(0.415) and final["a"].overall == pytest.approx(0.415 + 0.17 * 0.8)
+    assert (first["a"].warnings, final["a"].warnings, final["a"].label) == ("quality_below_reporting", "", "Low")
+    assert final["b"].overall == first["b"].overall == pytest.approx(0.043) and (final["b"].label, final["b"].valid_cells, final["b"].rejected_cells) == ("Poor", 0, 1)
+
+
+def test_strength_of_constant_series_is_nothing(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, -2.0), ("b", 2.0, -4.0)], "k string, x double, y double")
+    assert {r.k: r.s for r in df.groupBy("k").agg(X.strength("x", "y").alias("s")).collect()} == pytest.approx({"a": 0.0, "b": 1.0})
