@@ -15,6 +15,8 @@ may have.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ WORD_EDITS = ((10, 1), (30, 2), (60, 3))
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Lines with one key from which they meet one of them before they meet each other.
 HOT = 64
+#: Units of a line up to which the places of its keys are looked up in a table rather than worked out; both give the same keys.
+TABLE = 255
 #: Powers of two, down, for the search of common beginnings and ends of lines.
 _STEPS = [1 << k for k in range(24, -1, -1)]
 
@@ -87,7 +91,23 @@ def segment_keys(units: Column, n: Column, classes, part) -> Column:
         found = F.when((start >= 0) & (end <= n), F.xxhash64(shorter, t.segment, part(units, start + 1, end - start)))
         return F.struct(found.alias("key"), t.own.alias("own"))
 
-    return F.transform(_places(n, classes), key)
+    def known(t: Column) -> Column:
+        return F.struct(F.xxhash64(t.shorter, t.segment, part(units, t.start, t["size"])).alias("key"), t.own.alias("own"))
+
+    table = F.from_json(F.lit(json.dumps([_known_places(size, classes) for size in range(TABLE + 1)])), "array<array<struct<shorter: int, segment: int, start: int, size: int, own: boolean>>>")
+    short = F.transform(F.element_at(table, F.least(n, F.lit(TABLE)).cast("int") + 1), known)
+    return F.when(n <= TABLE, short).otherwise(F.transform(_places(n, classes), key))
+
+
+def _known_places(n: int, classes) -> list[dict]:
+    """What ``segment_keys`` works out of the places of a line of n units: start counts from 1."""
+    found = []
+    for edits in sorted({e for _, e in classes}):
+        for less, i, shift in _offsets(edits):
+            start, end = i * (n - less) // (edits + 1) + shift, (i + 1) * (n - less) // (edits + 1) + shift
+            if edits_of(n - less, classes) == edits and start >= 0 and end <= n:
+                found.append({"shorter": n - less, "segment": i, "start": start + 1, "size": end - start, "own": less == 0 and shift == 0})
+    return found
 
 
 def char_keys(line: Column, n: Column) -> Column:

@@ -454,6 +454,18 @@ def test_secrets_of_odd_tables(spark, odd):
     assert twice[0] == twice[1] and twice[0].spans == f"assign:0:{len(SECRET)}"
 
 
+def test_keys_from_the_table_are_those_worked_out(spark, monkeypatch):
+    lines = [" ".join(f"w{(i * j) % 97}" for j in range(n)) for i, n in enumerate([1, 9, 10, 11, 29, 30, 31, 32, 59, 60, 61, 62, 63, 80, 254, 255, 256, 257])] + ["x" * n for n in (9, 10, 12, 39, 41, 43, 255, 256)]
+    df = spark.createDataFrame([(t,) for t in lines], "line string")
+    found = []
+    for table in (line_dedup.TABLE, 0):
+        monkeypatch.setattr(line_dedup, "TABLE", table)
+        words_ = df.select("line", F.inline(line_dedup.word_keys(F.col("line"), line_dedup.n_words(F.col("line")))))
+        chars = df.select("line", F.inline(line_dedup.char_keys(F.col("line"), F.length("line"))))
+        found.append([sorted(map(tuple, k.where("key is not null").collect())) for k in (words_, chars)])
+    assert found[0] == found[1] and all(found[0])
+
+
 def test_halves_of_a_line_id_are_independent(spark):
     ids = spark.range(2000).select(line_dedup.line_id(F.concat(F.lit("l"), F.col("id").cast("string"))).alias("i")).select("i.*")
     one = ids.select("x", F.xxhash64(F.col("x"), F.lit(1)).alias("a"), "y").first()
