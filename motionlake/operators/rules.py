@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def issues(rows: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
     """A row for each rule (severity, code, condition) that a row breaks, in one pass over the rows."""
@@ -15,9 +17,14 @@ def issues(rows: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
 def purge(rows: DataFrame, owner: str, order: list[Column], size: str, budget: float, preserve: Column | None = None) -> DataFrame:
     """Oldest first, what must go so that each owner's rest fits the budget; preserved rows stay, and count."""
     stays = F.lit(False) if preserve is None else preserve
-    every = Window.partitionBy(owner)
-    gone = F.coalesce(F.sum(F.when(stays, 0).otherwise(F.col(size))).over(every.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("left", F.sum(size).over(every) - gone).where(~stays & (F.col("left") > budget))
+    names = [f"order{i}_" for i in range(len(order))]
+    told = rows.withColumns(dict(zip(names, order)) | {"stays_": stays})
+    going = F.when(F.col("stays_"), 0).otherwise(F.col(size))
+    # an owner's rows may be many: they are summed by ranges
+    scanned = scans.running(scans.placed(told, owner, names), owner, gone_=("sum", going))
+    total = rows.groupBy(F.col(owner).alias("owner_")).agg(F.sum(size).alias("total_"))
+    met = scanned.join(total, F.col(owner).eqNullSafe(F.col("owner_"))).withColumn("left", F.col("total_") - (F.coalesce("gone_", F.lit(0)) - F.coalesce(going, F.lit(0))))
+    return met.where(~F.col("stays_") & (F.col("left") > budget)).select(*rows.columns, "left")
 
 
 def capped(rows: DataFrame, owner: str, priority: str, order: list[str], size: str, cap: float) -> DataFrame:
