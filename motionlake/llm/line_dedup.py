@@ -15,8 +15,6 @@ may have.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,11 +75,12 @@ def _places(n: Column, classes) -> Column:
     return found
 
 
-def segment_keys(units: Column, n: Column, classes, part) -> Column:
+def segment_keys(units: Column, n: Column, classes, part, places: Column | None = None) -> Column:
     """Array of (key, own) of a line of n units: own for its own segments, which it is found by; the others it only looks for.
 
     Of the ``parts`` segments of a line of n units, segment i ends after
     (i + 1) * n / parts of them.  ``part(units, start, size)`` is a piece.
+    ``places`` are those of ``with_places``, which save working them out.
     """
 
     def key(t: Column) -> Column:
@@ -94,28 +93,34 @@ def segment_keys(units: Column, n: Column, classes, part) -> Column:
     def known(t: Column) -> Column:
         return F.struct(F.xxhash64(t.shorter, t.segment, part(units, t.start, t["size"])).alias("key"), t.own.alias("own"))
 
-    table = F.from_json(F.lit(json.dumps([_known_places(size, classes) for size in range(TABLE + 1)])), "array<array<struct<shorter: int, segment: int, start: int, size: int, own: boolean>>>")
-    short = F.transform(F.element_at(table, F.least(n, F.lit(TABLE)).cast("int") + 1), known)
-    return F.when(n <= TABLE, short).otherwise(F.transform(_places(n, classes), key))
+    worked = F.transform(_places(n, classes), key)
+    return worked if places is None else F.when(places.isNotNull(), F.transform(places, known)).otherwise(worked)
+
+
+def with_places(lines: DataFrame, classes) -> DataFrame:
+    """``lines`` (n, others) with places: where the keys of a line of n units lie, for up to TABLE of them, else null. The table of places has TABLE + 1 rows."""
+    rows = [(size, _known_places(size, classes)) for size in range(TABLE + 1)]
+    table = lines.sparkSession.createDataFrame(rows, "units int, places array<struct<shorter: int, segment: int, start: int, size: int, own: boolean>>")
+    return lines.join(F.broadcast(table), F.col("n") == F.col("units"), "left").drop("units")
 
 
-def _known_places(n: int, classes) -> list[dict]:
+def _known_places(n: int, classes) -> list[tuple]:
     """What ``segment_keys`` works out of the places of a line of n units: start counts from 1."""
     found = []
     for edits in sorted({e for _, e in classes}):
         for less, i, shift in _offsets(edits):
             start, end = i * (n - less) // (edits + 1) + shift, (i + 1) * (n - less) // (edits + 1) + shift
             if edits_of(n - less, classes) == edits and start >= 0 and end <= n:
-                found.append({"shorter": n - less, "segment": i, "start": start + 1, "size": end - start, "own": less == 0 and shift == 0})
+                found.append((n - less, i, start + 1, end - start, less == 0 and shift == 0))
     return found
 
 
-def char_keys(line: Column, n: Column) -> Column:
-    return segment_keys(line, n, CHAR_EDITS, F.substring)
+def char_keys(line: Column, n: Column, places: Column | None = None) -> Column:
+    return segment_keys(line, n, CHAR_EDITS, F.substring, places)
 
 
-def word_keys(line: Column, n: Column) -> Column:
-    return _let(F.split(line, " "), lambda words: segment_keys(words, n, WORD_EDITS, F.slice))
+def word_keys(line: Column, n: Column, places: Column | None = None) -> Column:
+    return _let(F.split(line, " "), lambda words: segment_keys(words, n, WORD_EDITS, F.slice, places))
 
 
 def _words(text: Column, n: Column) -> Column:
@@ -213,7 +218,7 @@ def line_id(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(F.lit(1), line).alias("y"))
 
 
-def _candidates(lines: DataFrame, keys: Column, signature: Column, alike, links) -> DataFrame:
+def _candidates(lines: DataFrame, classes, keys, signature: Column, alike, links) -> DataFrame:
     """a, b (128-bit ids): pairs of ``lines`` (line, n) with a key in common, own to the one, that ``alike`` doesn't rule out by signature and ``links`` confirms.
 
     Keys with many lines meet in two steps: each of its lines meets one of
@@ -222,7 +227,7 @@ def _candidates(lines: DataFrame, keys: Column, signature: Column, alike, links)
     """
     rows = lines.withColumn("h", F.xxhash64("line"))
     # written once: making the keys costs more than reading them twice
-    keyed_ = materialize(rows.select("h", F.inline(keys)).where("key is not null"))
+    keyed_ = materialize(with_places(rows, classes).select("h", F.inline(keys(F.col("line"), F.col("n"), F.col("places")))).where("key is not null"))
     shared = materialize(
         keyed_.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("own"), F.count("*").alias("c")).where("low != high and own").select(F.col("key").alias("k"), (F.col("c") > HOT).alias("hot"))
     )
@@ -259,7 +264,7 @@ def linked_by_chars(lines: DataFrame) -> DataFrame:
     edits = edits_at(F.least("ni", "nj"), CHAR_EDITS)
     # an edit moves the counts of letters by two at most
     alike = (F.abs(F.col("ni") - F.col("nj")) <= edits) & (F.aggregate(F.zip_with("si", "sj", lambda m, n: F.abs(m - n)), F.lit(0), lambda t, d: t + d) <= 2 * edits)
-    return _candidates(chosen, char_keys(F.col("line"), F.col("n")), letter_counts(F.col("line")), alike, lambda pairs: chars_within(pairs, "line_a", "line_b"))
+    return _candidates(chosen, CHAR_EDITS, char_keys, letter_counts(F.col("line")), alike, lambda pairs: chars_within(pairs, "line_a", "line_b"))
 
 
 def _word_letters(line: Column) -> Column:
@@ -297,7 +302,7 @@ def linked_by_words(lines: DataFrame) -> DataFrame:
     chosen = lines.select("line", n_words(F.col("line")).alias("n")).where(F.col("n") >= WORD_EDITS[0][0])
     edits = edits_at(F.least("ni", "nj"), WORD_EDITS)
     alike = (F.abs(F.col("ni") - F.col("nj")) <= edits) & (F.call_function("levenshtein", F.col("si"), F.col("sj"), edits) >= 0)
-    return _candidates(chosen, word_keys(F.col("line"), F.col("n")), _word_letters(F.col("line")), alike, lambda pairs: words_within(pairs, "line_a", "line_b"))
+    return _candidates(chosen, WORD_EDITS, word_keys, _word_letters(F.col("line")), alike, lambda pairs: words_within(pairs, "line_a", "line_b"))
 
 
 def near_lines(lines: DataFrame, short: DataFrame | None = None) -> DataFrame:

@@ -454,16 +454,14 @@ def test_secrets_of_odd_tables(spark, odd):
     assert twice[0] == twice[1] and twice[0].spans == f"assign:0:{len(SECRET)}"
 
 
-def test_keys_from_the_table_are_those_worked_out(spark, monkeypatch):
+def test_keys_from_the_table_are_those_worked_out(spark):
     lines = [" ".join(f"w{(i * j) % 97}" for j in range(n)) for i, n in enumerate([1, 9, 10, 11, 29, 30, 31, 32, 59, 60, 61, 62, 63, 80, 254, 255, 256, 257])] + ["x" * n for n in (9, 10, 12, 39, 41, 43, 255, 256)]
     df = spark.createDataFrame([(t,) for t in lines], "line string")
-    found = []
-    for table in (line_dedup.TABLE, 0):
-        monkeypatch.setattr(line_dedup, "TABLE", table)
-        words_ = df.select("line", F.inline(line_dedup.word_keys(F.col("line"), line_dedup.n_words(F.col("line")))))
-        chars = df.select("line", F.inline(line_dedup.char_keys(F.col("line"), F.length("line"))))
-        found.append([sorted(map(tuple, k.where("key is not null").collect())) for k in (words_, chars)])
-    assert found[0] == found[1] and all(found[0])
+    for n, classes, keys in ((line_dedup.n_words(F.col("line")), line_dedup.WORD_EDITS, line_dedup.word_keys), (F.length("line"), line_dedup.CHAR_EDITS, line_dedup.char_keys)):
+        rows = line_dedup.with_places(df.withColumn("n", n), classes)
+        assert rows.where("places is null").count() == rows.where(F.col("n") > line_dedup.TABLE).count() > 0
+        told = [sorted(map(tuple, rows.select("line", F.inline(keys(F.col("line"), F.col("n"), places))).where("key is not null").collect())) for places in (F.col("places"), None)]
+        assert told[0] == told[1] and told[0]
 
 
 def test_halves_of_a_line_id_are_independent(spark):
