@@ -135,7 +135,7 @@ def frame_amplify(spark, sf_dir):
     return C.cells(out, SIDE, "clip", "frame").withColumn("value", _r(F.col("value"), 4))
 
 
-@query(ORACLE["frame_amplify"])
+@query()
 def stream_amplify(spark, sf_dir):
     """The same of a stream of frames in three chunks; references and weights come from a first pass."""
     rows = written(C.packed(frames(spark, sf_dir), "clip", "frame"))
@@ -143,6 +143,9 @@ def stream_amplify(spark, sf_dir):
     return C.cells(out, SIDE, "clip", "frame").withColumn("value", _r(F.col("value"), 4))
 
 
+ORACLE["stream_amplify"] = ORACLE["frame_amplify"]
+
+
 def still_of(rows):
     """clip, pixels, weights: the reference image of each clip of frames, and how far its tiles count."""
     still = written(C.reference(rows, SIDE * SIDE))
