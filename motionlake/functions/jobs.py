@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 class Job(NamedTuple):
     """``mode`` is setup while no run is on; then what was set up decides the state that is shown."""
@@ -67,3 +70,28 @@ def machine() -> tuple[list[Job], dict[str, list[int]]]:
         at += 1
     number = {job: i for i, job in enumerate(found)}
     return found, {e: [-1 if (after := moved(job, e)) is None else number[after] for job in found] for e in EVENTS}
+
+
+def exit_verdict(code: Column, last: Column, asked: Column) -> Column:
+    """status, reason of a worker that has ended: its exit code (null: unknown) against its last terminal message (null: none); ``asked``: whether it was told to cancel."""
+    ended = lambda status, reason=None: F.struct(F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))
+    zero, bad = code.eqNullSafe(0), code.isNotNull() & (code != 0)
+    return (
+        F.when((last == "job_completed") & zero, ended("complete")).when(last == "job_completed", ended("failed", "worker_claimed_success_then_nonzero_exit")).when(last == "failure", ended("failed", "worker_reported_failure"))
+        .when((last == "job_cancelled") & bad, ended("failed", "worker_reported_cancel_then_nonzero_exit")).when((last == "job_cancelled") & asked, ended("cancelled")).when(last == "job_cancelled", ended("failed", "unexpected_job_cancelled"))
+        .when(zero, ended("failed", "worker_protocol_failure")).otherwise(ended("failed", "worker_terminated_unexpectedly"))
+    )
+
+
+#: The most bands that a job may ask for.
+MOST_BANDS = 10
+
+
+def settings_fit(enabled: Column, cutoff: Column, least_confidence: Column, least_support: Column, count: Column, mode: Column, bands: Column, low: Column, high: Column) -> Column:
+    """Whether analysis settings can be run: shares within their ranges, as many bands as the mode allows, and manual bands (low_hz, high_hz) rising and inside the phase band. Nothing is asked of a switched-off analysis, nor of manual bands in mode auto."""
+    share = lambda c: c.between(0.0, 1.0)
+    inside = F.forall(bands, lambda b: (b.high_hz > b.low_hz) & (b.low_hz >= low) & (b.high_hz <= high))
+    n = F.size(bands)
+    counted = F.when(mode == "manual_single", n == 1).otherwise(n.between(1, MOST_BANDS))
+    given = share(cutoff) & share(least_confidence) & (least_support > 0.0) & (least_support <= 1.0) & count.between(1, MOST_BANDS)
+    return ~enabled | (given & ((mode == "auto") | (counted & inside)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as X
+from ..functions import jobs as J
 from ..operators import rules as R
 from ..sources import table
 from .queries import _r, query
@@ -271,8 +272,26 @@ def stale_sources(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (~(F.col("l_partkey") % 3).eqNullSafe(path) | ~F.col("l_quantity").eqNullSafe(size)).alias("stale"))
 
 
-@query(f"""WITH {_JOBS} SELECT o_orderkey, low > 0 AND high > low AND CASE policy WHEN 'conservative' THEN level = 1 WHEN 'balanced' THEN level BETWEEN 1 AND 3 AND low + 0.5 <= high ELSE true END AS valid FROM j""")
+#: A job's analysis settings from columns of a job, in SQL that both engines read; its manual bands are 0 to 12, not all rising or inside the phase band.
+_SETTING = {
+    "enabled": "o_custkey % 5 <> 0", "cutoff": "CAST(o_orderkey % 22 AS DOUBLE) / 20", "sure": "CAST(o_custkey % 22 AS DOUBLE) / 20", "support": "CAST(o_orderkey % 21 AS DOUBLE) / 19", "bands_asked": "o_custkey % 12",
+    "mode": "CASE o_orderkey % 3 WHEN 0 THEN 'manual_single' WHEN 1 THEN 'manual_multi' ELSE 'auto' END", "n_manual": "CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE o_custkey % 13 END",
+    "first": "low - CASE WHEN o_custkey % 7 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END", "width": "CAST(o_custkey % 6 AS DOUBLE) / 4",
+}
+_SETTINGS = f"{_JOBS}, t AS (SELECT o_orderkey, o_custkey, low, high, {', '.join(f'{sql} AS {name}' for name, sql in _SETTING.items())} FROM j JOIN orders USING (o_orderkey)), st AS (SELECT *, list_transform(range(n_manual), lambda i: struct_pack(low_hz := first + i / 4::DOUBLE, high_hz := first + i / 4::DOUBLE + width)) AS manual FROM t)"
+
+
+def settings(spark, sf_dir) -> DataFrame:
+    """o_orderkey, o_custkey, low, high and a job's analysis settings, manual bands (low_hz, high_hz) among them."""
+    keys = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    rows = jobs(spark, sf_dir).select("o_orderkey", "low", "high").join(keys, "o_orderkey").select("*", *[F.expr(sql).alias(name) for name, sql in _SETTING.items()])
+    places = F.slice(F.sequence(F.lit(0), F.lit(12)), F.lit(1), F.col("n_manual").cast("int"))
+    return rows.withColumn("manual", F.transform(places, lambda i: F.struct((F.col("first") + i / 4).alias("low_hz"), (F.col("first") + i / 4 + F.col("width")).alias("high_hz"))))
+
+
+@query(f"""WITH {_SETTINGS} SELECT o_orderkey, NOT enabled OR (cutoff BETWEEN 0 AND 1 AND sure BETWEEN 0 AND 1 AND support > 0 AND support <= 1 AND bands_asked BETWEEN 1 AND 10 AND (mode = 'auto' OR (
+  CASE mode WHEN 'manual_single' THEN n_manual = 1 ELSE n_manual BETWEEN 1 AND 10 END AND len(list_filter(manual, lambda b: b.high_hz <= b.low_hz OR b.low_hz < low OR b.high_hz > high)) = 0))) AS valid FROM st""")
 def settings_valid(spark, sf_dir):
-    """Bands in the phase band, as many as the mode allows: one, one to ten, or any."""
-    mode = F.when(F.col("policy") == "conservative", F.col("level") == 1).when(F.col("policy") == "balanced", F.col("level").between(1, 3) & (F.col("low") + 0.5 <= F.col("high"))).otherwise(True)
-    return jobs(spark, sf_dir).select("o_orderkey", ((F.col("low") > 0) & (F.col("high") > F.col("low")) & mode).alias("valid"))
+    """Whether a job's analysis settings can be run."""
+    rows = settings(spark, sf_dir)
+    return rows.select("o_orderkey", J.settings_fit(*[F.col(c) for c in ("enabled", "cutoff", "sure", "support", "bands_asked", "mode", "manual", "low", "high")]).alias("valid"))

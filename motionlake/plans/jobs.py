@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.jobs import EVENTS, machine
+from ..functions.jobs import EVENTS, exit_verdict, machine
 from ..operators import scans as Z
 from ..sources import micros, table
+from ..streaming import appended
+from ..streaming import watch as W
 from .queries import _rounded, query
 
 #: What an event does, by its number: mostly what a run needs, one after another.
@@ -68,3 +70,41 @@ def retained_bytes(spark, sf_dir):
     roots = files.where("page_id % 3 = 0").select(first(1)).union(files.where("page_id % 5 < 3").select(first(2)))
     kept = Z.topmost(files.where(~F.contains("path", F.lit("/fr/"))), roots)
     return kept.groupBy("root").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+_HOUR = 3_600_000_000
+_SOFT, _HARD, _STALL, _SPANS = 4 * _HOUR, 12 * _HOUR, 30 * _HOUR, 4
+#: What an event says of its worker, in SQL that both engines read.
+_SAYS = "CASE event_type WHEN 'view' THEN 'heartbeat' WHEN 'signup' THEN 'stage_started' WHEN 'click' THEN 'progress_update' WHEN 'purchase' THEN 'child_counter' ELSE 'hello' END"
+_TOKEN, _COUNT = "CAST(CAST(floor(value / 40) AS BIGINT) AS VARCHAR(20))", "CAST(floor(value) AS BIGINT)"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us, {_SAYS} AS what, {_TOKEN} AS token, {_COUNT} AS counter FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+ edge AS (SELECT max(us) // 1000 - (((max(us) - min(us)) // {_SPANS} + 1) // 1000 + 1) AS wm FROM e), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM e),
+ b AS (SELECT *, count(*) FILTER (WHERE what = 'heartbeat') OVER w AS beats, max(us) OVER (PARTITION BY user_id) AS seen, max(counter) FILTER (WHERE what = 'child_counter') OVER p AS top FROM o WINDOW w AS (PARTITION BY user_id ORDER BY i), p AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ t AS (SELECT user_id, i, lag(token) OVER (PARTITION BY user_id ORDER BY i) AS before FROM o WHERE what = 'progress_update' AND token IS NOT NULL),
+ s AS (SELECT b.user_id, us, seen, i, what = 'heartbeat' OR (beats = 0 AND what <> 'child_counter') AS heard, what = 'stage_started' OR (what = 'progress_update' AND token IS NOT NULL AND token IS DISTINCT FROM t.before) OR (what = 'child_counter' AND counter > coalesce(top, counter - 1)) AS moved FROM b LEFT JOIN t USING (user_id, i)),
+ a AS (SELECT user_id, us, coalesce(lead(us) OVER (PARTITION BY user_id ORDER BY i), greatest(seen, wm * 1000)) AS next, unnest([('warning', {_SOFT}), ('unresponsive', {_HARD})]) AS l FROM s, edge WHERE heard
+  UNION ALL SELECT user_id, us, coalesce(lead(us) OVER (PARTITION BY user_id ORDER BY i), greatest(seen, wm * 1000)), ('stalled', {_STALL}) FROM s, edge WHERE moved)
+SELECT user_id, l[1] AS kind, us + l[2] AS due FROM a WHERE next - us > l[2]""")
+def stream_inactivity(spark, sf_dir):
+    """Silences and stalls of each user's worker, found by timers while its messages stream in."""
+    rows = table(spark, sf_dir, "events").where("user_id is not null").select("user_id", micros(F.col("ts")).alias("us"), "event_id", F.expr(_SAYS).alias("what"), F.expr(_TOKEN).cast("string").alias("token"), F.expr(_COUNT).alias("counter"))
+    stream, late = W.in_spans(rows, "user_id", _SPANS)
+    return appended(W.alarms(stream, "user_id", late, _SOFT, _HARD, _STALL))
+
+
+_LAST = "CASE event_type WHEN 'click' THEN 'job_completed' WHEN 'purchase' THEN 'failure' WHEN 'signup' THEN 'job_cancelled' END"
+
+
+@query(f"""WITH l AS (SELECT user_id, arg_max({_LAST}, (epoch_us(ts), event_id)) FILTER (WHERE value > 150 AND {_LAST} IS NOT NULL) AS last, CASE user_id % 4 WHEN 2 THEN 1 WHEN 3 THEN NULL ELSE 0 END AS code, user_id % 8 < 5 AS asked FROM events WHERE user_id IS NOT NULL GROUP BY user_id)
+SELECT user_id, CASE WHEN last = 'job_completed' AND code = 0 THEN 'complete' WHEN last = 'job_cancelled' AND coalesce(code, 0) = 0 AND asked THEN 'cancelled' ELSE 'failed' END AS status,
+ CASE WHEN last = 'job_completed' THEN CASE WHEN code = 0 THEN NULL ELSE 'worker_claimed_success_then_nonzero_exit' END WHEN last = 'failure' THEN 'worker_reported_failure'
+  WHEN last = 'job_cancelled' THEN CASE WHEN code <> 0 THEN 'worker_reported_cancel_then_nonzero_exit' WHEN asked THEN NULL ELSE 'unexpected_job_cancelled' END WHEN code = 0 THEN 'worker_protocol_failure' ELSE 'worker_terminated_unexpectedly' END AS reason FROM l""")
+def worker_exits(spark, sf_dir):
+    """How each user's worker ended: its exit code against the last terminal message of those that weren't lost: here, those of a value over 150."""
+    said = F.expr(_LAST)
+    at = F.when(said.isNotNull() & (F.col("value") > 150), F.struct(micros(F.col("ts")), F.col("event_id")))
+    rows = table(spark, sf_dir, "events").where("user_id is not null").groupBy("user_id").agg(F.max_by(said, at).alias("last"))
+    code = F.when(F.col("user_id") % 4 == 2, 1).when(F.col("user_id") % 4 != 3, 0)
+    return rows.select("user_id", exit_verdict(code, F.col("last"), F.col("user_id") % 8 < 5).alias("v")).select("user_id", "v.status", "v.reason")
