@@ -121,3 +121,43 @@ def fallback(seconds: Column, fps: Column) -> tuple[Column, Column]:
     """The band where nothing is found: from two periods in the clip."""
     low = band_edge(F.greatest(F.lit(0.15), F.greatest(F.lit(0.1), 2 / F.greatest(seconds, F.lit(1.0)))))
     return low, band_edge(F.least(fps / 2 * 0.7, F.greatest(low + 0.35, low * 2.5)))
+
+
+#: Bands that are tried besides the suggested one, and how far one must win to be taken.
+TRIED = ((0.50, 1.50), (0.75, 2.50), (1.00, 5.00), (1.50, 5.00), (2.00, 6.00))
+WIN_RATIO, WIN_MARGIN, FAST_HZ = 1.08, 0.02, 0.95
+
+
+def tried(suggestions: DataFrame, low_hz: float, high_hz: float) -> DataFrame:
+    """series_key, low_hz, high_hz: the suggested band of each series and the fixed ones, held within the range, without narrow and repeated ones."""
+    band = lambda low, high: F.struct(F.greatest(F.lit(low_hz), F.least(F.lit(high_hz), low)).alias("low"), F.greatest(F.lit(low_hz), F.least(F.lit(high_hz), high)).alias("high"))
+    every = F.array(band(F.col("low_hz"), F.col("high_hz")), *[band(F.lit(lo), F.lit(hi)) for lo, hi in TRIED])
+    rows = suggestions.select("series_key", F.inline(every)).where("high > low + 0.10D")
+    return rows.select("series_key", band_edge(F.col("low")).alias("low_hz"), band_edge(F.col("high")).alias("high_hz")).distinct()
+
+
+def promoted(suggestions: DataFrame, picked: DataFrame, scores: DataFrame) -> DataFrame:
+    """Suggestions (series_key, low_hz, high_hz, peak_hz, confidence) with promoted: where the candidate behind one (``picked``) is suspicious, a faster band takes its place whole if it scores clearly better.
+
+    ``scores``: series_key, low_hz, high_hz, score of the bands that were
+    ``tried``; a suggested band without a score counts as 0.  A series has a
+    handful of them.  Ties go to the band that reaches higher, then lower down.
+    """
+    doubted = picked.where(suspicious(*[F.col(c) for c in ("freq_hz", "ubiquity", "edge", "support", "sharpness")])).select("series_key", F.lit(True).alias("doubted"))
+    same = (F.abs(F.col("s_low") - F.col("low_hz")) <= 1e-6) & (F.abs(F.col("s_high") - F.col("high_hz")) <= 1e-6)
+    met = scores.select("series_key", F.col("low_hz").alias("s_low"), F.col("high_hz").alias("s_high"), "score").join(suggestions.select("series_key", "low_hz", "high_hz"), "series_key")
+    fast = F.when(F.col("s_low") >= FAST_HZ, F.struct("score", F.col("s_high").alias("high"), (-F.col("s_low")).alias("minus_low")))
+    best = met.groupBy("series_key").agg(F.coalesce(F.max(F.when(same, F.col("score"))), F.lit(0.0)).alias("own"), F.max(fast).alias("fast"))
+    rows = suggestions.join(doubted, "series_key", "left").join(best, "series_key", "left")
+    score, low, high = F.col("fast.score"), -F.col("fast.minus_low"), F.col("fast.high")
+    takes = F.coalesce(F.col("doubted") & (score >= F.greatest(F.col("own") * WIN_RATIO, F.col("own") + WIN_MARGIN)), F.lit(False))
+    or_ = lambda new, old: F.when(takes, new).otherwise(F.col(old)).alias(old)
+    surer = clip(F.greatest(F.col("confidence"), F.col("confidence") + 0.12 + score - F.col("own")))
+    return rows.select("series_key", or_(band_edge(low), "low_hz"), or_(band_edge(high), "high_hz"), or_((low + high) / 2, "peak_hz"), or_(surer, "confidence"), takes.alias("promoted"))
+
+
+def or_fallback(series_keys: DataFrame, suggestions: DataFrame, seconds: float, fps: float) -> DataFrame:
+    """A suggestion for each series (series_key): those without a candidate get the band of the clip's length, with no confidence."""
+    low, high = fallback(F.lit(seconds), F.lit(fps))
+    rows = series_keys.select("series_key").distinct().join(suggestions, "series_key", "left")
+    return rows.select("series_key", F.coalesce("low_hz", low).alias("low_hz"), F.coalesce("high_hz", high).alias("high_hz"), F.coalesce("peak_hz", low).alias("peak_hz"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("promoted", F.lit(False)).alias("promoted"))

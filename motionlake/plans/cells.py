@@ -348,13 +348,32 @@ def patch_score(spark, sf_dir):
     """How well the best patch of 3 x 3 cells moves within each band."""
     r = Region(spark, sf_dir)
     fixed = F.broadcast(spark.createDataFrame(BANDS, "band int, low_hz double, high_hz double"))
+    best = patch_scores(r, r.spectra.join(fixed))
+    return best.select("roi", F.col("band").cast("int").alias("band"), _r(F.col("score")).alias("score"))
+
+
+def patch_scores(r: Region, banded: DataFrame) -> DataFrame:
+    """roi, band (string), score from bins of cells (roi, cell, freq_hz, amp) with the bands (band, low_hz, high_hz) that each roi tries."""
     inside = F.sum(F.when(F.col("freq_hz").between(F.col("low_hz"), F.col("high_hz")), F.col("amp") * F.col("amp")).otherwise(0.0))
-    rows = r.spectra.join(fixed).groupBy("roi", "cell", "band").agg((inside / F.greatest(F.sum(F.col("amp") * F.col("amp")), F.lit(1e-9))).alias("e"))
+    rows = banded.groupBy("roi", "cell", "band").agg((inside / F.greatest(F.sum(F.col("amp") * F.col("amp")), F.lit(1e-9))).alias("e"))
     weight = centre_weight((F.col("row") + 0.5) / 3, (F.col("col") + 0.5) / 4)
     rows = rows.join(r.cells.select("roi", "cell", "row", "col", "confidence"), ["roi", "cell"]).withColumn("value", F.col("e") * F.col("confidence") * weight)
     near = G.local_mean(rows.select(F.concat_ws("|", "roi", "band").alias("grid_id"), "row", "col", "value"))
-    best = near.groupBy("grid_id").agg(_r(F.max("support")).alias("score"))
-    return best.select(F.split_part("grid_id", F.lit("|"), F.lit(1)).alias("roi"), F.split_part("grid_id", F.lit("|"), F.lit(2)).cast("int").alias("band"), "score")
+    best = near.groupBy("grid_id").agg(F.max("support").alias("score"))
+    return best.select(F.split_part("grid_id", F.lit("|"), F.lit(1)).alias("roi"), F.split_part("grid_id", F.lit("|"), F.lit(2)).alias("band"), "score")
+
+
+@query()
+def band_promotion(spark, sf_dir):
+    """The band suggested for each ROI, or a faster one in its place where the motion of its best patch says so; one of the clip's length where there are no candidates. Its rules are tested on their own."""
+    found, whole = _candidates(spark, sf_dir)
+    out = written(U.suggested(found, whole, BIN, FIRST * BIN, *SEARCH))
+    r = Region(spark, sf_dir)
+    bands = written(U.tried(out, SEARCH[0], min(FPS * 0.45, 6.0)).withColumn("band", F.concat_ws("_", "low_hz", "high_hz")))
+    scores = patch_scores(r, r.spectra.join(bands.withColumnRenamed("series_key", "roi"), "roi"))
+    told = bands.join(scores.withColumnRenamed("roi", "series_key"), ["series_key", "band"]).drop("band")
+    done = U.or_fallback(whole, U.promoted(out, U.chosen(found), told), N / FPS, FPS)
+    return _rounded(done, "low_hz", "high_hz", "peak_hz", "confidence")
 
 
 @query(f"""WITH {_ROI_PEAKS}, t AS (SELECT series_key, string_agg(printf('%.3f', freq_hz), ';' ORDER BY rank) AS peaks FROM rp JOIN fo ON fo.roi = rp.series_key WHERE rank <= 5 AND fo.overall >= {CUTOFF}::DOUBLE GROUP BY 1)
