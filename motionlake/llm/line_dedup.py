@@ -120,7 +120,11 @@ def char_keys(line: Column, n: Column, places: Column | None = None) -> Column:
 
 
 def word_keys(line: Column, n: Column, places: Column | None = None) -> Column:
-    return _let(F.split(line, " "), lambda words: segment_keys(words, n, WORD_EDITS, F.slice, places))
+    """Each word is hashed once, as 16 bytes, so that a segment of words is a piece of bytes; words alike in their hash are told apart where pairs are verified."""
+    # with the highest bit set a number always has 16 digits
+    codes = F.transform(F.split(line, " "), lambda w: F.hex(F.xxhash64(w).bitwiseOR(F.lit(-(1 << 63)))))
+    piece = lambda coded, start, size: F.substring(coded, (start - 1) * 16 + 1, size * 16)
+    return _let(F.array_join(codes, "").cast("binary"), lambda coded: segment_keys(coded, n, WORD_EDITS, piece, places))
 
 
 def _words(text: Column, n: Column) -> Column:
