@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, small
+from .common import components, materialize, small, thrifty
 
 REGISTERS, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
 BANDS = REGISTERS // ROWS
@@ -140,7 +140,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 yield out(ids, sets)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, f1 long, f2 long, registers binary, bands array<long>"
+        thrifty(run), "doc_id long, n_shingles long, f1 long, f2 long, registers binary, bands array<long>"
     )
 
 
@@ -178,7 +178,7 @@ def _stars(pairs: DataFrame, payload: DataFrame, compare, read) -> DataFrame:
     return (
         members.union(centers)
         .repartition("center", "salt").sortWithinPartitions("center", "salt", "kind")
-        .mapInArrow(run, "center long, member long, low double, high double")
+        .mapInArrow(thrifty(run), "center long, member long, low double, high double")
         .groupBy("center", "member").agg(F.min(F.struct("low", "high")).alias("d")).select("center", "member", "d.low", "d.high")
     )
 
@@ -321,12 +321,12 @@ def _within(buckets: DataFrame, found: DataFrame, kinds: DataFrame, docs: DataFr
     sketched = dealt.join(kinds.select("node", "registers", "bands"), "node").select(*keys, "node", "own", "component", "registers", "bands")
     wanted = materialize(
         sketched.repartition(*keys).sortWithinPartitions(*keys)
-        .mapInArrow(_sketch_blocks, "band long, p long, q long, node long, own long, component long")
+        .mapInArrow(thrifty(_sketch_blocks), "band long, p long, q long, node long, own long, component long")
     )
     needed = wanted.select(F.col("node").alias("id")).distinct()
     texts = docs.join(small(needed), docs.doc_id == needed.id).select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("body"))
     full = wanted.join(texts, "node").select(*keys, "node", "own", "component", "body")
-    return materialize(full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_set_blocks, "a long, b long"))
+    return materialize(full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(thrifty(_set_blocks), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -23,8 +23,10 @@ from .common import materialize, thrifty
 from .words import Encoder, encoder, kinds
 
 WINDOW, END = 2048, 1
-#: Text bytes that are encoded at once.
-_PIECE = 4_000_000
+#: Text bytes that are encoded at once; arrays over a piece take some fifty times as much.
+_PIECE = 1_000_000
+#: Bytes of words that a generation of a worker's cache holds: in the pipeline, packing's workers stand beside an executor whose heap earlier stages have filled.
+_CACHE = 32 << 20
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -33,7 +35,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     table = kinds(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, before = encoder(tokenizer_path, table), 0
+        encode, before = encoder(tokenizer_path, table, _CACHE), 0
         kind = "<u2" if encode.size <= 1 << 16 else "<u4"
         for batch in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))
@@ -49,6 +51,9 @@ def tokenize(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     names=["doc_id", "part", "before", "n_tokens", "ids"],
                 )
                 at, before = at + k, before + int(cuts[-1])
+                del ids, cuts, raw
+            # else it stays while the next one is read
+            del batch, sizes
 
     return docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         thrifty(run), "doc_id long, part int, before long, n_tokens long, ids binary"

@@ -166,7 +166,7 @@ def moments(votes: DataFrame, voters: int) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays(columns, names=["i", "j", "n"])
 
     n, both = 0, np.zeros((voters, voters))
-    for r in votes.select("votes").mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+    for r in votes.select("votes").mapInArrow(thrifty(run), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         if r["i"] < 0:
             n = r["n"]
         else:
@@ -283,5 +283,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, cut: f
             p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(p, pa.float64())], names=[*carried, "score"])
 
-    scored = votes.mapInArrow(run, "".join(f"`{c}` long, " for c in carried) + "score double")
+    scored = votes.mapInArrow(thrifty(run), "".join(f"`{c}` long, " for c in carried) + "score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *carried[1:])

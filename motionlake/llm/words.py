@@ -33,7 +33,7 @@ OTHER, LETTER, NUMBER, WHITE, ODD = range(5)
 _CACHE_BYTES, _ENTRY = 128 << 20, 200
 #: Letters whose lower case depends on their neighbours or has several code points.
 _CONTEXT = (0x130, 0x3A3)
-_POINTS = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], np.uint32)
+_POINTS = np.concatenate([np.arange(0xD800, dtype=np.uint32), np.arange(0xE000, 0x110000, dtype=np.uint32)])
 
 
 def style(tokenizer_path: str) -> str | None:
@@ -144,10 +144,10 @@ def starts(table: np.ndarray, points: np.ndarray, first: np.ndarray, spaced: boo
 class Encoder:
     """Token ids of many texts at once, as the tokenizer gives them without special tokens added.
 
-    The cache of words has two generations of bounded size.
+    The cache of words has two generations, each of about ``cache_bytes``.
     """
 
-    def __init__(self, tokenizer_path: str, table: bytes | None = None):
+    def __init__(self, tokenizer_path: str, table: bytes | None = None, cache_bytes: int = _CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -168,7 +168,7 @@ class Encoder:
                 self.style = None
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.cache_bytes = 0, cache_bytes
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -202,7 +202,7 @@ class Encoder:
         self.held += 2 * len(word) + len(raw) + _ENTRY
 
     def _known(self, words: list[str]) -> list[bytes]:
-        if self.held > _CACHE_BYTES:
+        if self.held > self.cache_bytes:
             self.words, self.older, self.held = {}, self.words, 0
         found = list(map(self.words.get, words))
         missing = []
@@ -292,6 +292,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(tokenizer_path: str, table: bytes) -> Encoder:
+def encoder(tokenizer_path: str, table: bytes, cache_bytes: int = _CACHE_BYTES) -> Encoder:
     """One for a Python worker, whose words stay from task to task."""
-    return Encoder(tokenizer_path, table)
+    return Encoder(tokenizer_path, table, cache_bytes)
