@@ -41,10 +41,16 @@ def _let(value: Column, use) -> Column:
 
 
 def _offsets(edits: int):
-    """less, segment, shift: where a line that is ``less`` units longer than its partner may hold a segment of it."""
+    """less, segment, shift: where a line that is ``less`` units longer than its partner may hold a segment of it.
+
+    Of lines equally long, each is the other's partner.  Up to three edits add
+    and drop one unit at most, so what lies between is moved to the right in
+    one of the two lines, and only shifts to the right are looked for.
+    """
+    assert edits <= 3
     for less in range(edits + 1):
         for i in range(edits + 1):
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+            for shift in range(max(-i, less - (edits - i), 0 if less == 0 else -i), min(i, less + (edits - i)) + 1):
                 yield less, i, shift
 
 
@@ -132,13 +138,18 @@ def _words(text: Column, n: Column) -> Column:
     return F.call_function("substring_index", text, F.lit(" "), n)
 
 
+def _times(line: Column, sign: str) -> Column:
+    """How often an ASCII character occurs: bytes are counted, as code points take a walk over the line."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(sign), F.lit("")))
+
+
 def n_words(line: Column) -> Column:
-    return (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("int")
+    return (_times(line, " ") + 1).cast("int")
 
 
 def letter_counts(line: Column) -> Column:
     """How often each letter occurs. An edit moves these counts by two at most."""
-    return F.array(*[(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("int") for c in "abcdefghijklmnopqrstuvwxyz"])
+    return F.array(*[_times(line, c).cast("int") for c in "abcdefghijklmnopqrstuvwxyz"])
 
 
 def _common(a: Column, b: Column, length: Column) -> Column:
