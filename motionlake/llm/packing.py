@@ -23,7 +23,7 @@ from .common import materialize, thrifty
 from .words import Encoder, encoder, kinds
 
 WINDOW, END = 2048, 1
-#: Text bytes that are encoded at once; arrays over a piece take some fifty times as much.
+#: Text bytes that are encoded at once; arrays over a piece take many times as much.
 _PIECE = 1_000_000
 #: Bytes of words that a generation of a worker's cache holds: in the pipeline, packing's workers stand beside an executor whose heap earlier stages have filled.
 _CACHE = 32 << 20
