@@ -29,6 +29,8 @@ WORD_EDITS = ((10, 1), (30, 2), (60, 3))
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Lines with one key from which they meet one of them before they meet each other.
 HOT = 64
+#: Pairs that one task verifies, where there are few.
+PAIRS = 256
 #: Units of a line up to which the places of its keys are looked up in a table rather than worked out; both give the same keys.
 TABLE = 255
 #: Powers of two, down, for the search of common beginnings and ends of lines.
@@ -81,26 +83,36 @@ def _places(n: Column, classes) -> Column:
     return found
 
 
+def _known(n: Column, classes, places: Column | None = None) -> Column:
+    """Array of (shorter, segment, start, size, own) of a line of n units; start counts from 1. ``places`` are those of ``with_places``, which save working them out."""
+
+    def worked(t: Column) -> Column:
+        shorter = n - t.less
+        start = (t.segment * shorter / t.parts).cast("int") + t["shift"]
+        end = ((t.segment + 1) * shorter / t.parts).cast("int") + t["shift"]
+        return F.struct(shorter.alias("shorter"), t.segment.alias("segment"), (start + 1).alias("start"), (end - start).alias("size"), t.own.alias("own"))
+
+    found = F.filter(F.transform(_places(n, classes), worked), lambda t: (t.start > 0) & (t.start + t["size"] - 1 <= n))
+    return found if places is None else F.when(places.isNotNull(), places).otherwise(found)
+
+
+def _key(units: Column, shorter: Column, segment: Column, start: Column, size: Column, part) -> Column:
+    return F.xxhash64(shorter, segment, part(units, start, size))
+
+
 def segment_keys(units: Column, n: Column, classes, part, places: Column | None = None) -> Column:
     """Array of (key, own) of a line of n units: own for its own segments, which it is found by; the others it only looks for.
 
     Of the ``parts`` segments of a line of n units, segment i ends after
     (i + 1) * n / parts of them.  ``part(units, start, size)`` is a piece.
-    ``places`` are those of ``with_places``, which save working them out.
     """
+    return F.transform(_known(n, classes, places), lambda t: F.struct(_key(units, t.shorter, t.segment, t.start, t["size"], part).alias("key"), t.own.alias("own")))
 
-    def key(t: Column) -> Column:
-        shorter = n - t.less
-        start = (t.segment * shorter / t.parts).cast("int") + t["shift"]
-        end = ((t.segment + 1) * shorter / t.parts).cast("int") + t["shift"]
-        found = F.when((start >= 0) & (end <= n), F.xxhash64(shorter, t.segment, part(units, start + 1, end - start)))
-        return F.struct(found.alias("key"), t.own.alias("own"))
-
-    def known(t: Column) -> Column:
-        return F.struct(F.xxhash64(t.shorter, t.segment, part(units, t.start, t["size"])).alias("key"), t.own.alias("own"))
 
-    worked = F.transform(_places(n, classes), key)
-    return worked if places is None else F.when(places.isNotNull(), F.transform(places, known)).otherwise(worked)
+def with_keys(lines: DataFrame, classes, units, part) -> DataFrame:
+    """h, key, own of ``lines`` (h, line, n): what ``segment_keys`` gives, a row each. Keys are worked out of rows, as functions of array elements aren't compiled."""
+    rows = with_places(lines, classes).select("h", units(F.col("line")).alias("units"), _known(F.col("n"), classes, F.col("places")).alias("places"))
+    return rows.select("h", "units", F.inline("places")).select("h", _key(*map(F.col, ("units", "shorter", "segment", "start", "size")), part).alias("key"), "own")
 
 
 def with_places(lines: DataFrame, classes) -> DataFrame:
@@ -111,7 +123,7 @@ def with_places(lines: DataFrame, classes) -> DataFrame:
 
 
 def _known_places(n: int, classes) -> list[tuple]:
-    """What ``segment_keys`` works out of the places of a line of n units: start counts from 1."""
+    """What ``_known`` works out of the places of a line of n units: start counts from 1."""
     found = []
     for edits in sorted({e for _, e in classes}):
         for less, i, shift in _offsets(edits):
@@ -121,16 +133,22 @@ def _known_places(n: int, classes) -> list[tuple]:
     return found
 
 
+def word_codes(line: Column) -> Column:
+    """A number for each word; words alike in it are told apart where pairs are verified."""
+    return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+
+
+#: Units of a line, and how pieces are cut of them: code points and words.
+CHARS = (lambda line: line, F.substring)
+WORDS = (word_codes, F.slice)
+
+
 def char_keys(line: Column, n: Column, places: Column | None = None) -> Column:
-    return segment_keys(line, n, CHAR_EDITS, F.substring, places)
+    return segment_keys(line, n, CHAR_EDITS, CHARS[1], places)
 
 
 def word_keys(line: Column, n: Column, places: Column | None = None) -> Column:
-    """Each word is hashed once, as 16 bytes, so that a segment of words is a piece of bytes; words alike in their hash are told apart where pairs are verified."""
-    # with the highest bit set a number always has 16 digits
-    codes = F.transform(F.split(line, " "), lambda w: F.hex(F.xxhash64(w).bitwiseOR(F.lit(-(1 << 63)))))
-    piece = lambda coded, start, size: F.substring(coded, (start - 1) * 16 + 1, size * 16)
-    return _let(F.array_join(codes, "").cast("binary"), lambda coded: segment_keys(coded, n, WORD_EDITS, piece, places))
+    return _let(word_codes(line), lambda codes: segment_keys(codes, n, WORD_EDITS, WORDS[1], places))
 
 
 def _words(text: Column, n: Column) -> Column:
@@ -233,20 +251,24 @@ def line_id(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(F.lit(1), line).alias("y"))
 
 
-def _candidates(lines: DataFrame, classes, keys, signature: Column, alike, links) -> DataFrame:
+def _candidates(lines: DataFrame, classes, kind, signature: Column, alike, links, hot: int) -> DataFrame:
     """a, b (128-bit ids): pairs of ``lines`` (line, n) with a key in common, own to the one, that ``alike`` doesn't rule out by signature and ``links`` confirms.
 
-    Keys with many lines meet in two steps: each of its lines meets one of
-    them; then only lines that this leaves in different components meet, so a
-    large group of near copies isn't expanded into its pairs.
+    Keys with more than ``hot`` lines meet in two steps: each of its lines
+    meets one of them; then only lines that this leaves in different components
+    meet, so a large group of near copies isn't expanded into its pairs.  The
+    one is the most frequent line, of which most near copies are made: two
+    copies are often further from each other than from it.
     """
-    rows = lines.withColumn("h", F.xxhash64("line"))
+    # the lowest bit is left for the mark of own keys
+    rows = lines.withColumn("h", F.xxhash64("line").bitwiseAND(F.lit(-2)))
     # written once: making the keys costs more than reading them twice
-    keyed_ = materialize(with_places(rows, classes).select("h", F.inline(keys(F.col("line"), F.col("n"), F.col("places")))).where("key is not null"))
-    shared = materialize(
-        keyed_.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("own"), F.count("*").alias("c")).where("low != high and own").select(F.col("key").alias("k"), (F.col("c") > HOT).alias("hot"))
-    )
-    held = materialize(keyed_.join(small(shared), F.col("key") == F.col("k")).groupBy("key", "h", "hot").agg(F.max("own").alias("own")))
+    keyed_ = materialize(with_keys(rows, classes, *kind).select("key", F.col("h").bitwiseOR(F.col("own").cast("long")).alias("held")))
+    alone = F.shiftrightunsigned(F.col("every").bitwiseXOR(F.col("any")), 1) == 0
+    shared = keyed_.groupBy("key").agg(F.bit_and("held").alias("every"), F.bit_or("held").alias("any"))
+    shared = materialize(shared.where(~alone & (F.col("any").bitwiseAND(F.lit(1)) == 1)).select(F.col("key").alias("k")))
+    h, own = F.col("held").bitwiseAND(F.lit(-2)), F.col("held").bitwiseAND(F.lit(1)) == 1
+    held = materialize(keyed_.join(small(shared), F.col("key") == F.col("k")).groupBy("key", h.alias("h")).agg(F.max(own).alias("own"), F.count("*").alias("times")))
     needed = held.select("h").distinct()
     texts = rows.join(small(needed), "h", "left_semi").groupBy("h", line_id(F.col("line")).alias("id")).agg(F.min("line").alias("line"), F.min("n").alias("n"))
     texts = materialize(texts.withColumn("sign", signature))
@@ -256,13 +278,14 @@ def _candidates(lines: DataFrame, classes, keys, signature: Column, alike, links
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct())
         side = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
-        return materialize(links(pairs.join(side("a"), "a").join(side("b"), "b").repartition(parts, "a", "b")).select("a", "b"))
+        dealt = min(parts, pairs.count() // PAIRS + 1)
+        return materialize(links(pairs.join(side("a"), "a").join(side("b"), "b").repartition(dealt, "a", "b")).select("a", "b"))
 
     full = held.join(signs, "h").drop("h")
-    x = full.where("own").select("key", "hot", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("sign").alias("si"))
+    x = full.where("own").select("key", "times", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("sign").alias("si"))
     y = full.select("key", F.col("id").alias("j"), F.col("own").alias("both"), F.col("n").alias("nj"), F.col("sign").alias("sj"))
-    # the first of a hot key's own lines
-    centre = x.where("hot").groupBy("key").agg(F.min(F.struct("i", "ni", "si")).alias("c")).select("key", "c.*")
+    met_at = x.join(held.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("key"), "key", "left_semi") if hot > 1 else x
+    centre = met_at.groupBy("key").agg(F.min(F.struct((-F.col("times")).alias("less"), "i", "ni", "si")).alias("c")).select("key", "c.*")
     stars = confirmed(centre.join(y, "key").where((F.col("i") != F.col("j")) & alike))
     met = components(stars)
     at = lambda c: met.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
@@ -273,13 +296,13 @@ def _candidates(lines: DataFrame, classes, keys, signature: Column, alike, links
     return stars.union(confirmed(x.join(y, (x["key"] == y["key"]) & once & apart & alike)))
 
 
-def linked_by_chars(lines: DataFrame) -> DataFrame:
+def linked_by_chars(lines: DataFrame, hot: int | None = None) -> DataFrame:
     """a, b: different lines (line, others) of fewer than SHORT_WORDS words within the edits of code points that CHAR_EDITS allow."""
     chosen = lines.select("line", F.length("line").alias("n")).where((F.col("n") >= CHAR_EDITS[0][0]) & (n_words(F.col("line")) < SHORT_WORDS))
     edits = edits_at(F.least("ni", "nj"), CHAR_EDITS)
     # an edit moves the counts of letters by two at most
     alike = (F.abs(F.col("ni") - F.col("nj")) <= edits) & (F.aggregate(F.zip_with("si", "sj", lambda m, n: F.abs(m - n)), F.lit(0), lambda t, d: t + d) <= 2 * edits)
-    return _candidates(chosen, CHAR_EDITS, char_keys, letter_counts(F.col("line")), alike, lambda pairs: chars_within(pairs, "line_a", "line_b"))
+    return _candidates(chosen, CHAR_EDITS, CHARS, letter_counts(F.col("line")), alike, lambda pairs: chars_within(pairs, "line_a", "line_b"), HOT if hot is None else hot)
 
 
 def _word_letters(line: Column) -> Column:
@@ -312,17 +335,17 @@ def words_within(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(_let(given, verified))
 
 
-def linked_by_words(lines: DataFrame) -> DataFrame:
+def linked_by_words(lines: DataFrame, hot: int | None = None) -> DataFrame:
     """a, b: different lines (line, others) within the edits of words that WORD_EDITS allow."""
     chosen = lines.select("line", n_words(F.col("line")).alias("n")).where(F.col("n") >= WORD_EDITS[0][0])
     edits = edits_at(F.least("ni", "nj"), WORD_EDITS)
     alike = (F.abs(F.col("ni") - F.col("nj")) <= edits) & (F.call_function("levenshtein", F.col("si"), F.col("sj"), edits) >= 0)
-    return _candidates(chosen, WORD_EDITS, word_keys, _word_letters(F.col("line")), alike, lambda pairs: words_within(pairs, "line_a", "line_b"))
+    return _candidates(chosen, WORD_EDITS, WORDS, _word_letters(F.col("line")), alike, lambda pairs: words_within(pairs, "line_a", "line_b"), HOT if hot is None else hot)
 
 
-def near_lines(lines: DataFrame, short: DataFrame | None = None) -> DataFrame:
-    """a, b (128-bit ids): links of every length. ``short``: lines that may be linked by code points, where they are at hand."""
-    return linked_by_words(lines).union(linked_by_chars(lines if short is None else short))
+def near_lines(lines: DataFrame, short: DataFrame | None = None, hot: int | None = None) -> DataFrame:
+    """a, b (128-bit ids): links of every length, of keys with more than ``hot`` lines (HOT) only as many as connect what is linked. ``short``: lines that may be linked by code points, where they are at hand."""
+    return linked_by_words(lines, hot).union(linked_by_chars(lines if short is None else short, hot))
 
 
 def line_classes(docs: DataFrame, key: str | None = None) -> DataFrame:
@@ -338,7 +361,7 @@ def line_classes(docs: DataFrame, key: str | None = None) -> DataFrame:
     lines = lines_of(docs, key)
     short = F.when((F.length("line") >= CHAR_EDITS[0][0]) & (n_words(F.col("line")) < SHORT_WORDS), F.col("line"))
     slim = materialize(lines.select("uid", "doc_id", "line_no", line_id(F.col("line")).alias("h"), F.col("line").rlike(f"^[{SPACE}]*$").alias("blank"), short.alias("line")))
-    found = materialize(components(near_lines(lines, slim.where("line is not null").select("line").distinct())))
+    found = materialize(components(near_lines(lines, slim.where("line is not null").select("line").distinct(), hot=1)))
     place = F.struct("doc_id", "uid", "line_no")
     firsts = slim.where("not blank").groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = firsts.join(found.select(F.col("node").alias("h"), "component"), "h", "left")

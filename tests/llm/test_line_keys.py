@@ -34,3 +34,19 @@ def test_words_are_counted_whatever_their_bytes(spark):
     lines = ["", " ", "a", "a b", " ä  日本 \U0001f600 ", "é " * 20]
     rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_dedup.n_words(line_dedup.F.col("line")).alias("n"), line_dedup.letter_counts(line_dedup.F.col("line"))[0].alias("a"))
     assert [tuple(r) for r in rows.collect()] == [(x, x.count(" ") + 1, x.count("a")) for x in lines]
+
+
+def test_near_copies_meet_the_line_they_are_made_of_and_not_each_other(spark, monkeypatch):
+    base = [f"word{i}" for i in range(45)]
+    copies = [" ".join(base[:i] + [f"new{i}"] + base[i + 1 :]) for i in range(40)]
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate([*copies, *[" ".join(base)] * 3])], "doc_id long, text string")
+    verified, within = [], line_dedup.words_within
+
+    def counted(pairs, a, b):
+        verified.append(pairs.count())
+        return within(pairs, a, b)
+
+    monkeypatch.setattr(line_dedup, "words_within", counted)
+    assert line_dedup.line_classes(lines).select("class_id").distinct().count() == 1
+    # each of 780 pairs of copies is within the two words that link lines of this length
+    assert sum(verified) <= 2 * len(copies), verified
