@@ -67,9 +67,5 @@ SELECT o_orderkey, CASE WHEN error THEN 'invalid' ELSE 'valid_with_warnings' END
 UNION ALL SELECT o_orderkey, 'valid', low, high, pw, ph, mode, n_manual FROM d WHERE o_orderkey NOT IN (SELECT o_orderkey FROM bad)""")
 def sidecar_intents(spark, sf_dir):
     """Each document's status, and what a valid one intends; results and environment are left behind."""
-    rows = _read(spark, sf_dir)
-    names = ("low_hz", "high_hz", "width", "height", "band_mode")
-    kept = rows.select("o_orderkey", "status", "doc", "violations")
-    fit = D.intents(kept).select("o_orderkey", "status", *names, F.size("bands").alias("n_bands"))
-    rest = kept.where("status = 'invalid'").select("o_orderkey", "status")
-    return fit.unionByName(rest, allowMissingColumns=True)
+    rows = D.intended(_read(spark, sf_dir))  # all in one pass: each document is read and checked once
+    return rows.select("o_orderkey", "status", "low_hz", "high_hz", "width", "height", "band_mode", F.when(F.col("bands").isNotNull(), F.size("bands")).alias("n_bands"))

@@ -3,6 +3,7 @@
 import copy
 import json
 
+from motionlake.plans import QUERIES
 from motionlake.sources import documents as D
 
 GOOD = {
@@ -67,3 +68,17 @@ def test_lines_are_read_as_they_are_and_intents_loaded(spark, tmp_path):
     loaded = D.intents(rows).collect()
     assert [(r.low_hz, r.high_hz, r.width, r.height, r.band_mode, [tuple(b) for b in r.bands]) for r in loaded] == [(1.0, 5.5, 320, 180, "manual_single", [(1.5, 2.0)])] * 2
     assert "doc" not in D.intents(rows).columns and D.intents(rows.where("false")).count() == 0
+
+
+def test_further_fields_are_told_in_their_order(spark):
+    text = changed("intent.phase", {"z": 1, "low_hz": 1, "b": {"c": 2}, "high_hz": 2, "a.b": None})
+    found = D.checked(spark.createDataFrame([(text,)], "raw string")).first().violations
+    assert [tuple(v) for v in found] == [(f"intent.phase.{n}", "unknown", "error") for n in ("z", "b", "a.b")]
+
+
+def test_each_document_is_read_and_walked_once(spark):
+    """Whole objects' kinds, and a second pass for what can't be loaded, made the time many times that of parsing."""
+    for name in ("sidecar_violations", "sidecar_intents"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") == 1 and plan.count("Relation [value") == 1, name
+        assert plan.count("SchemaOfVariant") < 2 * len(D.FIELDS), name
