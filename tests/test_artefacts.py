@@ -43,3 +43,19 @@ def test_files_are_hashed_and_compared(spark, tmp_path):
     states = {r.path.rpartition("/")[2]: r.state for r in files.compared(now, old.union(gone)).collect()}
     assert states == {"a.bin": "new", "b.bin": "changed", "c.bin": "touched", "z.bin": "gone"}
     assert {r.state for r in files.compared(now, before).collect()} == {"same"}
+
+
+def test_files_are_hashed_in_pieces_whatever_they_are_called(spark, tmp_path):
+    data = bytes(range(256)) * 40_000
+    names = ["a b.bin", "c%20d#e?.bin", "é.bin", "packed.gz"]
+    for i, name in enumerate(names):
+        (tmp_path / name).write_bytes(data[i:])
+    want = {(n, len(data) - i, hashlib.sha256(data[i:]).hexdigest()) for i, n in enumerate(names)}
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.hashes.link./in", f"file://{tmp_path}")
+    # no file is taken as a whole: a row of more than so many bytes is refused
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1 << 20)
+    try:
+        for folder in (str(tmp_path), "viewfs://hashes/in"):
+            assert {(r.path.rpartition("/")[2], r.size, r.sha256) for r in files.hashed(spark, folder).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
