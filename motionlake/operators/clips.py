@@ -111,33 +111,65 @@ def by_frames(rows: DataFrame, kept: list[str], used: list[str], size: int, work
     return rows.select(*kept, *used).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in kept) + ", " + made)
 
 
-def decoded(blobs: DataFrame, keys: list[str], content: str, height: int, width: int, colours: int = 3) -> DataFrame:
-    """keys, frame (from 0), pixels (0 to 1): the packed frames of a binary column, a byte a value; what is left of less than a frame, and a null, has none."""
-    size = height * width * colours
+def from_bytes(blobs: DataFrame, keys: list[str], content: str, size: int, work: Callable, made: str) -> DataFrame:
+    """keys, frame (from 0), and what ``work(pixels)`` returns for the packed frames of a binary column (a byte a value, 0 to 1 in an array (frames, size)); what is left of less than a frame, and a null, has none. made: its columns and types.
+
+    Frames of many rows are worked on at once, and pixels don't leave the task.
+    """
     step = max(1, PIXELS_AT_ONCE // size)
     kinds = dict(blobs.dtypes)
+    names = [*keys, "frame", *[c.split()[0] for c in made.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                blob = batch.column(len(keys))[i].as_buffer()
-                n = 0 if blob is None else blob.size // size
-                for at in range(0, n, step):
-                    some = np.frombuffer(blob, np.uint8, min(step, n - at) * size, at * size).reshape(-1, size) / 255
-                    mine = [pa.array([batch.column(k)[i].as_py()] * len(some), batch.schema.field(k).type) for k in range(len(keys))]
-                    yield pa.RecordBatch.from_arrays([*mine, pa.array(np.arange(at, at + len(some)), pa.int64()), lists(some)], names=[*keys, "frame", "pixels"])
+            column = batch.column(len(keys))
+            counts = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) // size
+            held: list[tuple[int, int, np.ndarray]] = []  # row, first frame, bytes
+
+            def done() -> pa.RecordBatch:
+                pixels = np.concatenate([x for *_, x in held]).reshape(-1, size) / 255
+                n = [len(x) // size for *_, x in held]
+                rows = pa.array(np.repeat([i for i, *_ in held], n))
+                frame = np.concatenate([np.arange(at, at + m) for (_, at, _), m in zip(held, n)])
+                return pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in range(len(keys))], pa.array(frame, pa.int64()), *work(pixels)], names=names)
+
+            free = step
+            for i in np.flatnonzero(counts).tolist():
+                blob, at = column[i].as_buffer(), 0
+                while at < counts[i]:
+                    n = int(min(free, counts[i] - at))
+                    held.append((i, at, np.frombuffer(blob, np.uint8, n * size, at * size)))
+                    at, free = at + n, free - n
+                    if not free:
+                        yield done()
+                        held, free = [], step
+            if held:
+                yield done()
+
+    return blobs.select(*keys, content).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", frame long, " + made)
 
-    return blobs.select(*keys, content).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", frame long, pixels array<double>")
 
+def decoded(blobs: DataFrame, keys: list[str], content: str, height: int, width: int, colours: int = 3) -> DataFrame:
+    """keys, frame (from 0), pixels (0 to 1): the packed frames of a binary column, a byte a value; what is left of less than a frame, and a null, has none."""
+    return from_bytes(blobs, keys, content, height * width * colours, lambda pixels: [lists(pixels)], "pixels array<double>")
+
+
+def to_bytes(pixels: np.ndarray) -> pa.Array:
+    """Frames (n, size) as bytes, values held to 0 .. 1 and rounded half to even."""
+    rows = np.rint(np.clip(pixels, 0, 1) * 255).astype(np.uint8)
+    return pa.array([r.tobytes() for r in rows], pa.binary())
 
-def encoded(frames: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """keys, content: the frames as bytes, values held to 0 .. 1 and rounded half to even."""
 
-    def work(pixels: pa.Array) -> list[pa.Array]:
-        rows = np.rint(np.clip(stacked(pixels, (size,)), 0, 1) * 255).astype(np.uint8)
-        return [pa.array([r.tobytes() for r in rows], pa.binary())]
+def check_sums(contents: pa.Array) -> list[pa.Array]:
+    """Sum of bytes times their places (from 1), and number of bytes, of each binary."""
+    read = [np.frombuffer(c.as_buffer(), np.uint8).astype(np.int64) for c in contents]
+    sums = [int(x @ np.arange(1, len(x) + 1)) for x in read]
+    return [pa.array(sums, pa.int64()), pa.array([len(x) for x in read], pa.int64())]
 
-    return by_frames(frames, keys, ["pixels"], size, work, "content binary")
+
+def encoded(frames: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """keys, content: the frames as bytes, values held to 0 .. 1 and rounded half to even."""
+    return by_frames(frames, keys, ["pixels"], size, lambda pixels: [to_bytes(stacked(pixels, (size,)))], "content binary")
 
 
 def luma(frames: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:

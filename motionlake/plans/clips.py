@@ -41,13 +41,9 @@ def frames_from_bytes(spark, sf_dir):
 
 @query(f"""WITH {_bytes_sql(RGB * RGB * COLOURS)} SELECT doc_id, frame::BIGINT AS frame, sum(b * (i + 1))::BIGINT AS check_sum, count(*)::BIGINT AS n FROM px GROUP BY 1, 2""")
 def frames_round_trip(spark, sf_dir):
-    """Packed frames decoded, encoded again, and their bytes read back."""
+    """Packed frames decoded, encoded again, and their bytes read back, all in one task."""
     blobs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
-    rows = C.encoded(C.decoded(blobs, ["doc_id"], "content", RGB, RGB), ["doc_id", "frame"], RGB * RGB * COLOURS)
-    digits = F.hex("content")
-    value = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long") * (i + 1)
-    total = F.aggregate(F.sequence(F.lit(0), F.length("content") - 1), F.lit(0).cast("long"), lambda t, i: t + value(i))
-    return rows.select("doc_id", "frame", total.alias("check_sum"), F.length("content").cast("long").alias("n"))
+    return C.from_bytes(blobs, ["doc_id"], "content", RGB * RGB * COLOURS, lambda pixels: C.check_sums(C.to_bytes(pixels)), "check_sum long, n long")
 
 
 _SPREAD = max(SIDE / 14, 4.0)

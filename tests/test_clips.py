@@ -8,6 +8,7 @@ from motionlake import streaming as T
 from motionlake.functions import centre_weight
 from motionlake.operators import clips as C
 from motionlake.operators import series as S
+from motionlake.plans import QUERIES
 
 FPS, BAND = 12.0, (1.0, 3.0)
 
@@ -158,3 +159,24 @@ def test_frames_of_another_size_are_refused(spark):
     df = table(spark, "a", np.zeros((2, 4, 4)))
     with pytest.raises(Exception, match="arrays of 25 values are needed"):
         C.reference(df, 25).collect()
+
+
+def test_frames_of_many_rows_are_worked_on_at_once(spark, monkeypatch):
+    monkeypatch.setattr(C, "PIXELS_AT_ONCE", 12 * 5)
+    blobs = {i: bytes((i * 7 + j) % 256 for j in range(n)) for i, n in enumerate((0, 11, 12, 40, 12 * 13 + 5, 24, 3, 12 * 5, 12))} | {99: None}
+    df = spark.createDataFrame([(i, f"k{i}", b) for i, b in blobs.items()], "i long, k string, content binary").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        sums = C.from_bytes(df, ["i", "k"], "content", 12, lambda p: C.check_sums(C.to_bytes(p)), "check_sum long, n long").collect()
+        pixels = C.decoded(df, ["i", "k"], "content", 2, 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    frames = {(i, f"k{i}", f): b[12 * f : 12 * f + 12] for i, b in blobs.items() if b for f in range(len(b) // 12)}
+    assert sorted(map(tuple, sums)) == sorted((*key, sum(x * (j + 1) for j, x in enumerate(b)), 12) for key, b in frames.items())
+    assert {(r.i, r.k, r.frame): r.pixels for r in pixels} == {key: [x / 255 for x in b] for key, b in frames.items()}
+    assert C.from_bytes(df.where("false"), ["i"], "content", 12, lambda p: C.check_sums(C.to_bytes(p)), "check_sum long, n long").count() == 0
+
+
+def test_round_trip_keeps_pixels_in_one_task(spark):
+    plan = QUERIES["frames_round_trip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "lambda" not in plan
