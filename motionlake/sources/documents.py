@@ -177,7 +177,7 @@ def checked(docs: DataFrame, raw: str = "raw") -> DataFrame:
     rows = rows.withColumns({"doc": F.when(tree.isNotNull(), F.col("parsed_")), "kinds_": F.struct(*[_kind(F.col("parsed_"), tree, path).alias(path) for path in FIELDS])})
     shape, version, sense = _shape(kinds, tree), _version(tree), _sense(kinds, tree)
     rules = [("", "malformed", "error"), *[rule[1:] for rule in (*shape, *version, *sense)]]
-    rows = rows.withColumns({"shape_": _numbers(shape, 2), "version_": _numbers(version, 2 + len(shape)), "sense_": _numbers(sense, 2 + len(shape) + len(version)), "further_": _further(doc, tree, F.col(raw))})
+    rows = rows.withColumns({"shape_": _numbers(shape, 2), "version_": _numbers(version, 2 + len(shape)), "sense_": F.when(_value(tree, "schema_version", "string").isin(CURRENT, *OLDER), _numbers(sense, 2 + len(shape) + len(version))), "further_": _further(doc, tree, F.col(raw))})
     warned = [str(i) for i, (*_, severity) in enumerate(rules, 1) if severity == "warning"]
     misshapen, unread = (F.col("shape_") != "") | (F.size("further_") > 0), (F.col("version_") != "") & ~F.col("version_").isin(*warned)
     rows = rows.withColumn("step_", F.when(doc.isNull(), 0).when(misshapen, 1).when(unread, 2).otherwise(3))
